@@ -42,11 +42,20 @@ def fmt_money(column: Column, sign: str = "$") -> Column:
     return F.concat(F.lit(sign), F.format_number(column, 2))
 
 
-def safe_name(column: Column) -> Column:
-    """Lower-case identifier: other characters become '_', runs and ends collapse."""
-    clean = F.regexp_replace(F.lower(column), "[^a-z0-9_]", "_")
-    clean = F.regexp_replace(clean, "_+", "_")
-    return F.regexp_replace(clean, "^_|_$", "")
+def safe_name(column: Column, style: str = "file") -> Column:
+    """Lower-case safe name for a ``file``, a ``variable`` or a ``job``."""
+    text = F.lower(column)
+    if style == "file":
+        text = F.regexp_replace(text, r'[ /\\:*?"<>|]', "_")
+        return F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_|_$", "")
+    if style == "variable":
+        text = F.regexp_replace(text, r"[^\p{L}\p{N}_]", "_")
+        return F.when(text.rlike("^[0-9]"), F.concat(F.lit("stage_"), text)).otherwise(text)
+    if style == "job":
+        text = F.regexp_replace(text, "[ -]", "_")
+        text = F.when(text.rlike("^[0-9]"), F.concat(F.lit("job_"), text)).otherwise(text)
+        return F.left(text, F.lit(255))
+    raise ValueError(f"unknown style {style!r}")
 
 
 def strip_space(column: Column) -> Column:

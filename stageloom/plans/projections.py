@@ -207,11 +207,23 @@ def record_hash(spark, d):
 
 @query(
     "safe_names",
-    r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url),
-              '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS safe_url FROM pages""",
+    r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(n), '[ /\\:*?"<>|]', '_', 'g'), '_+', '_', 'g'),
+              '^_|_$', '', 'g') AS as_file,
+              regexp_replace(regexp_replace(lower(n), '[^\p{L}\p{N}_]', '_', 'g'), '^([0-9])', 'stage_\1') AS as_variable,
+              left(regexp_replace(regexp_replace(lower(n), '[ -]', '_', 'g'), '^([0-9])', 'job_\1'), 255) AS as_job
+       FROM (SELECT page_id AS id, url AS n FROM pages UNION ALL SELECT o_orderkey, o_orderpriority FROM orders)""",
 )
 def safe_names(spark, d):
-    return load(spark, d, "pages").select("page_id", safe_name(F.col("url")).alias("safe_url"))
+    names = load(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("n")).unionByName(
+        load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("n"))
+    )
+    n = F.col("n")
+    return names.select(
+        "id",
+        safe_name(n).alias("as_file"),
+        safe_name(n, "variable").alias("as_variable"),
+        safe_name(n, "job").alias("as_job"),
+    )
 
 
 @query(
