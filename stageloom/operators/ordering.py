@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stageloom.operators.sizing import literal_table
 from stageloom.scratch import materialise
 
 #: A group above this many rows is split into blocks of about this size.
@@ -84,7 +85,7 @@ def dense_number(
     for block in sorted(counts):
         offsets.append((block, total))
         total += counts[block]
-    offset = spark.createDataFrame(offsets, "_block int, _offset long")
+    offset = literal_table(spark, offsets, "_block int, _offset long")
     place = F.col("_rid").bitwiseAND(F.lit((1 << _BLOCK_SHIFT) - 1))
     return (
         stored.withColumn("_block", _block())

@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stageloom.operators.sizing import literal_table
+
 # Complexity weight of a step type; any other type weighs 2.
 WEIGHTS = {
     0: "CTrxInput CTrxOutput CCustomInput CCustomOutput CSeqInput CSeqOutput CHashedInput "
@@ -154,7 +156,8 @@ def type_rule_table(spark: SparkSession, weights: Mapping[str, int] | None = Non
         for t, w in (weights or {}).items()
         if t not in {r[0] for r in rows}
     ]
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         rows,
         "type string, weight int, support string, effort double, is_source boolean, "
         "is_target boolean, is_transform boolean",

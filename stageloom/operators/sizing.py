@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 MAX_ROWS = 200_000
 MAX_BYTES = 32 * 1024 * 1024
@@ -24,3 +27,11 @@ def broadcast_if_small(
         .first()
     )
     return F.broadcast(df) if rows <= max_rows and chars <= max_bytes else df
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows written in code as a local relation: no Python job to scan it."""
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)

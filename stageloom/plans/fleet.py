@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stageloom.operators import rule_tables as T
 from stageloom.operators.ordering import ordered_scan
+from stageloom.scratch import materialise
 from stageloom.tables import load
 
 # Step type of Brand#1, Brand#2, ...
@@ -47,7 +48,7 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
         "p_type",
     )
     numbered = ordered_scan(rows, ["job_id"], ORDER, [{"position": ("row_number", None)}])
-    return numbered.select(
+    rows = numbered.select(
         "job_id",
         "position",
         F.concat("p_name", F.lit("_"), F.col("position").cast("string")).alias("name"),
@@ -55,6 +56,8 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
         F.create_map(F.lit("TableName"), "p_type", F.lit("Mode"), "l_returnflag").alias("properties"),
         F.col("l_quantity").alias("quantity"),
     )
+    # Every report reads the steps several times (as steps, as chain, as first steps).
+    return materialise(rows, "stages")
 
 
 def links(spark: SparkSession, d: str, all_stages: DataFrame | None = None) -> DataFrame:
