@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stageloom.operators.ordering import OrderKey
+from stageloom.scratch import materialise
 
 CORRUPT = "_corrupt_record"
 
@@ -36,10 +37,11 @@ def read_delimited(
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the bad lines with the file they came from."""
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    errors = df.where(F.col(CORRUPT).isNotNull()).select(
-        F.col("_metadata.file_path").alias("path"), F.col(CORRUPT).alias("line")
+    """Good rows, and the bad lines with the file they came from; the input is parsed once."""
+    parsed = materialise(df.withColumn("_path", F.col("_metadata.file_path")), "parsed")
+    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_path")
+    errors = parsed.where(F.col(CORRUPT).isNotNull()).select(
+        F.col("_path").alias("path"), F.col(CORRUPT).alias("line")
     )
     return good, errors
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stageloom.functions.text import strip_space
+from stageloom.scratch import materialise
+
 # Record types that are stages.
 STAGE_RECORDS = (
     "CCustomStage CTransformerStage CContainerDef CDBConnectorStage CFileConnectorStage "
@@ -48,7 +51,8 @@ def _xml(spark: SparkSession, path: str, row_tag: str, schema: str, pattern: str
     )
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).withColumn("path", F.col("_metadata.file_path"))
+    # Parsed once and stored: jobs, stages, links and errors are all cut from it.
+    return materialise(reader.load(path).withColumn("path", F.col("_metadata.file_path")), "xml")
 
 
 def _last_wins(entries: Column) -> Column:
@@ -182,7 +186,7 @@ def read_job_blocks(
     closed = F.regexp_like("value", F.lit(r"\n\s*END DSJOB"))
     body = F.regexp_replace("value", r"(?s)\n\s*END DSJOB.*$", "")
     pieces = F.split(body, r"\n\s*BEGIN DSRECORD")
-    lines = lambda text: F.transform(F.split(text, "\n"), F.trim)
+    lines = lambda text: F.transform(F.split(text, "\n"), lambda x: strip_space(x))
     is_identifier = lambda x: x.startswith("Identifier") & F.contains(x, F.lit('"'))
     parsed = blocks.select(
         "path",
@@ -191,13 +195,15 @@ def read_job_blocks(
         _quoted(F.try_element_at(F.filter(lines(pieces[0]), is_identifier), F.lit(1))).alias("job_id"),
         F.slice(pieces, 2, F.size(pieces)).alias("records"),
     )
+    # Cut once and stored: jobs, stages and errors are all taken from it.
+    parsed = materialise(parsed, "blocks")
     valid = F.col("closed") & (F.coalesce("job_id", F.lit("")) != "")
+    # The one-element explode keeps the lines a column, which the uses below share.
+    own = F.regexp_replace("record", r"(?s)\n\s*END DSRECORD.*$", "")
     records = (
         parsed.where(valid)
         .select("path", "job_id", F.posexplode("records").alias("position", "record"))
-        .withColumn(
-            "lines", lines(F.regexp_replace("record", r"(?s)\n\s*END DSRECORD.*$", ""))
-        )
+        .select("path", "job_id", "position", F.explode(F.array(lines(own))).alias("lines"))
     )
     is_type = lambda x: x.startswith("OLEType") & F.contains(x, F.lit('"'))
     type_at = F.array_position(F.transform("lines", is_type), F.lit(True))
