@@ -37,16 +37,19 @@ class LookupSpec:
     columns: Sequence[str]
     how: str = "left"
     defaults: Mapping[str, object] = field(default_factory=dict)
+    cache: bool = False
 
 
 def lookup(df: DataFrame, spec: LookupSpec, miss_only: bool = False) -> DataFrame:
     """Add ``<lookup>_<column>`` columns from a reference table.
 
+    ``cache`` keeps the reference table in executor memory for several outputs.
     Defaults replace a NULL result; with ``miss_only`` a NULL of a found row stays NULL.
     """
     key, hit = f"_{spec.name}_key", f"_{spec.name}_hit"
     names = {c: f"{spec.name}_{c}" for c in spec.columns}
-    table = spec.table.select(
+    source = spec.table.persist() if spec.cache else spec.table
+    table = source.select(
         F.col(spec.lookup_key).alias(key),
         F.lit(True).alias(hit),
         *[F.col(c).alias(n) for c, n in names.items()],

@@ -24,6 +24,9 @@ from stageloom.scratch import materialise
 #: A group above this many rows is split into blocks of about this size.
 ROWS_PER_TASK = 4_000_000
 
+#: Up to this many hot groups, tables with a row per hot group or block are broadcast.
+FEW_GROUPS = 100_000
+
 _BLOCK_SHIFT = 33  # monotonically_increasing_id() = (partition << 33) + row in partition
 
 OrderKey = str | tuple[str, str]
@@ -135,14 +138,15 @@ def ordered_scan(
         return _scan_native(df, group, order, steps)
     n_hot, rows_hot = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
     keys = hot.select(*group)
-    if n_hot <= 100_000:
+    few = n_hot <= FEW_GROUPS
+    if few:
         keys = F.broadcast(keys)
     same = null_safe(df, keys, group)
     cold = _scan_native(df.join(keys, same, "left_anti"), group, order, steps)
     blocks = ordered_blocks(
         df.join(keys, same, "left_semi"), group, order, -(-rows_hot // limit)
     )
-    return cold.unionByName(_scan_blocks(blocks, group, steps))
+    return cold.unionByName(_scan_blocks(blocks, group, steps, few))
 
 
 def _scan_native(df, group, order, steps):
@@ -164,8 +168,12 @@ def _scan_native(df, group, order, steps):
     return df
 
 
-def _scan_blocks(blocks, group, steps):
-    """Scan (group, block) pieces in parallel, then add what earlier pieces carry."""
+def _scan_blocks(blocks, group, steps, few):
+    """Scan (group, block) pieces in parallel, then add what earlier pieces carry.
+
+    The carry has one row per piece, no more than blocks plus hot groups; it is broadcast
+    only if there are few hot groups.
+    """
     df = blocks.withColumn("_block", _block())
     piece = [*group, "_block"]
     base = Window.partitionBy(*piece).orderBy("_rid")
@@ -196,7 +204,6 @@ def _scan_blocks(blocks, group, steps):
                 per_piece.append(getattr(F, fn)(arg).alias(total))
                 merge = {"count": F.sum}.get(fn, getattr(F, fn))
                 carry[c] = merge(F.col(total)).over(before)
-        # One row per piece: no more than blocks + hot groups.
         carried = (
             df.groupBy(*piece)
             .agg(*per_piece)
@@ -208,7 +215,7 @@ def _scan_blocks(blocks, group, steps):
             lambda a, b: a & b,
             [df[k].eqNullSafe(carried[f"_k_{k}"]) for k in piece],
         )
-        df = df.join(F.broadcast(carried), on, "left")
+        df = df.join(F.broadcast(carried) if few else carried, on, "left")
         merged = {}
         for out, (fn, _) in step.items():
             value, c = F.col(out), F.col(f"_c_{out}")

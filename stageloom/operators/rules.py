@@ -415,6 +415,21 @@ def batch_report(df: DataFrame) -> DataFrame:
     )
 
 
+def run_summary(runs: DataFrame, ok: Column, producer: str, cost: str) -> DataFrame:
+    """Runs, successes, success rate and total cost, for all and per producer, in one pass."""
+    n = F.count(F.lit(1))
+    return runs.groupingSets([[], [producer]], producer).agg(
+        F.grouping(producer).alias("_all"),
+        n.alias("n_runs"),
+        F.count_if(ok).alias("n_ok"),
+        F.round(F.lit(100.0) * F.count_if(ok) / n, 1).alias("success_rate"),
+        F.sum(F.col(cost).cast("decimal(18,2)")).cast("double").alias("total_cost"),
+    ).select(
+        F.when(F.col("_all") == 1, "(all)").otherwise(F.col(producer)).alias(producer),
+        "n_runs", F.col("n_ok"), "success_rate", "total_cost",
+    )
+
+
 def threshold_rules(summary: DataFrame) -> DataFrame:
     """Advice rows whose condition holds on a one-row summary.
 

@@ -18,7 +18,7 @@ from stageloom.operators.ordering import dense_number
 from stageloom.operators.sequences import ORDERED_LIMIT, bag_profiles, ordered_steps
 
 #: Sets up to this size are joined on shared subsets, larger ones on rare steps.
-SUBSET_LIMIT = 14
+SUBSET_LIMIT = 13
 
 WEIGHT_SET, WEIGHT_LENGTH, WEIGHT_ORDER = 0.5, 0.3, 0.2
 

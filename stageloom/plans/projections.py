@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from stageloom.functions.text import safe_name
 from stageloom.operators import project as P
+from stageloom.operators.custom import custom_rows
+from stageloom.operators.custom import custom_stage as custom
 from stageloom.plans.registry import query
 from stageloom.tables import load
 
@@ -245,3 +247,18 @@ def filter_in(spark, d):
 def filter_in_table(spark, d):
     poor = load(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
     return P.filter_in(load(spark, d, "orders"), "o_custkey", poor).select("o_orderkey")
+
+
+@query(
+    "custom_stage",
+    "SELECT p_partkey, CAST(floor(p_retailprice / 100) AS BIGINT) AS band, p_size * 2 AS double_size FROM part",
+)
+def custom_stage(spark, d):
+    """A DataFrame hook after a row hook in Python."""
+
+    def band(pdf):
+        return pdf.assign(band=(pdf["p_retailprice"] // 100).astype("int64"))[["p_partkey", "band", "p_size"]]
+
+    parts = load(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
+    rows = custom_rows(parts, band, "p_partkey bigint, band bigint, p_size int")
+    return custom(rows, lambda df: df.select("p_partkey", "band", (F.col("p_size") * 2).alias("double_size")))

@@ -340,3 +340,12 @@ def threshold_rules(spark, d):
         {c: per_type.select(c).scalar() for c in per_type.columns}
     ).withColumn("effort_reduction", F.lit(None).cast("double"))
     return R.threshold_rules(summary)
+
+
+_RUN_SQL = """count(*) AS n_runs, count(*) FILTER (o_orderstatus = 'F') AS n_ok, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS success_rate,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_cost FROM orders"""
+
+
+@query("run_summary", f"SELECT '(all)' AS o_orderpriority, {_RUN_SQL} UNION ALL SELECT o_orderpriority, {_RUN_SQL} GROUP BY 1")
+def run_summary(spark, d):
+    return R.run_summary(load(spark, d, "orders"), F.col("o_orderstatus") == "F", "o_orderpriority", "o_totalprice")

@@ -131,7 +131,14 @@ def drop_repeats(stream: DataFrame, ts: str, keys: Sequence[str], ttl: str) -> D
 def sessions(
     stream: DataFrame, ts: str, key: str, gap: str, late: str, cost: str
 ) -> DataFrame:
-    """Requests and cost per session of a key."""
+    """Requests and cost per session of a key.
+
+    Sessions are merged inside each input task before the shuffle, so a hot key sends
+    sessions and not rows.
+    """
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", True
+    )
     return (
         event_time(stream, ts)
         .withWatermark(ts, late)

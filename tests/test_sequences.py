@@ -202,7 +202,7 @@ def random_sequences(seed):
     seqs = []
     for _ in range(60):
         seqs.append([rng.choice("abcdef") for _ in range(rng.randint(0, 7))])
-    # Long sets (more than 14 distinct steps), and near copies of them.
+    # Long sets (more than 13 distinct steps), and near copies of them.
     wide = [f"w{i}" for i in range(22)]
     for _ in range(25):
         s = rng.sample(wide, rng.randint(12, 20))
