@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 # The code points that count as white space in text clean-up.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE_NO_NEWLINE = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
 
+# Spark-side classes: printable ASCII, nearly every character, is ruled out by the first test.
+_ANY = f"[[^!-~]&&[{SPACE}]]"
+_NOT_BLANK = f"[[^ -~]&&[{SPACE}]]"
+_IN_LINE = f"[[^!-~]&&[{SPACE_NO_NEWLINE}]]"
+
 # Long term -> short form, applied in this order.
 SHORT_FORMS = {
     "OracleConnectorPX": "OraclePX",
@@ -59,20 +68,21 @@ def safe_name(column: Column, style: str = "file") -> Column:
 
 
 def strip_space(column: Column) -> Column:
-    return F.regexp_replace(column, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(column, F.lit(SPACE_CHARS))
 
 
 def normalise_space(column: Column) -> Column:
-    return strip_space(F.regexp_replace(column, f"[{SPACE}]+", " "))
+    # Single blanks, nearly all white space there is, are left as they are.
+    return strip_space(F.regexp_replace(column, f" {_ANY}+|{_NOT_BLANK}{_ANY}*", " "))
 
 
 def clean_text(column: Column) -> Column:
     """Blank-line runs to one blank line, space runs to one space, no trailing spaces."""
     text = F.regexp_replace(
-        column, f"\\n[{SPACE}]*\\n[{SPACE}]*\\n+", "\n\n"
+        column, f"\\n{_ANY}*\\n{_ANY}*\\n+", "\n\n"
     )
-    text = F.regexp_replace(text, " +", " ")
-    text = F.regexp_replace(text, f"[{SPACE_NO_NEWLINE}]+\\n", "\n")
+    text = F.regexp_replace(text, "  +", " ")
+    text = F.regexp_replace(text, f"{_IN_LINE}+\\n", "\n")
     return strip_space(text)
 
 

@@ -1,7 +1,7 @@
 """Rule scoring, classing and ranking of entities made of typed steps and links.
 
 ``features`` reduces the steps and links of each entity to one row of counts and
-flags, combined map-side. Everything after it is column arithmetic on that row.
+flags: names are judged once per distinct type, then sums and one bit mask combine map-side. Everything after it is column arithmetic on that row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stageloom.operators.ordering import dense_number
 from stageloom.operators.rule_tables import DEFAULT_WEIGHT, type_rule_table
+from stageloom.scratch import materialise
 
 
 def branch_counts(links: DataFrame, key: str) -> DataFrame:
@@ -25,8 +26,57 @@ def branch_counts(links: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _any(condition: Column) -> Column:
-    return F.max(F.coalesce(condition, F.lit(False)))
+# Flags of a step type, packed so that an entity needs a single bitwise aggregate.
+FLAGS = (
+    "any_source any_target file_source file_target connector_source change_transform any_change "
+    "any_teradata any_netezza any_pivot any_connector any_file any_jdbc"
+).split()
+
+
+def type_profiles(stages: DataFrame, weights: Mapping[str, int] | None = None) -> DataFrame:
+    """Weight, effort, support class and packed flags of every distinct type.
+
+    Names are looked at once per distinct type and not once per step.
+    """
+    types = stages.select(F.coalesce("type", F.lit("Unknown")).alias("type")).distinct()
+    # The rule rows are a list in code of about a hundred entries.
+    known = types.join(F.broadcast(type_rule_table(stages.sparkSession, weights)), "type", "left")
+    t, no = F.col("type"), F.lit(False)
+    has = lambda word: F.contains(t, F.lit(word))
+    is_ = lambda c: F.coalesce(F.col(c), no)
+    file_like = has("File") | has("Dataset")
+    conditions = {
+        "any_source": is_("is_source"),
+        "any_target": is_("is_target"),
+        "file_source": is_("is_source") & file_like,
+        "file_target": is_("is_target") & file_like,
+        "connector_source": is_("is_source") & has("Connector"),
+        "change_transform": is_("is_transform") & has("Change"),
+        "any_change": has("Change"),
+        "any_teradata": has("Teradata"),
+        "any_netezza": has("Netezza"),
+        "any_pivot": has("Pivot"),
+        "any_connector": has("Connector"),
+        "any_file": file_like,
+        "any_jdbc": has("Oracle") | has("DB2") | has("SQLServer"),
+    }
+    mask = F.lit(0)
+    for bit, name in enumerate(FLAGS):
+        mask = mask + F.when(conditions[name], 1 << bit).otherwise(0)
+    one = lambda condition: F.when(condition, 1).otherwise(0)
+    return known.select(
+        "type",
+        F.coalesce("weight", F.lit(DEFAULT_WEIGHT)).alias("weight"),
+        F.coalesce("effort", F.lit(1.0)).cast("decimal(10,1)").alias("effort"),
+        one(F.col("support") == "full").alias("n_full"),
+        one(F.col("support") == "partial").alias("n_partial"),
+        one(F.col("support") == "manual").alias("n_manual"),
+        one(F.col("support").isNull() & (t != "Unknown") & (t != "")).alias("n_unknown"),
+        one(has("Lookup")).alias("n_lookups"),
+        one(is_("is_transform")).alias("n_transforms"),
+        one(t == "Transformer").alias("n_transformers"),
+        mask.alias("mask"),
+    )
 
 
 def features(
@@ -36,44 +86,23 @@ def features(
     weights: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per entity with everything the rules look at."""
-    kind = F.coalesce("type", F.lit("Unknown"))
-    typed = stages.select(key, kind.alias("type")).join(
-        # About a hundred rule rows, whatever the data holds.
-        F.broadcast(type_rule_table(stages.sparkSession, weights)),
-        "type",
-        "left",
+    sums = "weight effort n_full n_partial n_manual n_unknown n_lookups n_transforms n_transformers"
+    # Stored, so that Catalyst knows its size and broadcasts it below the usual threshold.
+    profiles = materialise(type_profiles(stages, weights), "types")
+    typed = stages.select(key, F.coalesce("type", F.lit("Unknown")).alias("type")).join(
+        profiles, "type"
     )
-    t = F.col("type")
-    has = lambda word: F.contains(t, F.lit(word))
-    file_like = has("File") | has("Dataset")
-    unknown = F.col("support").isNull() & (t != "Unknown") & (t != "")
     per_entity = typed.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_stages"),
-        F.sum(F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).alias("weight"),
-        F.count_if(F.col("support") == "full").alias("n_full"),
-        F.count_if(F.col("support") == "partial").alias("n_partial"),
-        F.count_if(F.col("support") == "manual").alias("n_manual"),
-        F.count_if(unknown).alias("n_unknown"),
-        F.sum(F.coalesce("effort", F.lit(1.0)).cast("decimal(10,1)")).alias("effort"),
-        F.count_if(has("Lookup")).alias("n_lookups"),
-        F.count_if(F.col("is_transform")).alias("n_transforms"),
-        F.count_if(t == "Transformer").alias("n_transformers"),
-        _any(F.col("is_source")).alias("any_source"),
-        _any(F.col("is_target")).alias("any_target"),
-        _any(F.col("is_source") & file_like).alias("file_source"),
-        _any(F.col("is_target") & file_like).alias("file_target"),
-        _any(F.col("is_source") & has("Connector")).alias("connector_source"),
-        _any(F.col("is_transform") & has("Change")).alias("change_transform"),
-        _any(has("Change")).alias("any_change"),
-        _any(has("Teradata")).alias("any_teradata"),
-        _any(has("Netezza")).alias("any_netezza"),
-        _any(has("Pivot")).alias("any_pivot"),
-        _any(has("Connector")).alias("any_connector"),
-        _any(file_like).alias("any_file"),
-        _any(has("Oracle") | has("DB2") | has("SQLServer")).alias("any_jdbc"),
+        *[F.sum(c).alias(c) for c in sums.split()],
+        F.bit_or("mask").alias("_mask"),
     )
+    flags = {
+        name: F.col("_mask").bitwiseAND(F.lit(1 << bit)) != 0 for bit, name in enumerate(FLAGS)
+    }
+    counted = per_entity.withColumns(flags).drop("_mask")
     return with_score(
-        per_entity.join(branch_counts(links, key), key, "left").na.fill(
+        counted.join(branch_counts(links, key), key, "left").na.fill(
             0, ["n_links", "n_branches", "n_complex_branches"]
         )
     )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stageloom.operators.ordering import dense_number
 from stageloom.operators.sequences import ORDERED_LIMIT, bag_profiles, ordered_steps
+from stageloom.scratch import materialise
 
 #: Sets up to this size are joined on shared subsets, larger ones on rare steps.
 SUBSET_LIMIT = 13
@@ -72,27 +73,28 @@ def sequence_patterns(sequences: DataFrame, key: str, step: str) -> tuple[DataFr
 
     ``sequences`` is (entity, step_no, step). Copies collapse here, so a pattern that a third
     of all entities share is compared once. Patterns: id (first member), n_members, n_steps, steps
-    (distinct), counts, seq.
+    (distinct), counts, seq. The steps below read each of these tables several times, so they are
+    stored.
     """
-    profiles = bag_profiles(sequences, key, step)
+    profiles = materialise(bag_profiles(sequences, key, step), "profiles")
     members = profiles.select(key, "fingerprint")
     unique = profiles.groupBy("fingerprint").agg(
         F.min(F.struct(key, "n_steps", "bag")).alias("first"),
         F.count(F.lit(1)).alias("n_members"),
     )
-    patterns = unique.select(
+    patterns = materialise(unique.select(
         F.col(f"first.{key}").alias("id"),
         "fingerprint",
         "n_members",
         F.col("first.n_steps").alias("n_steps"),
         F.col("first.bag.step").alias("steps"),
         F.col("first.bag.n").alias("counts"),
-    )
+    ), "unique")
     first = patterns.select(F.col("id").alias(key))
     seqs = ordered_steps(
         sequences.join(first, key, "left_semi"), key, "step_no", step, profiles
     ).withColumnRenamed(key, "id")
-    return patterns.join(seqs, "id", "left"), members
+    return materialise(patterns.join(seqs, "id", "left"), "patterns"), members
 
 
 def _shared_at_least(size: Column, permille: int) -> Column:
@@ -225,7 +227,10 @@ def similar_pairs(patterns: DataFrame, t: float = 0.85) -> DataFrame:
     side = lambda p: patterns.select(
         F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n_steps", "steps", "counts", "seq")]
     )
-    scored = candidates.join(side("a"), "a").join(side("b"), "b")
+    # A candidate is a few bytes but takes work to score: keep the full number of tasks for
+    # the last join instead of letting AQE merge its small partitions.
+    tasks = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = candidates.join(side("b"), "b").repartition(tasks, "a").join(side("a"), "a")
     m, n = F.col("a_n_steps"), F.col("b_n_steps")
     scored = scored.withColumns(
         {

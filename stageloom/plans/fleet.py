@@ -37,15 +37,15 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
     """job_id, position, name, type, properties, quantity."""
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     types = F.array(*[F.lit(t) for t in TYPES])
-    lines = load(spark, d, "lineitem").join(
-        load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")
+    # The type is worked out per part, before the join repeats it per line.
+    parts = load(spark, d, "part").select(
+        "p_partkey", F.element_at(types, brand).alias("type"), "p_name", "p_type"
     )
-    rows = lines.select(
-        F.col("l_orderkey").alias("job_id"),
-        *ORDER,
-        F.element_at(types, brand).alias("type"),
-        "p_name",
-        "p_type",
+    rows = (
+        load(spark, d, "lineitem")
+        .select(F.col("l_orderkey").alias("job_id"), *ORDER)
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .drop("p_partkey")
     )
     numbered = ordered_scan(rows, ["job_id"], ORDER, [{"position": ("row_number", None)}])
     rows = numbered.select(
