@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stageloom.operators.aggregate import best_per_group
-from stageloom.operators.ordering import OrderKey, group_number
+from stageloom.operators.ordering import OrderKey, group_number, parse_key
 from stageloom.operators.windows import chunk_groups
 
 
@@ -69,7 +69,7 @@ def build_batches(
 
 
 def _names(order: Sequence[OrderKey]) -> list[str]:
-    return [k[0] if isinstance(k, tuple) else k for k in order]
+    return [parse_key(k)[0] for k in order]
 
 
 def select_representatives(

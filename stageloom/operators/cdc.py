@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stageloom.operators.joins import kept_rows
-from stageloom.operators.ordering import OrderKey, first_per_group
+from stageloom.operators.ordering import OrderKey, first_per_group, reversed_order
 
 OPEN_END = "9999-12-31"
 
@@ -37,12 +37,7 @@ def latest_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[OrderKey]
 ) -> DataFrame:
     """One row per key, the last in the given order."""
-    flipped = [
-        k[0] if isinstance(k, tuple) and k[1] == "desc"
-        else (k[0] if isinstance(k, tuple) else k, "desc")
-        for k in order
-    ]
-    return first_per_group(df, keys, flipped)
+    return first_per_group(df, keys, reversed_order(order))
 
 
 def change_capture(
@@ -166,3 +161,30 @@ def scd2(
         .otherwise(F.array(kept))
     )
     return joined.select(F.inline(versions)).unionByName(history)
+
+
+def cdc_run(
+    source: DataFrame,
+    base: str,
+    keys: Sequence[str],
+    bookmark: str,
+    order: Sequence[OrderKey],
+) -> bool:
+    """One incremental run: rows after the stored bookmark go into the versioned target.
+
+    Returns False, and writes nothing, if nothing is new. The bookmark moves after the target, so a
+    run lost in between is repeated with the same result.
+    """
+    from stageloom.sources.files import incremental_read
+    from stageloom.sources.sinks import overwrite, read_current
+
+    spark = source.sparkSession
+    state = read_current(spark, f"{base}/bookmark")
+    last = None if state is None else state.first()["last"]
+    fresh, top = incremental_read(source, bookmark, last)
+    if top == last:
+        return False
+    target = read_current(spark, f"{base}/target")
+    overwrite(change_apply(target, latest_per_key(fresh, keys, order), keys), f"{base}/target")
+    overwrite(spark.range(1).select(F.lit(top).alias("last")), f"{base}/bookmark")
+    return True

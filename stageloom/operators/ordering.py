@@ -29,22 +29,31 @@ FEW_GROUPS = 100_000
 
 _BLOCK_SHIFT = 33  # monotonically_increasing_id() = (partition << 33) + row in partition
 
-OrderKey = str | tuple[str, str]
+OrderKey = str | tuple[str, ...]
 Scan = dict[str, tuple[str, str | None]]
 
 
 def sort_columns(order: Sequence[OrderKey]) -> list[Column]:
-    """``"c"`` or ``("c", "desc")`` to sort columns; NULLs always come last."""
+    """``"c"``, ``("c", "desc")`` or ``("c", "desc", "first")``; NULLs come last unless said."""
     out = []
     for key in order:
-        name, direction = key if isinstance(key, tuple) else (key, "asc")
-        column = F.col(name)
-        out.append(
-            column.desc_nulls_last() if direction == "desc" else column.asc_nulls_last()
-        )
+        name, direction, nulls = parse_key(key)
+        column = getattr(F.col(name), f"{direction}_nulls_{nulls}")
+        out.append(column())
     return out
 
 
+def parse_key(key: OrderKey) -> tuple[str, str, str]:
+    parts = key if isinstance(key, tuple) else (key,)
+    return (*parts, *("asc", "last")[len(parts) - 1 :])
+
+
+def reversed_order(order: Sequence[OrderKey]) -> list[OrderKey]:
+    """The exact reverse, NULL placement included."""
+    flip = {"asc": "desc", "desc": "asc", "first": "last", "last": "first"}
+    return [(n, flip[d], flip[nulls]) for n, d, nulls in map(parse_key, order)]
+
+
 def ordered_blocks(
     df: DataFrame,
     group: Sequence[str],

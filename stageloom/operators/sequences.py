@@ -99,8 +99,8 @@ def fingerprint_lines(lines: DataFrame, key: str, line: str, out: str = "fingerp
     """
     sums = lines.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.xxhash64(line).cast("decimal(20,0)")).alias("_a"),
-        F.sum(F.xxhash64(F.lit("b"), line).cast("decimal(20,0)")).alias("_b"),
+        F.sum(F.xxhash64(line).cast("decimal(28,0)")).alias("_a"),
+        F.sum(F.xxhash64(F.lit("b"), line).cast("decimal(28,0)")).alias("_b"),
     )
     large = sums.where(F.col("_n") > limit).select(
         key, F.sha2(F.concat_ws("|", F.lit("large"), "_n", "_a", "_b"), 256).alias(out)
@@ -144,8 +144,8 @@ def structural_fingerprint(stages: DataFrame, links: DataFrame, key: str, limit:
     lines = structural_lines(stages, links, key)
     sums = lines.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.xxhash64("line").cast("decimal(20,0)")).alias("_a"),
-        F.sum(F.xxhash64(F.lit("b"), "line").cast("decimal(20,0)")).alias("_b"),
+        F.sum(F.xxhash64("line").cast("decimal(28,0)")).alias("_a"),
+        F.sum(F.xxhash64(F.lit("b"), "line").cast("decimal(28,0)")).alias("_b"),
     )
     large = sums.where(F.col("_n") > limit).select(
         key, F.sha2(F.concat_ws("|", F.lit("large"), "_n", "_a", "_b"), 256).alias("fingerprint")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stageloom.operators.ordering import OrderKey, first_per_group, sort_columns
+from stageloom.operators.ordering import OrderKey, first_per_group, reversed_order, sort_columns
 
 
 def sort_stage(df: DataFrame, order: Sequence[OrderKey]) -> DataFrame:
@@ -21,11 +21,7 @@ def head_stage(df: DataFrame, n: int, order: Sequence[OrderKey]) -> DataFrame:
 
 def tail_stage(df: DataFrame, n: int, order: Sequence[OrderKey]) -> DataFrame:
     """Last ``n`` rows: the first ``n`` of the reversed order."""
-    flipped = [
-        k[0] if isinstance(k, tuple) and k[1] == "desc" else (k[0] if isinstance(k, tuple) else k, "desc")
-        for k in order
-    ]
-    return head_stage(df, n, flipped)
+    return head_stage(df, n, reversed_order(order))
 
 
 def sample_stage(df: DataFrame, fraction: float, seed: int) -> DataFrame:

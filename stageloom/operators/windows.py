@@ -13,8 +13,9 @@ from stageloom.operators.ordering import (
     dense_number,
     first_per_group,
     group_number,
-    null_safe,
     ordered_scan,
+    parse_key,
+    reversed_order,
 )
 
 
@@ -24,12 +25,14 @@ class WindowSpec:
 
     out: str
     function: str
-    column: str | None = None
+    column: str | int | None = None
     partition_by: Sequence[str] = ()
     order_by: Sequence[OrderKey] = ()
 
 
 RANKS = ("row_number", "rank", "dense_rank")
+SHARES = ("percent_rank", "cume_dist", "ntile")
+RUNNING = ("sum", "count", "min", "max", "avg")
 
 
 def window_columns(
@@ -45,14 +48,41 @@ def window_columns(
             df = _whole_group(df, spec)
         elif spec.function in RANKS:
             df = _rank(df, spec, limit)
-        elif spec.function == "lag":
+        elif spec.function in SHARES:
+            df = _share(df, spec, limit)
+        elif spec.function in ("lag", "lead"):
+            order = spec.order_by if spec.function == "lag" else reversed_order(spec.order_by)
             scan = {spec.out: ("lag", spec.column)}
-            df = ordered_scan(df, spec.partition_by, spec.order_by, [scan], limit)
-        else:
+            df = ordered_scan(df, spec.partition_by, order, [scan], limit)
+        elif spec.function in RUNNING:
             df = _running(df, spec, limit)
+        else:
+            raise ValueError(f"unknown window function {spec.function!r}")
     return df
 
 
+def _share(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
+    """Functions of a rank and the size of the group; ``ntile`` takes its number as column."""
+    by, order = spec.partition_by, spec.order_by
+    part = {"percent_rank": "rank", "cume_dist": "count", "ntile": "row_number"}[spec.function]
+    ranked = window_columns(
+        df, [WindowSpec("_at", part, None, by, order), WindowSpec("_n", "count", None, by)], limit
+    )
+    at, n = F.col("_at"), F.col("_n")
+    if spec.function == "percent_rank":
+        value = F.when(n > 1, (at - 1) / (n - 1)).otherwise(0.0)
+    elif spec.function == "cume_dist":
+        value = at / n
+    else:
+        # The first n % k tiles hold one row more.
+        k = int(spec.column)
+        size, more = F.floor(n / k), n % k
+        wide = more * (size + 1)
+        narrow = more + F.floor((at - wide - 1) / F.greatest(size, F.lit(1))) + 1
+        value = F.when(at <= wide, F.floor((at - 1) / (size + 1)) + 1).otherwise(narrow)
+    return ranked.withColumn(spec.out, value).drop("_at", "_n")
+
+
 def _whole_group(df: DataFrame, spec: WindowSpec) -> DataFrame:
     value = getattr(F, spec.function)(spec.column or F.lit(1)).alias(spec.out)
     if not spec.partition_by:
@@ -65,7 +95,7 @@ def _whole_group(df: DataFrame, spec: WindowSpec) -> DataFrame:
 
 
 def _key_names(order_by: Sequence[OrderKey]) -> list[str]:
-    return [k[0] if isinstance(k, tuple) else k for k in order_by]
+    return [parse_key(k)[0] for k in order_by]
 
 
 def _rank(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
@@ -101,13 +131,13 @@ def _rank(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
 def _running(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
     """Running aggregate with peers merged: scan one row per peer group, join back."""
     keys = [*spec.partition_by, *_key_names(spec.order_by)]
-    column = spec.column or keys[-1]
+    column = F.col(spec.column) if spec.column else F.lit(1)
     parts = {"avg": ["sum", "count"]}.get(spec.function, [spec.function])
     per_peer = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
         *[getattr(F, p)(column).alias(f"_p_{p}") for p in parts]
     )
     order = [
-        (f"_g_{k[0]}", k[1]) if isinstance(k, tuple) else f"_g_{k}" for k in spec.order_by
+        (f"_g_{n}", d, nulls) for n, d, nulls in map(parse_key, spec.order_by)
     ]
     scans = {
         f"_r_{p}": ("sum" if p in ("sum", "count") else p, f"_p_{p}") for p in parts

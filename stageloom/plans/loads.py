@@ -245,6 +245,21 @@ def scd2(spark, d):
     return C.scd2(dim, src.select(*keep), ["c_custkey"], ["c_acctbal"], F.lit("2024-02-01"))
 
 
+@query(
+    "cdc_run",
+    """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type
+         ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def cdc_run(spark, d):
+    """Two runs: what came up to the middle of the month, then all the rest."""
+    base = new_path(spark, "cdc")
+    events = load(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    early = events.where(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))
+    for source in (early, events):
+        C.cdc_run(source, base, ["user_id", "event_type"], "ts", ["ts", "event_id"])
+    return K.read_current(spark, f"{base}/target").drop("ts")
+
+
 @query("check_not_empty", "SELECT 'not_empty' AS check_name, CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS n_rows FROM lineitem")
 def check_not_empty(spark, d):
     return Q.check_not_empty(load(spark, d, "lineitem"))

@@ -180,10 +180,20 @@ def calibration(spark, d):
     )
 
 
-@query("calibrated_predictions")
+CALIBRATED_SQL = P.replace("0.85::DOUBLE + automation_ratio", "(SELECT avg(CAST(success AS INTEGER)) FROM results) + automation_ratio").replace(
+    "AS DECIMAL(18,6)), 1) AS DOUBLE) AS estimated_hours",
+    "AS DECIMAL(18,6)) * CAST((SELECT CAST(sum(actual_hours) AS DOUBLE) / CAST(sum(predicted_hours) AS DOUBLE) FROM results) AS DECIMAL(10,4)), 1) AS DOUBLE) AS estimated_hours",
+).replace("WITH stages", f"WITH results AS ({RESULTS_SQL}), stages", 1)
+
+
+@query(
+    "calibrated_predictions",
+    CALIBRATED_SQL
+    + "SELECT job_id, round(success_probability, 6) AS success_probability, estimated_hours FROM predictions",
+)
 def calibrated_predictions(spark, d):
     return R.calibrated_predictions(features(spark, d), results(spark, d)).select(
-        "job_id", "success_probability", "estimated_hours"
+        "job_id", F.round("success_probability", 6).alias("success_probability"), "estimated_hours"
     )
 
 

@@ -70,18 +70,32 @@ def test_first_per_group_is_limited_before_the_shuffle(skewed, plan_of):
     assert out.count() == 4
 
 
-@pytest.mark.parametrize("function", ["rank", "dense_rank", "sum", "avg", "max", "count"])
+@pytest.mark.parametrize("function", ["rank", "dense_rank", "sum", "avg", "max", "count", "percent_rank", "cume_dist"])
 def test_window_columns_match_the_sql_default_frame(skewed, function):
     spec = W.WindowSpec("out", function, "pos", ["k"], ["v"])
     mine = W.window_columns(skewed, [spec], limit=20)
     skewed.createOrReplaceTempView("skewed")
-    arg = "" if "rank" in function else "pos"
+    arg = "" if "rank" in function or function == "cume_dist" else "pos"
     sql = skewed.sparkSession.sql(
         f"SELECT *, {function}({arg}) OVER (PARTITION BY k ORDER BY v NULLS LAST) AS out FROM skewed"
     )
     assert rows(mine.withColumn("out", F.round("out", 6))) == rows(sql.withColumn("out", F.round("out", 6)))
 
 
+@pytest.mark.parametrize("k", [1, 7, 250])
+def test_ntile_and_lead_match_sql(skewed, k):
+    specs = [W.WindowSpec("tile", "ntile", k, ["k"], ["pos"]), W.WindowSpec("nxt", "lead", "v", ["k"], [("v", "desc"), "pos"])]
+    mine = W.window_columns(skewed, specs, limit=20)
+    skewed.createOrReplaceTempView("skewed")
+    sql = skewed.sparkSession.sql(
+        f"""SELECT *, ntile({k}) OVER (PARTITION BY k ORDER BY pos) AS tile,
+                   lead(v) OVER (PARTITION BY k ORDER BY v DESC NULLS LAST, pos) AS nxt FROM skewed"""
+    )
+    assert rows(mine) == rows(sql)
+    with pytest.raises(ValueError):
+        W.window_columns(skewed, [W.WindowSpec("x", "mystery", "v", ["k"], ["pos"])])
+
+
 def test_waves_and_chunks(skewed):
     sizes = W.waves(skewed, ["pos"], 50).groupBy("wave").count()
     assert rows(sizes) == [(i, 50) for i in range(1, 7)]

@@ -124,6 +124,18 @@ def test_latest_per_key_for_repeated_source_keys(spark):
     assert rows(C.latest_per_key(df, ["k"], ["seq"]), "v") == [("c",)]
 
 
+def test_cdc_run_goes_on_after_the_bookmark(spark, tmp_path):
+    base = str(tmp_path / "cdc")
+    day = [(1, 1, "a"), (2, 2, "b"), (1, 3, "c")]
+    df = lambda data: spark.createDataFrame(data, "k int, seq int, v string")
+    run = lambda data: C.cdc_run(df(data), base, ["k"], "seq", ["seq"])
+    assert run(day) and not run(day)
+    assert rows(K.read_current(spark, f"{base}/target")) == [(1, 3, "c"), (2, 2, "b")]
+    # A late row below the bookmark is not seen again.
+    assert run([*day, (2, 4, "d"), (3, 0, "late")])
+    assert rows(K.read_current(spark, f"{base}/target")) == [(1, 3, "c"), (2, 4, "d")]
+
+
 def test_scd2_closes_opens_and_keeps(spark, change_set):
     before, after = change_set
     dim = C.scd2_initial(before, F.lit("2024-01-01"))
