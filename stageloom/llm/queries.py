@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stageloom.llm import bpe, classifier, fingerprints, secret_scan, urls
-from stageloom.llm.sql import URL_SQL
+from stageloom.llm import bpe, classifier, fingerprints, repeats, secret_scan, setsketch, urls
+from stageloom.llm.sql import NEAR_SQL, REPEAT_SQL, URL_SQL
 from stageloom.scratch import materialise
 from stageloom.tables import load
 
@@ -51,6 +51,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(load(spark, sf_dir, "documents"))
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(load(spark, sf_dir, "documents"), width=4)
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     stats = classifier.with_statistics(docs.select("doc_id", "text"))
@@ -62,7 +70,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_lempel_ziv, op3_host_reputation, op4_byte_bpe, op5_secrets, op9_quality)
+    f.__name__: f for f in (op1_lempel_ziv, op3_host_reputation, op4_byte_bpe, op5_secrets, op7_setsketch, op8_repeats, op9_quality)
 }
 
 
@@ -71,4 +79,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": URL_SQL}
+    return {"op3_host_reputation": URL_SQL, "op7_setsketch": NEAR_SQL, "op8_repeats": REPEAT_SQL}
