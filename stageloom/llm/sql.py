@@ -72,7 +72,7 @@ FROM ruled JOIN judged USING (host)
 NEAR_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
@@ -95,7 +95,7 @@ FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 
 REPEAT_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s
   FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM docs WHERE len(ws) >= 50)
