@@ -1,7 +1,7 @@
 """A filter of fixed size in front of a shuffle: which rows may have a key of a set.
 
-The set's keys are 64-bit hashes. Their low bits mark places in one bit map of BITS bits, whatever the
-set's size; a full map lets every row pass, so a filter only ever saves work.
+The set's keys are 64-bit hashes. Their low bits mark places in one bit map of BITS bits (or another
+fixed number), whatever the set's size; a full map lets every row pass, so a filter only ever saves work.
 """
 
 from __future__ import annotations
@@ -14,25 +14,29 @@ from pyspark.sql import functions as F
 BITS = 1 << 22
 
 
-def bit_map(keys: DataFrame, column: str) -> np.ndarray:
-    """The bit map of a column of 64-bit hashes; at most BITS / 64 numbers reach the driver."""
-    place = F.col(column).bitwiseAND(F.lit(BITS - 1))
+def bit_map(keys: DataFrame, column: str, size: int = BITS) -> np.ndarray:
+    """The bit map of a column of 64-bit hashes; at most size / 64 numbers reach the driver. ``size`` is a power of 2."""
+    place = F.col(column).bitwiseAND(F.lit(size - 1))
     bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 AS int))")
     rows = keys.where(F.col(column).isNotNull()).groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    out = np.zeros(BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     for word, bits in rows.collect():
         out[word] = bits
     return out
 
 
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each 64-bit hash (signed) whether its place is marked."""
+    return (bits[(hashes & (len(bits) * 64 - 1)) >> 6] >> (hashes & 63)) & 1 == 1
+
+
 def may_be_in(df: DataFrame, bits: np.ndarray, column: str) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose hash may be in the set, and those whose hash is not; NULL is not."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def found(hashes: pd.Series) -> pd.Series:
-        values = hashes.to_numpy(dtype=np.int64)
-        return pd.Series((shared.value[(values & (BITS - 1)) >> 6] >> (values & 63)) & 1 == 1)
+        return pd.Series(marked(shared.value, hashes.to_numpy(dtype=np.int64)))
 
     hit: Column = F.col(column).isNotNull() & found(F.coalesce(F.col(column), F.lit(0).cast("long")))
     return df.where(hit), df.where(~hit)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stageloom.llm import bpe, classifier, fingerprints, repeats, secret_scan, setsketch, urls
+from stageloom.llm import bpe, classifier, decontam, fingerprints, ppm, repeats, secret_scan, setsketch, urls
 from stageloom.llm.sql import NEAR_SQL, REPEAT_SQL, URL_SQL
 from stageloom.scratch import materialise
 from stageloom.tables import load
@@ -32,6 +32,10 @@ def op1_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("tag")
+
+
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document that its url's path names by number."""
     pages, labels = load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels")
@@ -51,6 +55,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(load(spark, sf_dir, "documents"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(load(spark, sf_dir, "documents"), remainder(10) == 0)
+
+
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(load(spark, sf_dir, "documents"), width=4)
 
@@ -70,7 +78,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_lempel_ziv, op3_host_reputation, op4_byte_bpe, op5_secrets, op7_setsketch, op8_repeats, op9_quality)
+    f.__name__: f
+    for f in (
+        op1_lempel_ziv,
+        op2_spaced_seeds,
+        op3_host_reputation,
+        op4_byte_bpe,
+        op5_secrets,
+        op6_ppm,
+        op7_setsketch,
+        op8_repeats,
+        op9_quality,
+    )
 }
 
 
