@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching.
 
 A trie of byte contexts up to ORDER bytes is counted over all training texts in Spark. A byte's
-probability is its count in the longest known context; on an escape (method C: as many escapes as
-different symbols) the context loses its oldest byte and symbols seen before are excluded.
+probability comes from the longest known context; on an escape (method D: half a count goes from each
+different symbol to the escape) the context loses its oldest byte and symbols seen before are excluded.
 The text is its words, A-Z lower-cased, joined by single spaces, and an end symbol.
 """
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from stageloom.llm import text as tx
 from stageloom.scratch import materialise
 
-ORDER = 4
+ORDER = 5
+SHARED_ORDER = 2  # counts up to this order go to every task
 SYMBOLS = 256  # bytes; 0xFE stands for the end and 0xFF for what is before the text, neither occurs in UTF-8
 END, BEFORE = 0xFE, 0xFF
 GRAMS_PER_SLICE = 4_000_000
@@ -107,14 +108,14 @@ def _where(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 class Trie:
     """Grams with counts as sorted arrays per order, with what escapes need.
 
-    ``grams`` are (ORDER bytes, symbol) of all contexts with some last two bytes; ``pairs`` are all
-    (byte, symbol) grams of the corpus, for the orders that such a slice does not hold by itself.
+    ``grams`` are (ORDER bytes, symbol) of all contexts in a range of last bytes; ``shorter`` are all grams
+    of SHARED_ORDER bytes and a symbol, for the orders that such a slice does not hold by itself.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, shorter: np.ndarray, shorter_counts: np.ndarray):
         self.grams, self.counts, self.contexts, self.n, self.q = {}, {}, {}, {}, {}
         for order in range(ORDER, -1, -1):
-            base, base_counts = (grams, counts) if order > 1 else (pairs, pair_counts)
+            base, base_counts = (grams, counts) if order > SHARED_ORDER else (shorter, shorter_counts)
             mask = _U((1 << 8 * (order + 1)) - 1)
             self.grams[order], self.counts[order] = tx.summed(base & mask, base_counts)
             context = self.grams[order] >> _U(8)
@@ -124,15 +125,18 @@ class Trie:
         # Per context of an order: what is left of the next shorter one once its symbols are excluded.
         self.left_n, self.left_q = {}, {}
         for order in range(ORDER, 0, -1):
-            shorter = order - 1
-            parent, _ = _where(self.contexts[shorter], self.contexts[order] & _U((1 << 8 * shorter) - 1))
-            same, _ = _where(self.grams[shorter], self.grams[order] & _U((1 << 8 * order) - 1))
+            below = order - 1
+            if not len(self.grams[order]):
+                self.left_n[order] = self.left_q[order] = np.zeros(0)
+                continue
+            parent, _ = _where(self.contexts[below], self.contexts[order] & _U((1 << 8 * below) - 1))
+            same, _ = _where(self.grams[below], self.grams[order] & _U((1 << 8 * order) - 1))
             owner, _ = _where(self.contexts[order], self.grams[order] >> _U(8))
-            seen = np.bincount(owner, weights=self.counts[shorter][same], minlength=len(self.contexts[order]))
-            self.left_n[order] = self.n[shorter][parent] - seen
-            self.left_q[order] = self.q[shorter][parent] - self.q[order]
+            seen = np.bincount(owner, weights=self.counts[below][same], minlength=len(self.contexts[order]))
+            self.left_n[order] = self.n[below][parent] - seen
+            self.left_q[order] = self.q[below][parent] - self.q[order]
         at, _ = _where(self.contexts[ORDER], self.grams[ORDER] >> _U(8))
-        direct = np.log10(self.counts[ORDER] / (self.n[ORDER][at] + self.q[ORDER][at])) if len(at) else np.zeros(0)
+        direct = np.log10((self.counts[ORDER] - 0.5) / self.n[ORDER][at]) if len(at) else np.zeros(0)
         self.direct = Table(self.grams[ORDER], direct)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
@@ -157,9 +161,9 @@ class Trie:
                 q = np.where(has_child, self.left_q[order + 1][child], q)
             if found.any():
                 hit = np.flatnonzero(found)
-                out[open_[hit]] += np.log10(self.counts[order][place[hit]] / (n[hit] + q[hit]))
+                out[open_[hit]] += np.log10((self.counts[order][place[hit]] - 0.5) / n[hit])
             escapes = np.flatnonzero(~found & has & (q > 0))  # with no symbol left an escape is certain
-            out[open_[escapes]] += np.log10(q[escapes] / (n[escapes] + q[escapes]))
+            out[open_[escapes]] += np.log10(0.5 * q[escapes] / n[escapes])
             open_, child, has_child = open_[~found], context[~found], has[~found]
         different = int(self.q[0][0]) if len(self.q[0]) else 0
         out[open_] -= np.log10(max(1, SYMBOLS - different))
@@ -222,14 +226,32 @@ def _long_array(rows: DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 def slices(sizes: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    """Ranges of last-two-byte groups, first to last, that hold at most ``limit`` grams or one group; they cover all groups."""
+    """Ranges of suffixes, first to last, that start at listed ones and hold at most ``limit`` grams or one entry."""
     starts, room = [0], limit
-    for group, size in sizes:
+    for suffix, size in sizes:
         if size > room and room < limit:
-            starts.append(group)
+            starts.append(suffix)
             room = limit
         room -= size
-    return list(zip(starts, [s - 1 for s in starts[1:]] + [0xFFFF], strict=True))
+    return list(zip(starts, [s - 1 for s in starts[1:]] + [0xFFFFFF], strict=True))
+
+
+def _suffix(key: Column) -> Column:
+    """The last three context bytes, the last one first."""
+    byte = lambda k: F.shiftright(key, 8 * k).bitwiseAND(0xFF)
+    return F.shiftleft(byte(1), 16) + F.shiftleft(byte(2), 8) + byte(3)
+
+
+def _suffix_sizes(grams: DataFrame, limit: int) -> list[tuple[int, int]]:
+    """Gram counts by the last two context bytes (at most 65,536 rows), by three where two have over ``limit``."""
+    suffix = _suffix(F.col("key"))
+    sizes = grams.groupBy(F.shiftright(suffix, 8).alias("two")).agg(F.count(F.lit(1)).alias("n")).collect()
+    large = [r.two for r in sizes if r.n > limit]
+    out = [(r.two << 8, r.n) for r in sizes if r.n <= limit]
+    for two in large:
+        inside = grams.where(F.shiftright(suffix, 8) == two)
+        out += [tuple(r) for r in inside.groupBy(suffix.alias("three")).agg(F.count(F.lit(1))).collect()]
+    return sorted(out)
 
 
 def score_documents(
@@ -246,9 +268,9 @@ def score_documents(
     unigram model of words and an end token with additive smoothing. A NULL text is empty: one
     end token. Rows may repeat; without training rows every byte has probability 1/256.
 
-    Counts cover all training rows. The trie reaches tasks in slices of contexts that share their
-    last two bytes, at most max(grams_per_slice, 256 ** 3) grams each, one pass over the texts
-    per slice. Counts of the ``hot_words`` most frequent words are broadcast; the others are joined.
+    Counts cover all training rows. The trie reaches tasks in slices, ranges of contexts by their last three
+    bytes: at most max(grams_per_slice, 256 ** 3) grams each, one pass over the texts per slice, with
+    the at most 256 ** 3 grams of SHARED_ORDER. Counts of the ``hot_words`` most frequent words are broadcast; the others are joined.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
@@ -258,10 +280,9 @@ def score_documents(
     totals = dict(counts.where("kind = 2").select("key", "count").collect())
     n_words, n_rows = totals.get(0, 0), totals.get(1, 0)
     grams, words = counts.where("kind = 0"), counts.where("kind = 1").select(F.col("key").alias("word"), "count")
-    pairs = grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("count").alias("count"))
-    pair_arrays = [a.astype(t) for a, t in zip(_long_array(pairs, "key", "count"), (_U, np.int64), strict=True)]
-    group = F.shiftright(F.col("key"), 8).bitwiseAND(0xFFFF)
-    sizes = grams.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("size")).orderBy("group").collect()  # at most 65,536
+    shorter = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (SHARED_ORDER + 1)) - 1).alias("key"))
+    shorter = _long_array(shorter.agg(F.sum("count").alias("count")), "key", "count")
+    shorter = shorter[0].astype(_U), shorter[1].copy()
     different = words.count()
     train_tokens = n_words + n_rows
     spread = different + (1 if n_rows else 0)
@@ -271,11 +292,11 @@ def score_documents(
     context = docs.sparkSession.sparkContext
     hot_shared = context.broadcast((hot[0].view(_U), np.log10(hot[1] + ALPHA)))
     rows = docs.withColumn("score", F.lit(0.0))
-    parts = slices([(r.group, r.size) for r in sizes], grams_per_slice)
+    parts = slices(_suffix_sizes(grams, grams_per_slice), grams_per_slice)
     for i, (low, high) in enumerate(parts):
-        chosen = grams.where(group.between(low, high))
+        chosen = grams.where(_suffix(F.col("key")).between(low, high))
         arrays = [a.copy() for a in _long_array(chosen.select("key", "count"), "key", "count")]
-        trie = context.broadcast((arrays[0].view(_U), arrays[1], *pair_arrays))
+        trie = context.broadcast((arrays[0].view(_U), arrays[1], *shorter))
         rows = rows.mapInArrow(_add_scores(trie, uuid.uuid4().hex, low, high), rows.schema)
         if i + 1 < len(parts):
             rows = materialise(rows, "scored-slices")
@@ -322,10 +343,14 @@ def _add_scores(shared, key: str, low: int, high: int):
         for batch in tx.chunks(batches, limit=CHUNK_BYTES):
             data, offsets = tx.raw(batch["text"])
             keys, first = normal_stream(data, offsets, tx.words(data, offsets))
-            group = (keys >> _U(8)) & _U(0xFFFF)
-            mine = (group >= _U(low)) & (group <= _U(high))
-            scores = np.zeros(len(keys))
-            scores[mine] = trie.log10(keys[mine])
+            if (low, high) == (0, 0xFFFFFF):
+                scores = trie.log10(keys)
+            else:
+                byte = lambda k: (keys >> _U(8 * k)) & _U(0xFF)  # noqa: B023, E731
+                suffix = (byte(1) << _U(16)) | (byte(2) << _U(8)) | byte(3)
+                mine = (suffix >= _U(low)) & (suffix <= _U(high))
+                scores = np.zeros(len(keys))
+                scores[mine] = trie.log10(keys[mine])
             added = batch["score"].to_numpy() + np.add.reduceat(scores, first[:-1])  # no row is without its end
             columns = [pa.array(added) if n == "score" else batch[n] for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
