@@ -160,15 +160,4 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     """Rows of ``docs`` with all their columns that share no window with any test item."""
     hit = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
     hit = materialise(hit, "contaminated")
-    return rows_without(docs, hit, id_col, text_col)
-
-
-def rows_without(docs: DataFrame, hit: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows whose id and text are not in ``hit`` (hit_id, hit_tag); only rows that may be are shuffled."""
-    tag = "tag_"
-    while tag in docs.columns:
-        tag += "_"
-    tagged = docs.withColumn(tag, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    touched, whole = members.may_be_in(tagged, members.bit_map(hit, "hit_tag"), tag)
-    same = (F.col(tag) == F.col("hit_tag")) & F.col(id_col).eqNullSafe(F.col("hit_id"))
-    return whole.unionByName(touched.join(hit, same, "left_anti")).drop(tag)
+    return members.rows_without(docs, hit, id_col, text_col)

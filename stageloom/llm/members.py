@@ -40,3 +40,20 @@ def may_be_in(df: DataFrame, bits: np.ndarray, column: str) -> tuple[DataFrame,
 
     hit: Column = F.col(column).isNotNull() & found(F.coalesce(F.col(column), F.lit(0).cast("long")))
     return df.where(hit), df.where(~hit)
+
+
+def rows_without(docs: DataFrame, hit: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows whose id and text are not in ``hit`` (hit_id, hit_tag); only rows that may be are shuffled."""
+    tag = free_name(docs, "tag")
+    tagged = docs.withColumn(tag, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    touched, whole = may_be_in(tagged, bit_map(hit, "hit_tag"), tag)
+    same = (F.col(tag) == F.col("hit_tag")) & F.col(id_col).eqNullSafe(F.col("hit_id"))
+    return whole.unionByName(touched.join(hit, same, "left_anti")).drop(tag)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stageloom.llm import bpe, classifier, decontam, fingerprints, ppm, repeats, secret_scan, setsketch, urls
+from stageloom.llm import bpe, chat, classifier, decontam, fingerprints, ppm, repeats, secret_scan, setsketch, urls
 from stageloom.llm.sql import NEAR_SQL, REPEAT_SQL, URL_SQL
 from stageloom.scratch import materialise
 from stageloom.tables import load
@@ -60,7 +61,7 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(load(spark, sf_dir, "documents"), width=4)
+    return setsketch.near_duplicates(load(spark, sf_dir, "documents"), width=4).drop("tag")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as raw transcripts, their roles taken away and found again."""
+    segments = chat.render_transcripts(load(spark, sf_dir, "conversations"))
+    return chat.parse_transcripts(segments.drop("role"), chat.fit(segments))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -89,8 +96,9 @@ QUERIES: dict[str, Query] = {
         op7_setsketch,
         op8_repeats,
         op9_quality,
+        op10_transcripts,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 
 def queries() -> dict[str, Query]:
@@ -98,4 +106,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": URL_SQL, "op7_setsketch": NEAR_SQL, "op8_repeats": REPEAT_SQL}
+    sql = {"op3_host_reputation": URL_SQL, "op7_setsketch": NEAR_SQL, "op8_repeats": REPEAT_SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
