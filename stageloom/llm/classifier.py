@@ -22,15 +22,14 @@ from pyspark.sql import types as T
 from stageloom.llm import text as tx
 
 STATISTICS = (
-    "n_words word_length upper_share digit_share symbol_share bang_share stop_share comma_share "
-    "line_share distinct_share long_share non_ascii_share"
+    "n_words word_length upper_share symbol_share bang_share stop_share comma_share line_share distinct_share non_ascii_share"
 ).split()
 MAX_TRAINING_ROWS = 200_000
 TREES, DEPTH, LASSO = 16, 3, 0.001
+LONGEST_COUNTED = 16
 
 _CLASS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "digit": b"0123456789",
     "symbol": b"#$%&*+/<=>@[\\]^_`{|}~",
     "bang": b"!?",
     "stop": b".",
@@ -60,19 +59,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     # A row's different words: rows in the upper 20 bits, 44 bits of the hash below.
     tagged = (owner.astype(tx.U64) << tx.U64(44)) | (tx.word_hashes(data, starts, ends, True) >> tx.U64(20))
     different, _ = tx.distinct(tagged)
-    long_words = np.bincount(owner[ends - starts > 14], minlength=rows)
+    # One key or address in a short text must not look like a text of long words.
+    length = np.bincount(owner, weights=np.minimum(ends - starts, LONGEST_COUNTED), minlength=rows)
     return {
         "n_words": n,
-        "word_length": np.where(n > 0, solid / per_word, 0),
+        "word_length": length / per_word,
         "upper_share": of("upper") / solid,
-        "digit_share": of("digit") / solid,
         "symbol_share": of("symbol") / solid,
         "bang_share": of("bang") / solid,
         "stop_share": of("stop") / per_word,
         "comma_share": of("comma") / per_word,
         "line_share": of("line") / per_word,
         "distinct_share": np.bincount((different >> tx.U64(44)).astype(np.int64), minlength=rows) / per_word,
-        "long_share": long_words / per_word,
         "non_ascii_share": count(data >= 128) / solid,
     }
 

@@ -47,7 +47,8 @@ def rows_without(docs: DataFrame, hit: DataFrame, id_col: str, text_col: str) ->
     tag = free_name(docs, "tag")
     tagged = docs.withColumn(tag, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     touched, whole = may_be_in(tagged, bit_map(hit, "hit_tag"), tag)
-    same = (F.col(tag) == F.col("hit_tag")) & F.col(id_col).eqNullSafe(F.col("hit_id"))
+    hit = hit.select("hit_id", "hit_tag").toDF(free_name(docs, "hit_id"), free_name(docs, "hit_tag"))
+    same = (F.col(tag) == F.col(hit.columns[1])) & F.col(id_col).eqNullSafe(F.col(hit.columns[0]))
     return whole.unionByName(touched.join(hit, same, "left_anti")).drop(tag)
 
 

@@ -120,7 +120,7 @@ class Trie:
             self.grams[order], self.counts[order] = tx.summed(base & mask, base_counts)
             context = self.grams[order] >> _U(8)
             self.contexts[order], self.q[order] = tx.distinct(context)
-            edges = np.concatenate(([0], np.cumsum(self.q[order])[:-1]))
+            edges = np.cumsum(self.q[order]) - self.q[order]
             self.n[order] = np.add.reduceat(self.counts[order], edges) if len(edges) else edges
         # Per context of an order: what is left of the next shorter one once its symbols are excluded.
         self.left_n, self.left_q = {}, {}

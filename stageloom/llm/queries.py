@@ -61,7 +61,7 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(load(spark, sf_dir, "documents"), width=4).drop("tag")
+    return setsketch.near_duplicates(load(spark, sf_dir, "documents"), width=4).drop("group", "tag")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,7 @@ def _check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """Every row's doc_id, n_shingles, component_id, kept and tag (xxhash64 of the text).
+    """Every row's doc_id, n_shingles, component_id, kept, group (of linked rows) and tag (xxhash64 of the text).
 
     Rows link when their sets of ``width``-word shingles have ``100 * intersection >= percent * union``;
     component_id is the smallest id reachable by links, and kept says that it is the row's own. A NULL
@@ -248,10 +248,10 @@ def near_duplicates(
     grouped = nodes.select("node", "rep.id").join(component, "node", "left")
     grouped = materialise(grouped.select("node", "id", F.coalesce("component", "node").alias("component")), "grouped")
     least = grouped.groupBy("component").agg(F.min("id").alias("least"))
-    of_node = materialise(grouped.join(least, "component").select("node", "least"), "of-node")
+    of_node = materialise(grouped.join(least, "component").select("node", "component", "least"), "of-node")
     out = sketches.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     component_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("least", F.lit(NO_ID)))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), "tag")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("component").alias("group"), "tag")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -261,11 +261,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Of several rows with that id the one with the least ``tag`` stays, and of equal rows any one.
     """
     found = materialise(near_duplicates(docs, id_col, text_col, width, percent).where("n_shingles > 0"), "near-duplicates")
-    first = found.where("kept").groupBy("component_id").agg(F.min("tag").alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = found.where("kept").groupBy("group").agg(F.min("tag").alias("first"), F.count(F.lit(1)).alias("rows"))
     several = materialise(first.where("rows > 1"), "several")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag"))
-    same = found["component_id"].eqNullSafe(several["component_id"])
-    others = found.where("kept").join(several, same).where("tag <> first").select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag"))
+    others = found.where("kept").join(several, "group").where("tag <> first").select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag"))
     gone = materialise(gone.unionByName(others).distinct(), "gone")
     left = members.rows_without(docs, gone, id_col, text_col)
     if several.isEmpty():

@@ -68,11 +68,11 @@ def matching_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 
 def _strength(good: Column, n: Column) -> Column:
     """Beta-binomial prior strength of the groups of one level, by moments, kept within its limits."""
-    total, groups, p = F.sum(n), F.count(F.when(n > 0, 1)), F.sum(good) / F.sum(n)
-    spread = F.sum(F.when(n > 0, good * good / n)) - total * p * p
+    total, groups, p = F.sum(n), F.count(F.when(n > 0, 1)), F.try_divide(F.sum(good), F.sum(n))
+    spread = F.sum(F.try_divide(good * good, n)) - total * p * p
     noise = p * (1 - p)
-    rho = (spread - noise * (groups - 1)) / (noise * (total - F.sum(n * n) / total - (groups - 1)))
-    strength = F.when(rho > 0, 1 / rho - 1).otherwise(MOST_STRENGTH)
+    rho = F.try_divide(spread - noise * (groups - 1), noise * (total - F.try_divide(F.sum(n * n), total) - (groups - 1)))
+    strength = F.when(rho > 0, F.try_divide(F.lit(1.0), rho) - 1).otherwise(MOST_STRENGTH)
     return F.coalesce(F.least(F.greatest(strength, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)), F.lit(MOST_STRENGTH))
 
 
