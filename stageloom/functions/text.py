@@ -141,11 +141,11 @@ def extract_score(column: Column, word: str = "similarity", default: float = 50.
     return F.coalesce(F.nullif(digits, F.lit("")).cast("double"), F.lit(default))
 
 
-def extract_lines(column: Column, word: str, n: int = 3) -> Column:
-    """The first ``n`` lines that contain ``word``, joined by a space, else 'N/A'."""
+def extract_lines(column: Column, word: str, n: int | None = None) -> Column:
+    """All or the first ``n`` lines that contain ``word``, joined by a space, else 'N/A'."""
     lines = F.filter(F.split(F.lower(column), "\n"), lambda x: F.contains(x, F.lit(word)))
     return F.when(F.size(lines) == 0, F.lit("N/A")).otherwise(
-        F.array_join(F.slice(lines, 1, n), " ")
+        F.array_join(lines if n is None else F.slice(lines, 1, n), " ")
     )
 
 

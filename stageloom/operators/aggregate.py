@@ -122,18 +122,3 @@ def best_per_group(
     df: DataFrame, key: Sequence[str], score: str, tie: Sequence[OrderKey]
 ) -> DataFrame:
     return first_per_group(df, key, [(score, "desc"), *tie])
-
-
-def usage_report(df: DataFrame, by: Column, out: str) -> DataFrame:
-    """Requests, tokens and cost per group of a usage table, dearest first."""
-    return (
-        df.groupBy(by.alias(out))
-        .agg(
-            F.count(F.lit(1)).alias("requests"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            exact_sum("cost").alias("cost"),
-            F.count_if(F.col("cached")).alias("cached"),
-        )
-        .orderBy(F.desc("cost"), F.asc(out))
-    )

@@ -75,7 +75,10 @@ def _names(order: Sequence[OrderKey]) -> list[str]:
 def select_representatives(
     df: DataFrame, cluster: str, key: str, target: int = 1000
 ) -> DataFrame:
-    """First members of each cluster in proportion to its size, at least one, ``target`` in all."""
+    """First members of each cluster in proportion to its size: of ``target`` in all, but at least one of each.
+
+    With many small clusters these are more than ``target`` rows; the caller may cut them.
+    """
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
     quota = sizes.withColumn(
@@ -86,8 +89,6 @@ def select_representatives(
         ranked.join(quota, cluster)
         .where(F.col("_rn") <= F.col("_quota"))
         .select(cluster, key)
-        .orderBy(cluster, key)
-        .limit(target)
     )
 
 

@@ -33,6 +33,27 @@ def _differs(columns: Sequence[str], a: str, b: str) -> Column:
     )
 
 
+def _has_keys(keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+
+
+def _full_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_tag: str, b_tag: str) -> DataFrame:
+    """Full join of two tables as structs. Rows with a NULL key match nothing: they are added, not shuffled."""
+    a, b = a.select(*a.columns), b.select(*b.columns)
+    joined = _side(a.where(_has_keys(keys)), a_tag).join(
+        _side(b.where(_has_keys(keys)), b_tag), _on_keys(keys, a_tag, b_tag), "full"
+    )
+    only_a = _side(a.where(~_has_keys(keys)), a_tag)
+    only_b = _side(b.where(~_has_keys(keys)), b_tag)
+    return joined.unionByName(only_a, allowMissingColumns=True).unionByName(only_b, allowMissingColumns=True)
+
+
+def one_per_key(source: DataFrame, keys: Sequence[str], order: Sequence[OrderKey] | None) -> DataFrame:
+    """The last row of each key in ``order``, by default that of all other columns; rows with a NULL key stay."""
+    order = order or [c for c in source.columns if c not in keys] or list(keys)
+    return latest_per_key(source.where(_has_keys(keys)), keys, order).unionByName(source.where(~_has_keys(keys)))
+
+
 def latest_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[OrderKey]
 ) -> DataFrame:
@@ -51,7 +72,7 @@ def change_capture(
     Values come from ``after``, or from ``before`` where the source has no such key.
     """
     compare = compare or [c for c in after.columns if c not in keys]
-    joined = _side(before, "b").join(_side(after, "a"), _on_keys(keys, "b", "a"), "full")
+    joined = _full_join(before, after, keys, "b", "a")
     change = (
         F.when(F.col("b").isNull(), "insert")
         .when(F.col("a").isNull(), "not_in_source")
@@ -93,11 +114,15 @@ def merge_upsert(
     source: DataFrame,
     keys: Sequence[str] = ("id",),
     update_columns: Sequence[str] | None = None,
+    order: Sequence[OrderKey] | None = None,
 ) -> DataFrame:
-    """Matched rows take the listed columns from the source, unmatched source rows are added."""
+    """Matched rows take the listed columns from the source, unmatched source rows are added.
+
+    Of several source rows with one key the last in ``order`` counts (see ``one_per_key``).
+    """
     if update_columns is None:
         update_columns = [c for c in target.columns if c not in keys]
-    joined = _side(target, "t").join(_side(source, "s"), _on_keys(keys, "t", "s"), "full")
+    joined = _full_join(target, one_per_key(source, keys, order), keys, "t", "s")
     new, kept = F.col("t").isNull(), F.col("s").isNull()
     out = []
     for c in target.columns:
@@ -128,19 +153,21 @@ def scd2(
     keys: Sequence[str],
     compare: Sequence[str],
     as_of: Column,
+    order: Sequence[OrderKey] | None = None,
 ) -> DataFrame:
     """Type-2 update: close changed versions, open new ones, keep the rest.
 
-    One full join against the open versions; each joined row gives one or two
-    versions. Closed versions pass by untouched.
+    One full join against the open versions; each joined row gives one or two versions. Versions that
+    are not current, or do not say so, pass by untouched. Of several source rows with one key
+    the last in ``order`` counts (see ``one_per_key``).
     """
     columns = [*keys, *compare]
     validity = ["effective_start_date", "effective_end_date", "is_current"]
     dim = dim.select(*columns, *validity)
-    history = dim.where(~F.col("is_current"))
-    joined = _side(dim.where("is_current"), "d").join(
-        _side(source.select(*columns), "s"), _on_keys(keys, "d", "s"), "full"
-    )
+    current = F.coalesce(F.col("is_current"), F.lit(False))
+    history = dim.where(~current)
+    source = one_per_key(source, keys, order).select(*columns)
+    joined = _full_join(dim.where(current), source, keys, "d", "s")
     day, end = as_of.cast("date"), F.lit(OPEN_END).cast("date")
 
     def version(side: str, start, stop, current: bool) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stageloom.operators.sizing import broadcast_if_small
+from stageloom.scratch import materialise
 
 
 def join_stage(
@@ -38,17 +39,25 @@ class LookupSpec:
     how: str = "left"
     defaults: Mapping[str, object] = field(default_factory=dict)
     cache: bool = False
+    _kept: list = field(default_factory=list, repr=False, compare=False)
+
+    def stored(self) -> DataFrame:
+        """The reference table's needed columns, written by the first use and read by all."""
+        if not self._kept:
+            columns = dict.fromkeys([self.lookup_key, *self.columns])
+            self._kept.append(materialise(self.table.select(*columns), f"lookup-{self.name}"))
+        return self._kept[0]
 
 
 def lookup(df: DataFrame, spec: LookupSpec, miss_only: bool = False) -> DataFrame:
     """Add ``<lookup>_<column>`` columns from a reference table.
 
-    ``cache`` keeps the reference table in executor memory for several outputs.
+    ``cache`` stores the reference table once in the shared scratch folder for several outputs.
     Defaults replace a NULL result; with ``miss_only`` a NULL of a found row stays NULL.
     """
     key, hit = f"_{spec.name}_key", f"_{spec.name}_hit"
     names = {c: f"{spec.name}_{c}" for c in spec.columns}
-    source = spec.table.persist() if spec.cache else spec.table
+    source = spec.stored() if spec.cache else spec.table
     table = source.select(
         F.col(spec.lookup_key).alias(key),
         F.lit(True).alias(hit),

@@ -1,16 +1,19 @@
 """Ordered step sequences per entity: fingerprints, classes, roles, diffs and summaries.
 
-Sequences stay in long form (entity, step number, step). Arrays are collected only
-where their length is bounded: distinct steps with counts, the first few runs, or the
-ordered steps of sequences short enough for an order comparison.
+Sequences stay in long form (entity, step number, step). Arrays are collected only per entity:
+distinct steps with counts, runs, or the ordered steps for an order comparison.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stageloom.functions.text import kind_ladder
 from stageloom.operators.ordering import OrderKey, first_per_group, group_number, ordered_scan
@@ -25,12 +28,8 @@ from stageloom.operators.rule_tables import (
 )
 from stageloom.operators.windows import collapse_runs
 
-#: Order similarity looks at the order only while m * n <= 10000, so a longer
-#: sequence never needs its ordered steps.
-ORDERED_LIMIT = 10_000
-
-#: Above this many lines a fingerprint is taken over hashes of the lines.
-LINES_LIMIT = 100_000
+#: A fingerprint over lines hashes parts of this many lines, then the parts' digests.
+LINES_PER_PART = 1000
 
 
 def kept_steps(df: DataFrame, step: str, ignore: Sequence[str] = tuple(IGNORED_STEPS)) -> DataFrame:
@@ -62,55 +61,56 @@ def bag_profiles(steps: DataFrame, key: str, step: str) -> DataFrame:
         F.sum("n").alias("n_steps"),
         F.sort_array(F.collect_list(F.struct(F.col(step).alias("step"), "n"))).alias("bag"),
     )
-    return bags.withColumn("fingerprint", bag_fingerprint(F.col("bag"), F.col("n_steps")))
+    return bags.withColumn("fingerprint", bag_fingerprint(F.col("bag.step"), F.col("bag.n")))
 
 
-def bag_fingerprint(bag: Column, n_steps: Column) -> Column:
-    """md5 prefix over the sorted steps joined by '|'; very long bags use the counted form."""
-    spelled = F.flatten(
-        F.transform(bag, lambda b: F.array_repeat(b["step"], b["n"].cast("int")))
-    )
-    counted = F.transform(bag, lambda b: F.concat(b["step"], F.lit("*"), b["n"].cast("string")))
-    text = F.when(n_steps <= LINES_LIMIT, F.array_join(spelled, "|")).otherwise(
-        F.array_join(counted, "|")
-    )
-    return F.left(F.md5(text), F.lit(16))
+@F.pandas_udf(StringType())
+def bag_fingerprint(steps: pd.Series, counts: pd.Series) -> pd.Series:
+    """md5 prefix over the sorted steps joined by '|', fed to the digest piece by piece at any length."""
+
+    def digest(names: np.ndarray, numbers: np.ndarray) -> str:
+        md5, joint = hashlib.md5(), b""
+        for name, n in zip(names, numbers, strict=True):
+            text = name.encode()
+            md5.update(joint + text)
+            joint = b"|"
+            for done in range(1, int(n), 10_000):
+                md5.update((joint + text) * min(10_000, int(n) - done))
+        return md5.hexdigest()[:16]
+
+    return pd.Series([digest(s, n) for s, n in zip(steps, counts, strict=True)])
 
 
 EMPTY_FINGERPRINT = "d41d8cd98f00b204"  # md5 prefix of the empty text
 
 
-def ordered_steps(steps: DataFrame, key: str, position: str, step: str, profiles: DataFrame) -> DataFrame:
-    """Ordered step array of every entity that has at most ``ORDERED_LIMIT`` steps."""
-    long = profiles.where(F.col("n_steps") > ORDERED_LIMIT).select(key)
-    return (
-        steps.join(long, key, "left_anti")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct(position, step))).alias("s"))
-        .select(key, F.col("s")[step].alias("seq"))
-    )
+def ordered_steps(steps: DataFrame, key: str, position: str, step: str) -> DataFrame:
+    """Ordered step array of every entity."""
+    ordered = F.sort_array(F.collect_list(F.struct(position, step))).alias("s")
+    return steps.groupBy(key).agg(ordered).select(key, F.col("s")[step].alias("seq"))
 
 
-def fingerprint_lines(lines: DataFrame, key: str, line: str, out: str = "fingerprint", limit: int = LINES_LIMIT) -> DataFrame:
-    """sha256 over the sorted lines of each entity, joined by '|'.
+def fingerprint_lines(
+    lines: DataFrame,
+    key: str,
+    order: Sequence[OrderKey],
+    line: str,
+    out: str = "fingerprint",
+    lines_per_part: int = LINES_PER_PART,
+) -> DataFrame:
+    """sha256 over the ordered lines of each entity, in one form for every size.
 
-    Entities above ``limit`` lines are not collected: sorted lines are a multiset, so
-    counts and sums of two 64-bit hashes per line, which combine map-side, stand for them.
+    Lines are numbered, each part of ``lines_per_part`` lines joined by '|' is hashed, and the digests of
+    the parts, joined by '|' in order, are hashed again. Large entities are numbered in blocks.
     """
-    sums = lines.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.xxhash64(line).cast("decimal(28,0)")).alias("_a"),
-        F.sum(F.xxhash64(F.lit("b"), line).cast("decimal(28,0)")).alias("_b"),
+    numbered = group_number(lines, [key], list(order), "_rn")
+    joined = lambda at, text: F.array_join(F.sort_array(F.collect_list(F.struct(at, text)))[text], "|")
+    parts = (
+        numbered.withColumn("_part", F.floor((F.col("_rn") - 1) / lines_per_part))
+        .groupBy(key, "_part")
+        .agg(F.sha2(joined("_rn", line), 256).alias("_digest"))
     )
-    large = sums.where(F.col("_n") > limit).select(
-        key, F.sha2(F.concat_ws("|", F.lit("large"), "_n", "_a", "_b"), 256).alias(out)
-    )
-    small = (
-        lines.join(large.select(key), key, "left_anti")
-        .groupBy(key)
-        .agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "|"), 256).alias(out))
-    )
-    return small.unionByName(large)
+    return parts.groupBy(key).agg(F.sha2(joined("_part", "_digest"), 256).alias(out))
 
 
 def structural_lines(
@@ -139,25 +139,12 @@ def structural_lines(
     return stage_lines.unionByName(link_lines)
 
 
-def structural_fingerprint(stages: DataFrame, links: DataFrame, key: str, limit: int = LINES_LIMIT) -> DataFrame:
-    """sha256 over stages by name (with key properties), then links."""
-    lines = structural_lines(stages, links, key)
-    sums = lines.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.xxhash64("line").cast("decimal(28,0)")).alias("_a"),
-        F.sum(F.xxhash64(F.lit("b"), "line").cast("decimal(28,0)")).alias("_b"),
-    )
-    large = sums.where(F.col("_n") > limit).select(
-        key, F.sha2(F.concat_ws("|", F.lit("large"), "_n", "_a", "_b"), 256).alias("fingerprint")
-    )
-    ordered = F.sort_array(F.collect_list("line"))
-    small = (
-        lines.join(large.select(key), key, "left_anti")
-        .groupBy(key)
-        .agg(ordered.alias("l"))
-        .select(key, F.sha2(F.array_join(F.col("l.t"), "|"), 256).alias("fingerprint"))
-    )
-    return small.unionByName(large)
+def structural_fingerprint(
+    stages: DataFrame, links: DataFrame, key: str, lines_per_part: int = LINES_PER_PART
+) -> DataFrame:
+    """sha256 over stages by name (with key properties), then links, as ``fingerprint_lines`` does it."""
+    lines = structural_lines(stages, links, key).select(key, "line.*")
+    return fingerprint_lines(lines, key, ["k", "a", "b", "t"], "t", lines_per_part=lines_per_part)
 
 
 def exact_duplicates(df: DataFrame, fingerprint: str, member: str) -> DataFrame:
@@ -241,9 +228,9 @@ def pattern_families(classed: DataFrame) -> DataFrame:
 
 
 def pattern_signature(
-    sequences: DataFrame, key: str, step: str, entities: DataFrame, n: int = 5
+    sequences: DataFrame, key: str, step: str, entities: DataFrame, n: int | None = None
 ) -> DataFrame:
-    """Step kinds with repeats collapsed, the first ``n`` joined by an arrow."""
+    """Step kinds with repeats collapsed, all or the first ``n`` joined by an arrow."""
     kinds = sequences.withColumn("kind", kind_ladder(F.col(step), KINDS, F.col(step)))
     runs = collapse_runs(kinds, [key], ["step_no"], "kind", n)
     joined = runs.groupBy(key).agg(
@@ -393,16 +380,18 @@ def entity_text(
     links: DataFrame,
     key: str,
     lines_per_part: int = 1000,
-    max_value: int = 100,
+    max_value: int | None = None,
 ) -> DataFrame:
-    """Text document of each entity: steps in order with short properties, then links.
+    """Text document of each entity: steps in order with their properties, then links.
+
+    With ``max_value``, properties of that many characters or more are left out.
 
     Lines are numbered and joined per part of ``lines_per_part`` lines, so an entity of any
     size is written out whole; a usual one is a single part.
     """
-    short = F.filter(
-        F.sort_array(F.map_entries("properties")), lambda e: F.length(e["value"]) < max_value
-    )
+    short = F.sort_array(F.map_entries("properties"))
+    if max_value is not None:
+        short = F.filter(short, lambda e: F.length(e["value"]) < max_value)
     texts = F.concat(
         F.array(F.concat(F.lit("Stage "), F.col("name"), F.lit(" of type "), F.col("type"))),
         F.transform(
@@ -447,25 +436,29 @@ def entity_text(
 
 
 def entity_summary(
-    stages: DataFrame, key: str, subject: Column, scores: DataFrame
+    stages: DataFrame, key: str, subject: Column, scores: DataFrame, limits: dict[str, int] | None = None
 ) -> DataFrame:
-    """Compact summary: distinct types (10), sources and targets (3), transforms (5), subject words (5)."""
+    """Compact summary: distinct types, sources, targets, transforms and subject words, each in order.
+
+    ``limits`` may cut a list to its first values, for example ``{"types": 10, "sources": 3}``.
+    """
     from stageloom.functions.text import keyword_tags
     from stageloom.operators.rule_tables import SOURCES, TARGETS, TRANSFORMS
 
     types = stages.select(key, F.coalesce("type", F.lit("Unknown")).alias("v")).distinct()
     words = stages.select(key, F.explode(keyword_tags(subject)).alias("v")).distinct()
     parts = [
-        ("types", types, 10),
-        ("sources", types.where(F.col("v").isin(SOURCES)), 3),
-        ("targets", types.where(F.col("v").isin(TARGETS)), 3),
-        ("transforms", types.where(F.col("v").isin(TRANSFORMS)), 5),
-        ("subjects", words, 5),
+        ("types", types),
+        ("sources", types.where(F.col("v").isin(SOURCES))),
+        ("targets", types.where(F.col("v").isin(TARGETS))),
+        ("transforms", types.where(F.col("v").isin(TRANSFORMS))),
+        ("subjects", words),
     ]
     rows = None
-    for name, values, n in parts:
-        # The first n values per entity, cut before the shuffle; only then collected.
-        part = first_per_group(values, [key], ["v"], n).withColumn("k", F.lit(name))
+    for name, values in parts:
+        if name in (limits or {}):
+            values = first_per_group(values, [key], ["v"], limits[name])  # cut before the shuffle
+        part = values.withColumn("k", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     lists = rows.groupBy(key).pivot("k", [p[0] for p in parts]).agg(
         F.array_join(F.sort_array(F.collect_list("v")), ",")

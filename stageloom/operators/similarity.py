@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from stageloom.operators.ordering import dense_number
-from stageloom.operators.sequences import ORDERED_LIMIT, bag_profiles, ordered_steps
+from stageloom.operators.sequences import bag_profiles, ordered_steps
 from stageloom.scratch import materialise
 
 #: Sets up to this size are joined on shared subsets, larger ones on rare steps.
@@ -35,33 +38,44 @@ def length_similarity(m: Column, n: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(F.least(m, n) / longest)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two arrays, by rows of the usual table."""
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
+@F.pandas_udf(LongType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common subsequence of two arrays, a row of the usual table at a time in the bits of one number."""
 
-    def next_row(previous: Column, x: Column) -> Column:
-        def cell(row: Column, j: Column) -> Column:
-            diagonal = F.element_at(previous, j) + 1
-            best = F.greatest(F.element_at(previous, j + 1), F.element_at(row, -1))
-            return F.concat(row, F.array(F.when(F.element_at(b, j) == x, diagonal).otherwise(best)))
+    def length(x: np.ndarray | None, y: np.ndarray | None) -> int:
+        if x is None or y is None or not len(x) or not len(y):
+            return 0
+        places: dict[object, int] = {}
+        for i, step in enumerate(x):
+            places[step] = places.get(step, 0) | (1 << i)
+        full = row = (1 << len(x)) - 1
+        for step in y:
+            met = row & places.get(step, 0)
+            row = ((row + met) | (row - met)) & full
+        return (row ^ full).bit_count()
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
-
-    table = F.aggregate(a, start, next_row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(table, -1))
+    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 def order_similarity(
-    a: Column, b: Column, m: Column, n: Column, set_a: Column, set_b: Column
+    a: Column,
+    b: Column,
+    m: Column,
+    n: Column,
+    set_a: Column | None = None,
+    set_b: Column | None = None,
+    approximate_above: int | None = None,
 ) -> Column:
-    """``2 LCS / (m + n)``; above 10 000 cells the shared set over the longer length."""
-    shared = F.size(F.array_intersect(set_a, set_b)) / F.greatest(m, n)
-    exact = F.lit(2.0) * lcs_length(a, b) / (m + n)
-    return (
-        F.when((m == 0) | (n == 0), 0.0)
-        .when(m * n > ORDERED_LIMIT, shared)
-        .otherwise(exact)
-    )
+    """``2 LCS / (m + n)``, exact for every size; 0 if one is empty.
+
+    With ``approximate_above``, pairs of more than that many cells m * n use the shared set over the longer
+    length instead, from the step sets ``set_a`` and ``set_b``.
+    """
+    exact = F.try_divide(F.lit(2.0) * lcs_length(a, b), m + n)
+    out = F.when((m == 0) | (n == 0), 0.0)
+    if approximate_above is not None:
+        out = out.when(m * n > approximate_above, F.size(F.array_intersect(set_a, set_b)) / F.greatest(m, n))
+    return out.otherwise(exact)
 
 
 def weighted(j: Column, length: Column, order: Column) -> Column:
@@ -92,7 +106,7 @@ def sequence_patterns(sequences: DataFrame, key: str, step: str) -> tuple[DataFr
     ), "unique")
     first = patterns.select(F.col("id").alias(key))
     seqs = ordered_steps(
-        sequences.join(first, key, "left_semi"), key, "step_no", step, profiles
+        sequences.join(first, key, "left_semi"), key, "step_no", step
     ).withColumnRenamed(key, "id")
     return materialise(patterns.join(seqs, "id", "left"), "patterns"), members
 
@@ -241,10 +255,8 @@ def similar_pairs(patterns: DataFrame, t: float = 0.85) -> DataFrame:
     )
     # Order similarity is at most the shared steps with repeats; LCS runs on what is left.
     possible = weighted(F.col("j"), F.col("l"), F.lit(2.0) * F.col("common") / (m + n))
-    scored = scored.where((m * n > ORDERED_LIMIT) | (possible >= F.lit(t - 1e-9)))
-    order = order_similarity(
-        F.col("a_seq"), F.col("b_seq"), m, n, F.col("a_steps"), F.col("b_steps")
-    )
+    scored = scored.where(possible >= F.lit(t - 1e-9))
+    order = order_similarity(F.col("a_seq"), F.col("b_seq"), m, n)
     return (
         scored.withColumn("similarity", weighted(F.col("j"), F.col("l"), order))
         .where(F.col("similarity") >= t)

@@ -264,7 +264,7 @@ def session_summary(
     gap = F.expr(f"INTERVAL {int(gap_minutes)} MINUTE")
 
     def starts(d: DataFrame) -> DataFrame:
-        is_new = F.col("_prev").isNull() | (F.col(ts) >= F.col("_prev") + gap)
+        is_new = F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + gap)
         return d.withColumn("_start", F.when(is_new, 1).otherwise(0).cast("long"))
 
     scanned = ordered_scan(

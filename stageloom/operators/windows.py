@@ -214,10 +214,10 @@ def collapse_runs(
     key: Sequence[str],
     order: Sequence[OrderKey],
     value: str,
-    n: int = 5,
+    n: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """First ``n`` runs of equal values per group: one row per run, with its number."""
+    """All or the first ``n`` runs of equal values per group: one row per run, with its number."""
 
     def starts(d: DataFrame) -> DataFrame:
         is_new = (F.col("_rn") == 1) | ~F.col(value).eqNullSafe(F.col("_prev"))
@@ -234,9 +234,8 @@ def collapse_runs(
         ],
         limit,
     )
-    return scanned.where((F.col("_start") == 1) & (F.col("run") <= n)).select(
-        *key, "run", value
-    )
+    runs = scanned.where(F.col("_start") == 1)
+    return (runs if n is None else runs.where(F.col("run") <= n)).select(*key, "run", value)
 
 
 def normalise_by_max(df: DataFrame, column: str, out: str) -> DataFrame:

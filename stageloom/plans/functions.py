@@ -178,7 +178,7 @@ def fn_extract_score(spark, d):
 
 @query(
     "fn_extract_lines",
-    """SELECT doc_id, CASE WHEN len(hits) = 0 THEN 'N/A' ELSE array_to_string(hits[1:3], ' ') END AS lines
+    """SELECT doc_id, CASE WHEN len(hits) = 0 THEN 'N/A' ELSE array_to_string(hits, ' ') END AS lines
        FROM (SELECT doc_id, list_filter(string_split(lower(text), chr(10)), lambda x: contains(x, 'license')) AS hits
              FROM documents)""",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stageloom.functions.text import SUBJECT_WORDS
 from stageloom.operators import batches as B
 from stageloom.operators import sequences as Q
 from stageloom.operators import similarity as S
@@ -49,7 +50,9 @@ def bag_fingerprint(spark, d):
     f"""WITH {G.STAGES_SQL}, {G.LINKS_SQL}, lines AS (
           SELECT job_id, 1 AS k, name AS a, '' AS b, type || ':' || name || '|TableName:' || p_type AS t FROM stages
           UNION ALL SELECT job_id, 2, from_stage, to_stage, 'link:' || from_stage || '->' || to_stage FROM links)
-        SELECT job_id, sha256(string_agg(t, '|' ORDER BY k, a, b, t)) AS fingerprint FROM lines GROUP BY 1""",
+        SELECT job_id, sha256(string_agg(digest, '|' ORDER BY part)) AS fingerprint FROM (SELECT job_id, part, sha256(string_agg(t, '|' ORDER BY rn)) AS digest
+          FROM (SELECT job_id, t, rn, (rn - 1) // 1000 AS part FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k, a, b, t) AS rn FROM lines))
+          GROUP BY 1, 2) GROUP BY 1""",
 )
 def structural_fingerprint(spark, d):
     s = G.stages(spark, d)
@@ -105,7 +108,6 @@ LCS_SQL = """list_reduce(list_transform(range(1, len(sa) + 1), lambda i: [i]),
     lambda cur, jj: list_append(cur, CASE WHEN sb[jj[1]] = sa[xi[1]] THEN prev[jj[1]] + 1 ELSE greatest(prev[jj[1] + 1], cur[-1]) END), [0::BIGINT]),
   list_transform(range(0, len(sb) + 1), lambda z: 0::BIGINT))[-1]"""
 ORDER_SQL = f"""(CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0::DOUBLE
-  WHEN len(sa) * len(sb) > 10000 THEN len(list_intersect(da, db))::DOUBLE / greatest(len(sa), len(sb))
   ELSE 2.0::DOUBLE * {LCS_SQL} / (len(sa) + len(sb)) END)"""
 
 
@@ -116,7 +118,7 @@ def paired(spark, d):
     orders = load(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("job_id"))
     pairs = group_links(orders.join(ids, "job_id", "left_semi"), ["o_custkey"], "job_id")
     profiles = Q.bag_profiles(s, "job_id", "step")
-    seqs = Q.ordered_steps(s, "job_id", "step_no", "step", profiles)
+    seqs = Q.ordered_steps(s, "job_id", "step_no", "step")
     none = F.array().cast("array<string>")
     lists = ids.join(profiles, "job_id", "left").join(seqs, "job_id", "left").select(
         "job_id",
@@ -145,7 +147,7 @@ def length_similarity(spark, d):
 
 
 def _order():
-    return S.order_similarity(*[F.col(c) for c in ("a_seq", "b_seq", "a_n", "b_n", "a_steps", "b_steps")])
+    return S.order_similarity(*[F.col(c) for c in ("a_seq", "b_seq", "a_n", "b_n")])
 
 
 @query("order_similarity", PAIR_SQL + f"SELECT left_id, right_id, round({ORDER_SQL}, 9) AS order_similarity FROM lists2")
@@ -215,7 +217,7 @@ _KIND_SQL = """CASE WHEN contains(step, 'Transformer') OR contains(step, 'Trx')
       runs AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY step_no) AS run FROM
         (SELECT *, lag(kind) OVER (PARTITION BY job_id ORDER BY step_no) AS prev FROM kinds) WHERE prev IS NULL OR prev <> kind)
       SELECT job_id, coalesce(signature, 'Empty') AS signature FROM jobs LEFT JOIN
-        (SELECT job_id, string_agg(kind, ' → ' ORDER BY run) AS signature FROM runs WHERE run <= 5 GROUP BY 1) USING (job_id)""",
+        (SELECT job_id, string_agg(kind, ' → ' ORDER BY run) AS signature FROM runs GROUP BY 1) USING (job_id)""",
 )
 def pattern_signature(spark, d):
     return Q.pattern_signature(sequences(spark, d), "job_id", "step", G.jobs(spark, d))
@@ -277,7 +279,7 @@ def kmeans_sizes(spark, d):
     "cluster_representatives",
     """WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), q AS (SELECT label, greatest(1, CAST(floor(n / (SELECT count(*) FROM embeddings) * 100) AS BIGINT)) AS quota FROM s)
        SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) JOIN q USING (label)
-       WHERE rn <= quota ORDER BY label, vec_id LIMIT 100""",
+       WHERE rn <= quota""",
 )
 def cluster_representatives(spark, d):
     return B.select_representatives(load(spark, d, "embeddings"), "label", "vec_id", 100)
@@ -511,24 +513,29 @@ def branch_counts(spark, d):
     return count_branches(G.links(spark, d), "job_id")
 
 
-def _firsts(name, types, n):
-    return f"""{name} AS (SELECT job_id, string_agg(v, ',' ORDER BY v) AS {name} FROM (SELECT job_id, v, row_number() OVER (PARTITION BY job_id ORDER BY v) AS rn
-      FROM (SELECT DISTINCT job_id, type AS v FROM stages {types})) WHERE rn <= {n} GROUP BY 1)"""
+def _joined(name, types):
+    return f"""{name} AS (SELECT job_id, string_agg(v, ',' ORDER BY v) AS {name} FROM (SELECT DISTINCT job_id, type AS v FROM stages {types}) GROUP BY 1)"""
 
 
+_WORDS_SQL = " UNION ALL ".join(f"SELECT '{w}' AS w" for w in SUBJECT_WORDS)
+
 
 @query(
     "entity_summary",
-    G.FEATURES_SQL + ", " + _firsts("types", "", 10) + ", " + _firsts("sources", f"WHERE type IN {G.sql_list(SOURCES)}", 3) + ", "
-    + _firsts("targets", f"WHERE type IN {G.sql_list(TARGETS)}", 3) + ", " + _firsts("transforms", f"WHERE type IN {G.sql_list(TRANSFORMS)}", 5)
-    + """ SELECT job_id, n_stages, score, coalesce(types, '') AS types, coalesce(sources, '') AS sources, coalesce(targets, '') AS targets,
-         coalesce(transforms, '') AS transforms, '' AS subjects FROM scored LEFT JOIN types USING (job_id) LEFT JOIN sources USING (job_id)
-         LEFT JOIN targets USING (job_id) LEFT JOIN transforms USING (job_id)""",
+    G.FEATURES_SQL + ", " + _joined("types", "") + ", " + _joined("sources", f"WHERE type IN {G.sql_list(SOURCES)}") + ", "
+    + _joined("targets", f"WHERE type IN {G.sql_list(TARGETS)}") + ", " + _joined("transforms", f"WHERE type IN {G.sql_list(TRANSFORMS)}")
+    + f""", subjects AS (SELECT job_id, string_agg(w, ',' ORDER BY w) AS subjects FROM (SELECT DISTINCT job_id, w FROM stages JOIN ({_WORDS_SQL})
+         ON contains(CASE WHEN l_returnflag = 'A' THEN 'account balance' WHEN l_returnflag = 'N' THEN 'customer order' ELSE lower(name) END, w)) GROUP BY 1)
+         SELECT job_id, n_stages, score, coalesce(types, '') AS types, coalesce(sources, '') AS sources, coalesce(targets, '') AS targets,
+         coalesce(transforms, '') AS transforms, coalesce(subjects, '') AS subjects FROM scored LEFT JOIN types USING (job_id) LEFT JOIN sources USING (job_id)
+         LEFT JOIN targets USING (job_id) LEFT JOIN transforms USING (job_id) LEFT JOIN subjects USING (job_id)""",
 )
 def entity_summary(spark, d):
+    """Subjects come from the stage's mode spelled out, or its name."""
     from stageloom.operators.rules import features
 
     s = G.stages(spark, d)
     scores = features(s, G.links(spark, d, s), "job_id").select("job_id", "n_stages", "score")
-    subject = F.concat_ws(" ", "name", F.col("properties")["TableName"])
+    mode = F.col("properties")["Mode"]
+    subject = F.when(mode == "A", "Account balance").when(mode == "N", "Customer order").otherwise(F.col("name"))
     return Q.entity_summary(s, "job_id", subject, scores)

@@ -76,7 +76,8 @@ def stream_dedup(spark, d):
 def stream_sessions(spark, d):
     out = new_path(spark, "sessions")
     rows = J.sessions(event_files(spark, d), "ts", "user_id", "600 minutes", LATE, "value")
-    J.write_complete(rows, out, new_path(spark, "checkpoint"))
+    with J.merged_sessions(spark):
+        J.write_complete(rows, out, new_path(spark, "checkpoint"))
     return read_current(spark, out).select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         "requests", F.col("cost").cast("double").alias("cost"),

@@ -132,7 +132,7 @@ def usage_by_provider(spark, d):
     return U.usage_by(records(spark, d), F.concat_ws("/", "provider", "model"), "model")
 
 
-SESSION_SQL = """, marked AS (SELECT *, CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 600 MINUTE THEN 1 ELSE 0 END AS st
+SESSION_SQL = """, marked AS (SELECT *, CASE WHEN prev IS NULL OR ts > prev + INTERVAL 600 MINUTE THEN 1 ELSE 0 END AS st
      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM records)),
   sessions AS (SELECT *, CAST(sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM marked)
   SELECT user_id, session_no, count(*) AS requests, count(*) FILTER (cached) AS cached, round(100.0::DOUBLE * count(*) FILTER (cached) / count(*), 1) AS hit_rate,

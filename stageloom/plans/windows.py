@@ -129,7 +129,7 @@ def representatives(spark, d):
     "collapse_runs",
     """SELECT user_id, run, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
        FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
-       WHERE prev IS NULL OR prev <> event_type) WHERE run <= 5""",
+       WHERE prev IS NULL OR prev <> event_type)""",
 )
 def collapse_runs(spark, d):
     return W.collapse_runs(

@@ -1,41 +1,35 @@
 """Shared scratch space: where an operator cuts its lineage.
 
-Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``,
-so that they outlive any executor. Only a local session without that setting
-gets a temporary folder of its own.
+Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``, or below the
+warehouse folder where that is unset; both are shared, so the tables outlive any executor.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder that every executor can reach"
-        )
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="stageloom-")
-    return _local_dirs[app]
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder that holds all scratch tables of this application."""
+    return f"{shared_dir(spark)}/stageloom-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below one folder per application, so a run can be cleaned as a whole."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/stageloom-{app}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete the application's own scratch tables; results that read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

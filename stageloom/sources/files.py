@@ -59,14 +59,18 @@ def read_grouped(
 ) -> DataFrame:
     """All files below a folder; small files share a task up to ``group_bytes``.
 
-    Spark packs files into tasks by itself. ``group_bytes`` changes the target size for the session.
+    Spark packs files into tasks by itself; ``group_bytes`` merges its tasks, without a shuffle, to
+    about that many bytes each.
     """
-    if group_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", group_bytes)
     reader = spark.read.format(fmt).option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path)
+    df = reader.load(path)
+    if not group_bytes:
+        return df
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return df.coalesce(max(1, -(-files.getContentSummary(folder).getLength() // group_bytes)))
 
 
 def read_table(spark: SparkSession, name: str, where: str | Column | None = None) -> DataFrame:

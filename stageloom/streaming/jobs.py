@@ -7,7 +7,8 @@ lost driver or executor goes on where the last finished batch ended.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,17 +129,26 @@ def drop_repeats(stream: DataFrame, ts: str, keys: Sequence[str], ttl: str) -> D
     )
 
 
+@contextmanager
+def merged_sessions(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside merge sessions before the shuffle; the session's setting comes back afterwards."""
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sessions(
     stream: DataFrame, ts: str, key: str, gap: str, late: str, cost: str
 ) -> DataFrame:
     """Requests and cost per session of a key.
 
-    Sessions are merged inside each input task before the shuffle, so a hot key sends
-    sessions and not rows.
+    Start the query inside ``merged_sessions`` to merge sessions in each input task before the shuffle, so
+    that a hot key sends sessions and not rows.
     """
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", True
-    )
     return (
         event_time(stream, ts)
         .withWatermark(ts, late)
