@@ -12,7 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stageloom.operators.ordering import dense_number
-from stageloom.operators.rule_tables import DEFAULT_WEIGHT, type_rule_table
+from stageloom.operators.rule_tables import (
+    BLOCKERS,
+    DEFAULT_WEIGHT,
+    FEATURES_NEEDED,
+    FULL,
+    MANUAL,
+    METADATA,
+    MIGRATION_CATEGORIES,
+    PARTIAL,
+    RECOMMENDATIONS,
+    RISK_FACTORS,
+    SOURCES,
+    TARGETS,
+    TRANSFORMS,
+    type_rule_table,
+)
 from stageloom.scratch import materialise
 
 
@@ -121,27 +136,27 @@ def with_score(df: DataFrame) -> DataFrame:
 
 
 def migration_category(df: DataFrame) -> DataFrame:
-    score = F.col("score")
+    score, names = F.col("score"), MIGRATION_CATEGORIES
     return df.withColumn(
         "migration_category",
-        F.when(F.col("file_source") & F.col("file_target") & (score < 20), "AUTO - S3 to S3 ETL")
-        .when(
-            F.col("any_source") & ~F.col("any_target") & (score < 30),
-            "AUTO - Read-Only (Athena candidate)",
-        )
-        .when(
-            F.col("connector_source") & (score < 40) & (F.col("n_transforms") < 3),
-            "AUTO - Simple JDBC ETL",
-        )
-        .when(F.col("change_transform"), "MANUAL - CDC/SCD Pattern (Delta Lake)")
-        .when((F.col("n_transforms") > 5) | (score > 70), "MANUAL - Complex Transformations")
-        .when(score < 30, "AUTO - Basic Glue Job")
-        .when(score < 50, "SEMI-AUTO - Standard ETL")
-        .when(score < 70, "SEMI-AUTO - Advanced ETL")
-        .otherwise("MANUAL - Complex Job"),
+        F.when(F.col("file_source") & F.col("file_target") & (score < 20), names["files"])
+        .when(F.col("any_source") & ~F.col("any_target") & (score < 30), names["read_only"])
+        .when(F.col("connector_source") & (score < 40) & (F.col("n_transforms") < 3), names["simple_connector"])
+        .when(F.col("change_transform"), names["change"])
+        .when((F.col("n_transforms") > 5) | (score > 70), names["transformations"])
+        .when(score < 30, names["score_below_30"])
+        .when(score < 50, names["score_below_50"])
+        .when(score < 70, names["score_below_70"])
+        .otherwise(names["rest"]),
     )
 
 
+def _filled(text: str, value: Column) -> Column:
+    """The text with {} replaced by a column's value."""
+    before, after = text.split("{}")
+    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
+
+
 def with_automation(df: DataFrame) -> DataFrame:
     total = F.greatest("n_stages", F.lit(1))
     return df.withColumn(
@@ -151,30 +166,18 @@ def with_automation(df: DataFrame) -> DataFrame:
 
 def with_risk(df: DataFrame) -> DataFrame:
     """Risk factors and score. The score is kept in hundredths, so thresholds compare exactly."""
+    conditions = {
+        "lookups": (F.col("n_lookups") > 2, F.col("n_lookups")),
+        "change": (F.col("any_change"), None),
+        "branches": (F.col("n_complex_branches") > 0, F.col("n_complex_branches")),
+        "teradata": (F.col("any_teradata"), None),
+        "netezza": (F.col("any_netezza"), None),
+        "score": (F.col("score") > 80, F.col("score")),
+        "pivot": (F.col("any_pivot"), None),
+    }
     factors = [
-        (
-            F.col("n_lookups") > 2,
-            20,
-            F.concat(F.lit("Multiple lookups ("), F.col("n_lookups").cast("string"), F.lit(") - complex data enrichment")),
-        ),
-        (
-            F.col("any_change"),
-            30,
-            F.lit("CDC/SCD pattern detected - requires Glue Bookmarks + custom logic"),
-        ),
-        (
-            F.col("n_complex_branches") > 0,
-            15,
-            F.concat(F.lit("Complex branching ("), F.col("n_complex_branches").cast("string"), F.lit(" multi-output stages)")),
-        ),
-        (F.col("any_teradata"), 15, F.lit("Teradata connector - requires custom JDBC configuration")),
-        (F.col("any_netezza"), 15, F.lit("Netezza connector - legacy system, verify compatibility")),
-        (
-            F.col("score") > 80,
-            10,
-            F.concat(F.lit("High complexity score ("), F.col("score").cast("string"), F.lit("/100)")),
-        ),
-        (F.col("any_pivot"), 10, F.lit("Pivot transformation - requires DataFrame API")),
+        (condition, RISK_FACTORS[name][0], F.lit(RISK_FACTORS[name][1]) if value is None else _filled(RISK_FACTORS[name][1], value))
+        for name, (condition, value) in conditions.items()
     ]
     points = F.lit(0)
     for condition, value, _ in factors:
@@ -272,63 +275,38 @@ def with_labels(df: DataFrame) -> DataFrame:
     says = lambda word: F.contains(factors, F.lit(word))
     auto, semi = F.col("category") == "AUTO", F.col("category") == "SEMI_AUTO"
     manual = ~auto & ~semi
-    advice = [
-        (auto, "✅ Good candidate for automated migration"),
-        (auto, "Run generated script in Glue Dev Endpoint for validation"),
-        (semi, "📝 Review generated template and complete TODOs"),
-        (semi, "Test with sample data before full migration"),
-        (manual, "⚠️ Requires manual analysis and custom implementation"),
-        (manual, "Consider breaking into smaller, simpler jobs"),
-        (says("CDC"), "💡 Use Glue Bookmarks for incremental processing"),
-        (says("CDC"), "Consider Delta Lake or Apache Iceberg for CDC"),
-        (says("Lookup"), "💡 Use broadcast joins for small lookup tables"),
-        (says("Lookup"), "Consider caching lookup data in Glue Data Catalog"),
-        (says("Teradata"), "🔧 Configure Teradata JDBC driver in Glue"),
-        (says("Teradata"), "Consider migrating Teradata tables to Redshift first"),
-        (F.col("n_stages") > 10, "📊 Complex job - consider modularizing into multiple Glue jobs"),
-    ]
-    always = F.lit(True)
-    needs = [
-        (always, "Glue ETL Job"),
-        (always, "IAM Role for Glue"),
-        (F.col("any_connector"), "Glue Connection (JDBC)"),
-        (F.col("any_connector"), "VPC Configuration"),
-        (F.col("any_connector"), "Secrets Manager (credentials)"),
-        (F.col("any_file"), "S3 Bucket"),
-        (F.col("any_file"), "Glue Data Catalog"),
-        (F.col("any_change"), "Job Bookmarks"),
-        (F.col("any_change"), "Delta Lake / Iceberg (recommended)"),
-        (F.col("score") > 60, "Glue Dev Endpoint (testing)"),
-        (F.col("score") > 60, "CloudWatch Logs"),
-        (F.col("score") > 60, "Spark UI"),
-        (F.col("any_jdbc"), "JDBC Drivers"),
-        (F.col("any_teradata"), "Teradata JDBC Driver (custom)"),
-        (F.col("any_teradata"), "Glue Marketplace Connector (optional)"),
-    ]
-    pick = lambda rows: F.array_compact(
-        F.array(*[F.when(c, F.lit(text)) for c, text in rows])
+    advice = {
+        "auto": auto,
+        "semi_auto": semi,
+        "manual": manual,
+        "change": says("CDC"),
+        "lookup": says("Lookup"),
+        "teradata": says("Teradata"),
+        "large": F.col("n_stages") > 10,
+    }
+    needs = {
+        "always": F.lit(True),
+        "connector": F.col("any_connector"),
+        "file": F.col("any_file"),
+        "change": F.col("any_change"),
+        "score": F.col("score") > 60,
+        "jdbc": F.col("any_jdbc"),
+        "teradata": F.col("any_teradata"),
+    }
+    pick = lambda conditions, texts: F.array_compact(
+        F.array(*[F.when(c, F.lit(text)) for name, c in conditions.items() for text in texts[name]])
     )
     blockers = F.array_compact(
         F.array(
-            F.when(says("CDC") | says("SCD"), F.lit("CDC/SCD logic must be manually validated")),
-            F.when(
-                F.contains(F.lower(factors), F.lit("custom")),
-                F.lit("Custom code/routines need manual conversion"),
-            ),
-            F.when(
-                F.col("n_transformers") > 3,
-                F.concat(
-                    F.lit("Multiple Transformers ("),
-                    F.col("n_transformers").cast("string"),
-                    F.lit(") - review SQL/logic"),
-                ),
-            ),
+            F.when(says("CDC") | says("SCD"), F.lit(BLOCKERS["change"])),
+            F.when(F.contains(F.lower(factors), F.lit("custom")), F.lit(BLOCKERS["custom"])),
+            F.when(F.col("n_transformers") > 3, _filled(BLOCKERS["transformers"], F.col("n_transformers"))),
         )
     )
     return df.withColumns(
         {
-            "recommendations": pick(advice),
-            "features_needed": F.sort_array(pick(needs)),
+            "recommendations": pick(advice, RECOMMENDATIONS),
+            "features_needed": F.sort_array(pick(needs, FEATURES_NEEDED)),
             "rule_blockers": blockers,
         }
     )
@@ -336,18 +314,59 @@ def with_labels(df: DataFrame) -> DataFrame:
 
 def type_blockers(stages: DataFrame, key: str) -> DataFrame:
     """One blocker row per entity and distinct step type that needs manual work."""
-    from stageloom.operators.rule_tables import MANUAL
-
     return (
         stages.where(F.col("type").isin(MANUAL))
         .select(
             key,
-            F.concat(F.lit("Stage type '"), "type", F.lit("' requires manual implementation")).alias("blocker"),
+            _filled(BLOCKERS["type"], F.col("type")).alias("blocker"),
         )
         .distinct()
     )
 
 
+def common_blockers(stages: DataFrame, labelled: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Blockers by how many entities have them, all or the first ``n``.
+
+    ``labelled`` are predictions with labels (``with_labels``).
+    """
+    named = labelled.select(key, F.explode("rule_blockers").alias("blocker"))
+    counts = type_blockers(stages, key).unionByName(named).groupBy("blocker").agg(F.count(F.lit(1)).alias("n"))
+    return counts if n is None else counts.orderBy(F.desc("n"), "blocker").limit(n)
+
+
+def portfolio_report(stages: DataFrame, categorised: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """(section, label, n): entities per category and score bucket, and per source, target and transform type.
+
+    ``categorised`` has migration_category and score per entity; type lists may be cut to the first ``n``.
+    """
+    score = F.col("score")
+    bucket = F.when(score < 30, "simple").when(score < 60, "medium").otherwise("complex")
+    count = F.count(F.lit(1)).alias("n")
+    out = categorised.groupBy(F.lit("category").alias("section"), F.col("migration_category").alias("label")).agg(count)
+    out = out.unionByName(categorised.groupBy(F.lit("bucket").alias("section"), bucket.alias("label")).agg(count))
+    distinct = stages.select(key, "type").distinct()
+    for name, types in (("source", SOURCES), ("target", TARGETS), ("transform", TRANSFORMS)):
+        top = distinct.where(F.col("type").isin(types)).groupBy(F.lit(name).alias("section"), F.col("type").alias("label"))
+        top = top.agg(count)
+        out = out.unionByName(top if n is None else top.orderBy(F.desc("n"), "label").limit(n))
+    return out
+
+
+def unknown_rollup(stages: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """(section, label, n): entities per unknown step type, totals, and unknown types per entity (all or the first ``n``)."""
+    known = sorted({*FULL, *PARTIAL, *MANUAL, *METADATA})
+    unknown = stages.where(~F.col("type").isin(known) & (F.col("type") != "")).select(key, "type").distinct()
+    count = F.count(F.lit(1)).alias("n")
+    out = unknown.groupBy(F.lit("type").alias("section"), F.col("type").alias("label")).agg(count)
+    for label, column in (("unique types", "type"), ("entities", key)):
+        total = unknown.agg(F.count_distinct(column).alias("n"))
+        out = out.unionByName(total.select(F.lit("total").alias("section"), F.lit(label).alias("label"), "n"))
+    each = unknown.groupBy(key).agg(count)
+    if n is not None:
+        each = each.orderBy(key).limit(n)
+    return out.unionByName(each.select(F.lit("entity").alias("section"), F.col(key).cast("string").alias("label"), "n"))
+
+
 def calibration(results: DataFrame) -> DataFrame:
     """Effort factor and success base from actual results; 1.0 where nothing was predicted."""
     predicted = F.sum("predicted_hours")
@@ -367,7 +386,8 @@ def calibrated_predictions(entity_features: DataFrame, results: DataFrame) -> Da
 
 
 def with_priority(df: DataFrame, business: Column | float = 0.5) -> DataFrame:
-    """Weighted priority; the largest effort is a scalar subquery."""
+    """Weighted priority. The rows are stored once: the largest effort, a scalar, and the rest read them there."""
+    df = materialise(df, "predictions")
     top = df.agg(
         F.coalesce(F.nullif(F.max("estimated_hours"), F.lit(0.0)), F.lit(1.0)).alias("m")
     ).scalar()

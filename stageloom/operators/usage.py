@@ -31,39 +31,39 @@ FAMILY_WORDS = [
 ]
 
 # Price per 1000 input and output tokens by provider and model.
-PRICES = """
-anthropic       claude-sonnet-4-20250514                  0.003     0.015
-anthropic       claude-3-5-sonnet-20241022                0.003     0.015
-anthropic       claude-3-opus-20240229                    0.015     0.075
-anthropic       claude-3-haiku-20240307                   0.00025   0.00125
-anthropic       default                                   0.003     0.015
-azure           gpt-4o                                    0.005     0.015
-azure           gpt-4o-mini                               0.00015   0.0006
-azure           gpt-4-turbo                               0.01      0.03
-azure           default                                   0.005     0.015
-azure_foundry   meta-llama-3.1-70b-instruct               0.00268   0.00354
-azure_foundry   meta-llama-3.1-8b-instruct                0.0003    0.00061
-azure_foundry   mistral-large                             0.004     0.012
-azure_foundry   cohere-command-r-plus                     0.003     0.015
-azure_foundry   default                                   0.003     0.01
-aws             anthropic.claude-3-sonnet-20240229-v1:0   0.003     0.015
-aws             anthropic.claude-3-haiku-20240307-v1:0    0.00025   0.00125
-aws             meta.llama3-1-70b-instruct-v1:0           0.00265   0.0035
-aws             mistral.mistral-large-2402-v1:0           0.004     0.012
-aws             amazon.titan-text-premier-v1:0            0.0005    0.0015
-aws             default                                   0.003     0.015
-gcp             gemini-1.5-pro                            0.00125   0.005
-gcp             gemini-1.5-flash                          0.000075  0.0003
-gcp             gemini-1.0-pro                            0.0005    0.0015
-gcp             claude-3-5-sonnet@20240620                0.003     0.015
-gcp             default                                   0.00125   0.005
-openrouter      anthropic/claude-sonnet-4                 0.003     0.015
-openrouter      anthropic/claude-3.5-sonnet               0.003     0.015
-openrouter      openai/gpt-4o                             0.005     0.015
-openrouter      meta-llama/llama-3.1-70b-instruct         0.0008    0.0008
-openrouter      google/gemini-pro-1.5                     0.00125   0.005
-openrouter      default                                   0.003     0.015
-"""
+PRICES = [
+    ("anthropic", "claude-sonnet-4-20250514", "0.003", "0.015"),
+    ("anthropic", "claude-3-5-sonnet-20241022", "0.003", "0.015"),
+    ("anthropic", "claude-3-opus-20240229", "0.015", "0.075"),
+    ("anthropic", "claude-3-haiku-20240307", "0.00025", "0.00125"),
+    ("anthropic", "default", "0.003", "0.015"),
+    ("azure", "gpt-4o", "0.005", "0.015"),
+    ("azure", "gpt-4o-mini", "0.00015", "0.0006"),
+    ("azure", "gpt-4-turbo", "0.01", "0.03"),
+    ("azure", "default", "0.005", "0.015"),
+    ("azure_foundry", "meta-llama-3.1-70b-instruct", "0.00268", "0.00354"),
+    ("azure_foundry", "meta-llama-3.1-8b-instruct", "0.0003", "0.00061"),
+    ("azure_foundry", "mistral-large", "0.004", "0.012"),
+    ("azure_foundry", "cohere-command-r-plus", "0.003", "0.015"),
+    ("azure_foundry", "default", "0.003", "0.01"),
+    ("aws", "anthropic.claude-3-sonnet-20240229-v1:0", "0.003", "0.015"),
+    ("aws", "anthropic.claude-3-haiku-20240307-v1:0", "0.00025", "0.00125"),
+    ("aws", "meta.llama3-1-70b-instruct-v1:0", "0.00265", "0.0035"),
+    ("aws", "mistral.mistral-large-2402-v1:0", "0.004", "0.012"),
+    ("aws", "amazon.titan-text-premier-v1:0", "0.0005", "0.0015"),
+    ("aws", "default", "0.003", "0.015"),
+    ("gcp", "gemini-1.5-pro", "0.00125", "0.005"),
+    ("gcp", "gemini-1.5-flash", "0.000075", "0.0003"),
+    ("gcp", "gemini-1.0-pro", "0.0005", "0.0015"),
+    ("gcp", "claude-3-5-sonnet@20240620", "0.003", "0.015"),
+    ("gcp", "default", "0.00125", "0.005"),
+    ("openrouter", "anthropic/claude-sonnet-4", "0.003", "0.015"),
+    ("openrouter", "anthropic/claude-3.5-sonnet", "0.003", "0.015"),
+    ("openrouter", "openai/gpt-4o", "0.005", "0.015"),
+    ("openrouter", "meta-llama/llama-3.1-70b-instruct", "0.0008", "0.0008"),
+    ("openrouter", "google/gemini-pro-1.5", "0.00125", "0.005"),
+    ("openrouter", "default", "0.003", "0.015"),
+]
 
 # Price by the first of these texts that a model name contains.
 PRICES_BY_TEXT = [
@@ -95,7 +95,7 @@ PRICE = "decimal(10,8)"
 
 
 def price_rows() -> list[tuple[str, str, str, str]]:
-    return [tuple(line.split()) for line in PRICES.strip().splitlines()]
+    return list(PRICES)
 
 
 def price_table(spark: SparkSession) -> DataFrame:

@@ -120,10 +120,7 @@ def type_blockers(spark, d):
 def common_blockers(spark, d):
     s = G.stages(spark, d)
     rows = R.with_labels(R.predictions(R.features(s, G.links(spark, d, s), "job_id")))
-    named = rows.select("job_id", F.explode("rule_blockers").alias("blocker"))
-    every = R.type_blockers(s, "job_id").unionByName(named)
-    counts = every.groupBy("blocker").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "blocker").limit(10)
+    return R.common_blockers(s, rows, "job_id", 10)
 
 
 REPORT_SQL = """SELECT count(*) AS n_total, count(*) FILTER (category = 'AUTO') AS n_auto, count(*) FILTER (category = 'SEMI_AUTO') AS n_semi,
@@ -205,12 +202,16 @@ PRIORITY_SQL = """, ranked AS (SELECT job_id, round(0.3::DOUBLE * (CASE category
 """
 
 
+def _ranked_columns(spark, d):
+    return predictions(spark, d).select("job_id", "category", "success_probability", "estimated_hours", "risk_level")
+
+
 @query(
     "priority_rank",
     P + PRIORITY_SQL + "SELECT job_id, priority, row_number() OVER (ORDER BY priority DESC, job_id) AS rank FROM ranked",
 )
 def priority_rank(spark, d):
-    return R.priority_rank(R.with_priority(predictions(spark, d)).select("job_id", "priority"), "job_id")
+    return R.priority_rank(R.with_priority(_ranked_columns(spark, d)).select("job_id", "priority"), "job_id")
 
 
 @query(
@@ -220,7 +221,7 @@ def priority_rank(spark, d):
 def priority_waves(spark, d):
     from stageloom.operators.windows import waves
 
-    ranked = R.with_priority(predictions(spark, d)).select("job_id", "priority")
+    ranked = R.with_priority(_ranked_columns(spark, d)).select("job_id", "priority")
     return waves(ranked, [("priority", "desc"), "job_id"]).select("job_id", "wave")
 
 
@@ -238,22 +239,7 @@ def priority_waves(spark, d):
 def portfolio_report(spark, d):
     s = G.stages(spark, d)
     rows = R.migration_category(R.features(s, G.links(spark, d, s), "job_id"))
-    score = F.col("score")
-    bucket = F.when(score < 30, "simple").when(score < 60, "medium").otherwise("complex")
-    n = F.count(F.lit(1)).alias("n")
-    out = rows.groupBy(F.lit("category").alias("section"), F.col("migration_category").alias("label")).agg(n)
-    out = out.unionByName(rows.groupBy(F.lit("bucket").alias("section"), bucket.alias("label")).agg(n))
-    distinct = s.select("job_id", "type").distinct()
-    for name, types in (("source", SOURCES), ("target", TARGETS), ("transform", TRANSFORMS)):
-        top = (
-            distinct.where(F.col("type").isin(types))
-            .groupBy(F.lit(name).alias("section"), F.col("type").alias("label"))
-            .agg(n)
-            .orderBy(F.desc("n"), "label")
-            .limit(10)
-        )
-        out = out.unionByName(top)
-    return out
+    return R.portfolio_report(s, rows, "job_id", 10)
 
 
 @query(
@@ -274,27 +260,10 @@ _UNKNOWN_SQL = """unknown AS (SELECT DISTINCT job_id, type FROM typed WHERE supp
        SELECT 'type' AS section, type AS label, count(*) AS n FROM unknown GROUP BY 2
        UNION ALL SELECT 'total', 'unique types', count(DISTINCT type) FROM unknown
        UNION ALL SELECT 'total', 'entities', count(DISTINCT job_id) FROM unknown
-       UNION ALL (SELECT 'entity', CAST(job_id AS VARCHAR), count(*) FROM unknown GROUP BY job_id ORDER BY job_id LIMIT 20)""",
+       UNION ALL (SELECT 'entity', CAST(job_id AS VARCHAR), count(*) FROM unknown GROUP BY job_id)""",
 )
 def unknown_rollup(spark, d):
-    from stageloom.operators.rule_tables import FULL, METADATA, PARTIAL
-
-    known = sorted({*FULL, *PARTIAL, *MANUAL, *METADATA})
-    unknown = (
-        G.stages(spark, d).where(~F.col("type").isin(known) & (F.col("type") != "")).select("job_id", "type").distinct()
-    )
-    n = F.count(F.lit(1)).alias("n")
-    out = unknown.groupBy(F.lit("type").alias("section"), F.col("type").alias("label")).agg(n)
-    for label, column in (("unique types", "type"), ("entities", "job_id")):
-        out = out.unionByName(
-            unknown.agg(F.count_distinct(column).alias("n")).select(
-                F.lit("total").alias("section"), F.lit(label).alias("label"), "n"
-            )
-        )
-    first = unknown.groupBy("job_id").agg(n).orderBy("job_id").limit(20)
-    return out.unionByName(
-        first.select(F.lit("entity").alias("section"), F.col("job_id").cast("string").alias("label"), "n")
-    )
+    return R.unknown_rollup(G.stages(spark, d), "job_id")
 
 
 @query(

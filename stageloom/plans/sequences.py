@@ -433,7 +433,7 @@ def cluster_membership(spark, d):
     return B.cluster_membership(docs, "doc_id", dups, sims, docs.select("doc_id", F.col("lang").alias("family")))
 
 
-_ENDPOINT_SQL = "CASE " + " ".join(f"WHEN type IN {G.sql_list(ts.split())} THEN '{k}'" for k, ts in ENDPOINTS.items()) + " END"
+_ENDPOINT_SQL = "CASE type " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in ENDPOINTS.items()) + " END"
 ROLES_SQL = f"""WITH {G.STAGES_SQL}, known AS (SELECT *, lower(name) AS ln FROM (SELECT *, {_ENDPOINT_SQL} AS kind FROM stages) WHERE kind IS NOT NULL),
   marked AS (SELECT *, CASE WHEN kind NOT IN ('jdbc', 's3') THEN 'none' WHEN contains(ln, 'src') OR contains(ln, 'source') OR contains(ln, 'in') OR contains(ln, 'read') THEN 'source'
      WHEN contains(ln, 'tgt') OR contains(ln, 'target') OR contains(ln, 'out') OR contains(ln, 'write') OR contains(ln, 'dest') THEN 'target' ELSE 'open' END AS mark FROM known),
