@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stageloom.operators.sizing import literal_table
+
 
 def _verdict(ok: Column) -> Column:
     return F.when(ok, "PASS").otherwise("FAIL")
@@ -32,6 +34,13 @@ def missing_columns(df: DataFrame, expected: Mapping[str, str]) -> list[str]:
     return [f"{c} {t}" for c, t in expected.items() if have.get(c) != t]
 
 
+def check_schema(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
+    """One row per expected column: expected and actual type, PASS or FAIL."""
+    have = dict(df.dtypes)
+    rows = [(c, t, have.get(c), "PASS" if have.get(c) == t else "FAIL") for c, t in expected.items()]
+    return literal_table(df.sparkSession, rows, "column_name string, expected string, actual string, status string")
+
+
 def check_row_preserving(before: DataFrame, after: DataFrame) -> DataFrame:
     """Both counts in one job."""
     sides = before.select(F.lit(1).alias("b")).unionByName(

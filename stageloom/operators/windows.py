@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stageloom.operators import ordering
 from stageloom.operators.ordering import (
     OrderKey,
     dense_number,
     first_per_group,
     group_number,
+    hot_groups,
     ordered_scan,
     parse_key,
     reversed_order,
+    sort_columns,
 )
 
 
 @dataclass
 class WindowSpec:
-    """One output column: ``function`` over ``column`` by ``partition_by`` and ``order_by``."""
+    """One output column: ``function`` over ``column`` by ``partition_by`` and ``order_by``.
+
+    ``offset`` and ``default`` belong to lag and lead, ``offset`` also to nth_value. ``frame`` is a ROWS frame
+    (first, last) relative to the current row, None for unbounded; it needs a total order.
+    """
 
     out: str
     function: str
     column: str | int | None = None
     partition_by: Sequence[str] = ()
     order_by: Sequence[OrderKey] = ()
+    offset: int = 1
+    default: object = None
+    frame: tuple[int | None, int | None] | None = None
 
 
 RANKS = ("row_number", "rank", "dense_rank")
 SHARES = ("percent_rank", "cume_dist", "ntile")
-RUNNING = ("sum", "count", "min", "max", "avg")
+RUNNING = ("sum", "count", "min", "max", "avg", "stddev")
+VALUES = ("first_value", "last_value", "nth_value")
 
 
 def window_columns(
@@ -51,11 +62,13 @@ def window_columns(
         elif spec.function in SHARES:
             df = _share(df, spec, limit)
         elif spec.function in ("lag", "lead"):
-            order = spec.order_by if spec.function == "lag" else reversed_order(spec.order_by)
-            scan = {spec.out: ("lag", spec.column)}
-            df = ordered_scan(df, spec.partition_by, order, [scan], limit)
-        elif spec.function in RUNNING:
+            df = _offset(df, spec, limit)
+        elif spec.function in VALUES:
+            df = _value_at(df, spec, limit)
+        elif spec.function in RUNNING and spec.frame is None:
             df = _running(df, spec, limit)
+        elif spec.function in RUNNING:
+            df = _framed(df, spec, limit)
         else:
             raise ValueError(f"unknown window function {spec.function!r}")
     return df
@@ -128,26 +141,113 @@ def _rank(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
     ).drop("_peer", "_rn", "_prev", "_start")
 
 
+def _near(
+    df: DataFrame,
+    spec: WindowSpec,
+    before: int,
+    after: int,
+    value: Callable[[Window], Column],
+    limit: int | None,
+) -> DataFrame:
+    """A window value that looks at most ``before`` rows back and ``after`` rows on.
+
+    Groups up to the limit use one plain window. Larger ones are numbered and cut into blocks; each block
+    also gets the rows just outside it, and only its own rows keep their value.
+    """
+    by, order = list(spec.partition_by), spec.order_by
+    limit = max(limit or ordering.ROWS_PER_TASK, before + after, 1)
+    hot = hot_groups(df, by, limit)
+    if hot is None:
+        return df.withColumn(spec.out, value(Window.partitionBy(*by).orderBy(*sort_columns(order))))
+    numbered = ordered_scan(df, by, order, [{"_at": ("row_number", None)}], limit)
+    block = F.floor((F.col("_at") - 1) / limit)
+    # A row also belongs to the block whose first rows look back to it, and to the one whose last rows look on.
+    reach = [block, F.floor((F.col("_at") - 1 + before) / limit), F.floor((F.col("_at") - 1 - after) / limit)]
+    spread = numbered.withColumns({"_own": block, "_block": F.explode(F.array_distinct(F.array(*reach)))})
+    window = Window.partitionBy(*by, "_block").orderBy("_at")
+    return spread.withColumn(spec.out, value(window)).where("_own = _block").drop("_at", "_own", "_block")
+
+
+def _offset(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
+    reach = (spec.offset, 0) if spec.function == "lag" else (0, spec.offset)
+    default = None if spec.default is None else spec.default
+    return _near(df, spec, *reach, lambda w: getattr(F, spec.function)(spec.column, spec.offset, default).over(w), limit)
+
+
+def _framed(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
+    """A ROWS frame: bounded on both sides, or from the first row to the current one."""
+    first, last = spec.frame
+    if first is None and last == 0:
+        parts = {"avg": ["sum", "count"]}.get(spec.function, [spec.function])
+        if spec.function == "stddev":
+            raise ValueError("stddev has no running ROWS form; leave the frame out or bound it")
+        scans = {f"_r_{p}": (p, spec.column) for p in parts}
+        out = ordered_scan(df, spec.partition_by, spec.order_by, [scans], limit)
+        value = F.col("_r_sum") / F.col("_r_count") if spec.function == "avg" else F.col(f"_r_{parts[0]}")
+        return out.withColumn(spec.out, value).drop(*scans)
+    if first is None and last is None:
+        return _whole_group(df, spec)
+    if first is None or last is None:
+        raise ValueError("a frame is bounded on both sides, runs up to the current row, or covers the group")
+    column = F.col(spec.column) if spec.column else F.lit(1)
+    value = lambda w: getattr(F, spec.function)(column).over(w.rowsBetween(first, last))
+    return _near(df, spec, max(0, -first), max(0, last), value, limit)
+
+
+def _value_at(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
+    """Values of the first, last or ``offset``-th row: one row per group, joined back.
+
+    Without a frame the group is seen up to the current row: then last_value is the row's own value and
+    nth_value is NULL before the n-th row. ``frame=(None, None)`` sees the whole group.
+    """
+    by, whole = list(spec.partition_by), spec.frame == (None, None)
+    if spec.frame not in (None, (None, 0), (None, None)):
+        raise ValueError(f"{spec.function} sees the group up to the current row or as a whole")
+    if spec.function == "last_value" and not whole:
+        return df.withColumn(spec.out, F.col(spec.column))
+    order = reversed_order(spec.order_by) if spec.function == "last_value" else spec.order_by
+    n = spec.offset if spec.function == "nth_value" else 1
+    at = first_per_group(df, by, order, n) if by else df.orderBy(*sort_columns(order)).limit(n)
+    if n > 1:
+        at = _near(at, WindowSpec("_n", "row_number", None, by, order), 0, 0, lambda w: F.row_number().over(w), limit)
+        at = at.where(F.col("_n") == n)
+    at = at.select(*[F.col(k).alias(f"_g_{k}") for k in by], F.col(spec.column).alias(spec.out))
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    if spec.function == "nth_value" and not whole:
+        df = ordered_scan(df, by, spec.order_by, [{"_at": ("row_number", None)}], limit)
+        on = on & (F.col("_at") >= n)
+    return df.join(at, on, "left").drop("_at", *[f"_g_{k}" for k in by])
+
+
 def _running(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
     """Running aggregate with peers merged: scan one row per peer group, join back."""
     keys = [*spec.partition_by, *_key_names(spec.order_by)]
     column = F.col(spec.column) if spec.column else F.lit(1)
-    parts = {"avg": ["sum", "count"]}.get(spec.function, [spec.function])
+    parts = {"avg": ["sum", "count"], "stddev": ["sum", "count", "squares"]}.get(spec.function, [spec.function])
+    if spec.function == "stddev":  # squares of distances from the overall mean lose less than plain squares
+        column = column - df.agg(F.avg(spec.column)).scalar()
+    forms = {"squares": lambda c: F.sum(c * c)}
     per_peer = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
-        *[getattr(F, p)(column).alias(f"_p_{p}") for p in parts]
+        *[forms.get(p, getattr(F, p, None))(column).alias(f"_p_{p}") for p in parts]
     )
     order = [
         (f"_g_{n}", d, nulls) for n, d, nulls in map(parse_key, spec.order_by)
     ]
     scans = {
-        f"_r_{p}": ("sum" if p in ("sum", "count") else p, f"_p_{p}") for p in parts
+        f"_r_{p}": ("sum" if p in ("sum", "count", "squares") else p, f"_p_{p}") for p in parts
     }
     run = ordered_scan(per_peer, [f"_g_{k}" for k in spec.partition_by], order, [scans], limit)
-    value = (
-        F.col("_r_sum") / F.col("_r_count")
-        if spec.function == "avg"
-        else F.col(f"_r_{parts[0]}")
-    )
+    total, n = F.col("_r_sum"), F.col("_r_count")
+    if spec.function == "avg":
+        value = F.try_divide(total, n)
+    elif spec.function == "stddev":
+        spread = F.col("_r_squares") - F.try_divide(total * total, n)
+        value = F.sqrt(F.greatest(F.try_divide(spread, n - 1), F.lit(0.0)))
+        value = F.when(n > 1, value)
+    else:
+        value = F.col(f"_r_{parts[0]}")
     run = run.select(*[f"_g_{k}" for k in keys], value.alias(spec.out))
     on = F.lit(True)
     for k in keys:

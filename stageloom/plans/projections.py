@@ -148,9 +148,17 @@ def surrogate_key_continue(spark, d):
     ).select("sk", "c_custkey")
 
 
-@query("surrogate_key_unique")
+@query(
+    "surrogate_key_unique",
+    "SELECT count(*) AS n_rows, count(*) AS n_keys, 0::BIGINT AS n_missing, count(DISTINCT c_custkey) AS n_customers FROM customer",
+)
 def surrogate_key_unique(spark, d):
-    return P.surrogate_key(load(spark, d, "customer").select("c_custkey"), "sk", mode="unique")
+    """The keys themselves are arbitrary; every row has one and no two share one."""
+    keyed = P.surrogate_key(load(spark, d, "customer").select("c_custkey"), "sk", mode="unique")
+    return keyed.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sk").alias("n_keys"),
+        F.count_if(F.col("sk").isNull()).alias("n_missing"), F.count_distinct("c_custkey").alias("n_customers"),
+    )
 
 
 @query(

@@ -268,11 +268,17 @@ def commonality_summary(spark, d):
     return Q.commonality_summary(fingerprints(spark, d), "fingerprint")
 
 
-@query("kmeans_sizes")
+@query(
+    "kmeans_sizes",
+    "SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_ids, least(15, count(*)) AS n_clusters, true AS silhouette_holds FROM embeddings",
+)
 def kmeans_sizes(spark, d):
+    """Every vector has one cluster, all clusters are used, and the silhouette is a proper one."""
     clusters, silhouette = V.kmeans_clusters(load(spark, d, "embeddings"), "vec_id", "embedding", 15)
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("silhouette", F.lit(silhouette).cast("double"))
+    return clusters.agg(
+        F.count(F.lit(1)).alias("n_vectors"), F.count_distinct("vec_id").alias("n_ids"),
+        F.count_distinct("cluster").alias("n_clusters"),
+    ).withColumn("silhouette_holds", F.lit(-1 <= silhouette <= 1))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stageloom.operators import sets as S
 from stageloom.operators import windows as W
 from stageloom.plans.registry import query
+from stageloom.scratch import materialise
 from stageloom.tables import load
 
 SPEND_SQL = """SELECT c_nationkey, c_mktsegment, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS spend,
@@ -188,14 +189,68 @@ def sample_hash(spark, d):
     return S.sample_hash(load(spark, d, "orders"), "o_orderkey", 10).select("o_orderkey", "o_custkey")
 
 
-@query("sample")
+@query(
+    "sample",
+    "SELECT 0::BIGINT AS n_foreign, true AS share_in_range, count(*) AS n_rows FROM orders",
+)
 def sample(spark, d):
-    return S.sample_stage(load(spark, d, "orders"), 0.1, 42)
+    """The sample holds rows of the table only, and a tenth of them give or take five standard deviations."""
+    orders = load(spark, d, "orders")
+    drawn = S.sample_stage(orders, 0.1, 42)
+    foreign = drawn.exceptAll(orders).agg(F.count(F.lit(1))).scalar()
+    n = orders.agg(F.count(F.lit(1)).alias("n_rows"))
+    near = F.abs(drawn.agg(F.count(F.lit(1))).scalar() - F.col("n_rows") * 0.1) <= 5 * F.sqrt(F.col("n_rows") * 0.09)
+    return n.select(foreign.alias("n_foreign"), near.alias("share_in_range"), "n_rows")
 
 
-@query("peek_stage")
+@query("peek_stage", "SELECT least(10, count(*)) AS n_rows, 0::BIGINT AS n_foreign FROM lineitem")
 def peek_stage(spark, d):
-    return S.peek_stage(load(spark, d, "lineitem"), 10)
+    """Ten rows, all of the table."""
+    lines = load(spark, d, "lineitem")
+    seen = materialise(S.peek_stage(lines, 10), "peek")
+    foreign = seen.exceptAll(lines).agg(F.count(F.lit(1))).scalar()
+    return seen.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_foreign", foreign)
+
+
+_BY = "(PARTITION BY user_id ORDER BY ts, event_id"
+
+
+@query(
+    "window_offsets",
+    f"""SELECT event_id, lag(event_id, 2, -1) OVER {_BY}) AS two_back, lead(event_type, 3) OVER {_BY}) AS three_on,
+          first_value(event_type) OVER {_BY}) AS first_type, last_value(event_id) OVER {_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id,
+          nth_value(event_id, 3) OVER {_BY}) AS third_id FROM events""",
+)
+def window_offsets(spark, d):
+    events = load(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    by = {"partition_by": ["user_id"], "order_by": ["ts", "event_id"]}
+    specs = [
+        W.WindowSpec("two_back", "lag", "event_id", offset=2, default=-1, **by),
+        W.WindowSpec("three_on", "lead", "event_type", offset=3, **by),
+        W.WindowSpec("first_type", "first_value", "event_type", **by),
+        W.WindowSpec("last_id", "last_value", "event_id", frame=(None, None), **by),
+        W.WindowSpec("third_id", "nth_value", "event_id", offset=3, **by),
+    ]
+    return W.window_columns(events, specs).drop("user_id", "ts", "event_type")
+
+
+@query(
+    "window_frames",
+    f"""SELECT event_id, sum(event_id) OVER {_BY} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)::BIGINT AS near_sum,
+          min(event_id) OVER {_BY} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before_min,
+          max(event_id) OVER {_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far,
+          round(stddev(event_id) OVER {_BY}), 4) AS spread FROM events""",
+)
+def window_frames(spark, d):
+    events = load(spark, d, "events").select("event_id", "user_id", "ts")
+    by = {"partition_by": ["user_id"], "order_by": ["ts", "event_id"]}
+    specs = [
+        W.WindowSpec("near_sum", "sum", "event_id", frame=(-2, 1), **by),
+        W.WindowSpec("before_min", "min", "event_id", frame=(-3, -1), **by),
+        W.WindowSpec("so_far", "max", "event_id", frame=(None, 0), **by),
+        W.WindowSpec("spread", "stddev", "event_id", **by),
+    ]
+    return W.window_columns(events, specs).withColumn("spread", F.round("spread", 4)).drop("user_id", "ts")
 
 
 @query(
