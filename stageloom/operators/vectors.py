@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stageloom.functions.text import normalise_space
+from stageloom.operators.ordering import group_number
+from stageloom.operators.sizing import broadcast_if_small, literal_table
+from stageloom.scratch import materialise
 
-PIVOTS = 16
+PIVOTS = 64
 BLOCK = 512
-SHELL = 0.1
 
 
 def _let(value: Column, use) -> Column:
@@ -61,7 +63,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot of each unit vector and the distance to it."""
+    """Nearest of the first ``pivots`` pivots of each unit vector and the distance to it."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -71,6 +73,8 @@ def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             if same.any():
                 m = np.stack(pdf.loc[same, "v"].to_numpy())
                 d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * m @ pivots.T))
+                unused = np.arange(len(pivots))[None, :] >= pdf.loc[same, "pivots"].to_numpy()[:, None]
+                d[unused] = np.inf
                 cell[same] = d.argmin(axis=1)
                 dist[same] = d.min(axis=1)
             yield pdf.assign(cell=cell, dist=dist)
@@ -81,32 +85,31 @@ def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInPandas(assign, schema)
 
 
-def _blocks(rows: DataFrame, pivots: np.ndarray, side: str) -> DataFrame:
-    """Vectors in blocks of about ``BLOCK``, by partition value, pivot and distance shell.
+def vector_blocks(placed: DataFrame, side: str) -> DataFrame:
+    """Placed vectors in blocks of ``BLOCK`` by partition value and cell, nearest to the pivot first.
 
-    A hot partition value or cell only gives more blocks; no block grows with it.
+    Vectors of a cell are numbered by distance, so a block covers a narrow range of distances, all blocks of a cell
+    but the last are full, and a hot partition value or cell only gives more blocks.
     """
-    where = ["part", "dim", "cell", "shell"]
-    placed = _cells(rows, pivots).withColumn("shell", F.floor(F.col("dist") / SHELL).cast("int"))
-    sizes = placed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("slices"))
-    on = F.lit(True)
-    for c in where:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    sliced = placed.join(sizes.select(*[F.col(c).alias(f"_{c}") for c in where], "slices"), on).withColumn(
-        "slice", F.pmod(F.xxhash64("id"), F.col("slices"))
-    )
-    grouped = sliced.groupBy(*where, "slice").agg(
-        F.collect_list(F.struct("id", "v")).alias("rows"),
-        F.min("dist").alias("near"),
-        F.max("dist").alias("far"),
+    where = ["part", "dim", "cell"]
+    numbered = group_number(placed, where, ["dist", "id"], "_rn")
+    grouped = numbered.groupBy(*where, F.floor((F.col("_rn") - 1) / BLOCK).alias("slice")).agg(
+        F.collect_list(F.struct("id", "v")).alias("rows"), F.min("dist").alias("near"), F.max("dist").alias("far")
     )
     return grouped.select(
-        *[F.col(c).alias(f"{side}_{c}") for c in ("part", "dim", "cell", "near", "far")],
+        *[F.col(c).alias(f"{side}_{c}") for c in (*where, "near", "far")],
         F.col("rows.id").alias(f"{side}_ids"),
         F.flatten("rows.v").alias(f"{side}_m"),
     )
 
 
+def place_vectors(rows: DataFrame, sizes: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(id, part, v, dim) with cell and distance, stored; ``sizes`` says how many pivots a partition value uses."""
+    on = rows["part"].eqNullSafe(sizes["_part"]) & (rows["dim"] == sizes["_dim"])
+    sized = rows.join(broadcast_if_small(sizes), on).drop("_part", "_dim")
+    return materialise(_cells(sized, pivots).drop("pivots"), "placed")
+
+
 def cosine_best_match(
     queries: DataFrame,
     base: DataFrame,
@@ -119,9 +122,10 @@ def cosine_best_match(
 ) -> DataFrame:
     """Best base row per query with the same partition value and cosine >= t: (query, match, cosine).
 
-    Exact. Blocks of vectors are compared by matrix product and only the best match
-    per query leaves a block pair. Block pairs that the triangle inequality rules
-    out (distance between pivots against the reach of the blocks) are never joined.
+    Exact. Blocks of vectors are compared by matrix product and only the best match per query leaves a
+    block pair. Every partition value uses as many pivots as its size calls for. A block of queries joins
+    the base cells within its reach (triangle inequality over the pivots) on partition value and cell;
+    blocks of a reached cell that cannot hold a match are left out.
     """
     if alive is not None:
         base = base.where(alive)
@@ -141,18 +145,28 @@ def cosine_best_match(
         ).limit(0)
     width = len(sample[0][0])
     pivots = np.array([r[0] for r in sample if len(r[0]) == width])
-    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T))
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in apart])
+    distances = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T))
+    pairs_of_pivots = [(i, j, float(distances[i, j])) for i in range(len(pivots)) for j in range(len(pivots))]
+    apart = literal_table(q.sparkSession, pairs_of_pivots, "_q int, _b int, apart double")  # at most PIVOTS squared
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * t))) + 1e-6
-    other = F.col("q_cell") != F.col("b_cell")
+    used = F.least(F.lit(len(pivots)), F.ceil(F.count(F.lit(1)) / (2 * BLOCK))).cast("int")
+    sizes = b.groupBy(F.col("part").alias("_part"), F.col("dim").alias("_dim")).agg(used.alias("pivots"))
+    sizes = materialise(sizes, "sizes")
+    placed_b = place_vectors(b, sizes, pivots)
+    q_blocks, b_blocks = vector_blocks(place_vectors(q, sizes, pivots), "q"), vector_blocks(placed_b, "b")
+    cells = placed_b.groupBy("part", "dim", "cell").agg(F.max("dist").alias("radius"))
+    cells = cells.withColumnsRenamed({"part": "_part", "dim": "_dim", "cell": "_cell"})
+    here = F.col("q_part").eqNullSafe(F.col("_part")) & (F.col("q_dim") == F.col("_dim"))
+    known = (F.col("q_cell") == F.col("_q")) & (F.col("_cell") == F.col("_b"))
+    near = (F.col("q_cell") == F.col("_cell")) | (F.col("apart") - F.col("q_far") - F.col("radius") <= reach)
+    reached = q_blocks.join(broadcast_if_small(cells), here).join(F.broadcast(apart), known, "left").where(near)
     gap = F.when(
-        other,
-        table[F.col("q_cell")][F.col("b_cell")] - F.col("q_far") - F.col("b_far"),
-    ).otherwise(F.greatest(F.col("q_near") - F.col("b_far"), F.col("b_near") - F.col("q_far")))
-    may_meet = (F.col("q_cell") < 0) | (F.col("b_cell") < 0) | (gap <= reach)
-    pairs = _blocks(q, pivots, "q").join(
-        _blocks(b, pivots, "b"),
-        F.col("q_part").eqNullSafe(F.col("b_part")) & (F.col("q_dim") == F.col("b_dim")) & may_meet,
+        F.col("q_cell") == F.col("b_cell"), F.greatest(F.col("q_near") - F.col("b_far"), F.col("b_near") - F.col("q_far"))
+    ).otherwise(F.col("apart") - F.col("q_far") - F.col("b_far"))
+    pairs = reached.join(
+        b_blocks,
+        F.col("_part").eqNullSafe(F.col("b_part")) & (F.col("_dim") == F.col("b_dim")) & (F.col("_cell") == F.col("b_cell"))
+        & ((F.col("q_cell") < 0) | (gap <= reach)),
     )
 
     def best(batches):

@@ -3,6 +3,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -332,6 +333,24 @@ def test_best_match_equals_brute_force(spark, block, monkeypatch):
     assert all(abs(got[k][1] - want[k][1]) < 1e-9 and got[k][0] == want[k][0] for k in want)
 
 
+def test_blocks_are_full_on_a_large_table(spark):
+    """200 000 vectors in four partition values: blocks hold more than 100 on average."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 8))
+    pivots = centres[:16] / np.linalg.norm(centres[:16], axis=1, keepdims=True)
+    made = spark.range(200_000, numPartitions=8).mapInPandas(
+        lambda frames: (
+            pd.DataFrame({"id": f.id, "part": f.id % 4, "v": list((c := centres[f.id % 20] + np.sin(np.outer(f.id, np.arange(1, 9)))) / np.linalg.norm(c, axis=1, keepdims=True)), "dim": 8})
+            for f in frames
+        ),
+        "id long, part long, v array<double>, dim int",
+    )
+    sizes = spark.createDataFrame([(i, 8, 16) for i in range(4)], "_part long, _dim int, pivots int")
+    blocks = V.vector_blocks(V.place_vectors(made, sizes, pivots), "b")
+    n, total = blocks.agg(F.count("*"), F.sum(F.size("b_ids"))).first()
+    assert total == 200_000 and total / n > 100
+
+
 def test_kmeans_sizes_add_up(spark):
     rows_ = [(i, [float(i % 2) * 10 + i * 0.01, 1.0]) for i in range(20)]
     df = spark.createDataFrame(rows_, "id long, v array<double>")
