@@ -225,7 +225,10 @@ def _prefix_candidates(patterns: DataFrame, t: float, permille: int) -> DataFram
 
 
 def similar_pairs(patterns: DataFrame, t: float = 0.85) -> DataFrame:
-    """(a, b, similarity) with a < b of all unique patterns at or above the threshold."""
+    """(a, b, similarity) with a < b of all unique patterns at or above the threshold.
+
+    All similar pairs are the result, so it grows with the square of a group of similar patterns.
+    """
     if t <= 0.5:
         raise ValueError("a threshold of 0.5 or less puts no bound on the set overlap")
     permille = int(math.floor((2 * t - 1) * 1000 + 1e-6))
@@ -291,7 +294,8 @@ def greedy_clusters(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
     edges = ranked.select(F.col("a").alias("u"), F.col("b").alias("v"), "rank").unionByName(
         ranked.select(F.col("b").alias("u"), F.col("a").alias("v"), "rank")
     )
-    best = edges.groupBy("u").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("degree"))
+    # Read for the seeds, for their degrees and for what joins later.
+    best = materialise(edges.groupBy("u").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("degree")), "best")
     seeds = best.select("best").distinct().select(
         F.col("best.a").alias("a"), F.col("best.b").alias("b"), (-F.col("best.s")).alias("similarity"),
         F.col("best").alias("rank"),

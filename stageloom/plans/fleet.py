@@ -34,7 +34,7 @@ def sql_list(values) -> str:
 
 
 def stages(spark: SparkSession, d: str) -> DataFrame:
-    """job_id, position, name, type, properties, quantity."""
+    """job_id, position, name, type, properties, quantity, and the name of the step before."""
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     types = F.array(*[F.lit(t) for t in TYPES])
     # The type is worked out per part, before the join repeats it per line.
@@ -47,7 +47,8 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .drop("p_partkey")
     )
-    numbered = ordered_scan(rows, ["job_id"], ORDER, [{"position": ("row_number", None)}])
+    scan = {"position": ("row_number", None), "before": ("lag", "p_name")}
+    numbered = ordered_scan(rows, ["job_id"], ORDER, [scan])
     rows = numbered.select(
         "job_id",
         "position",
@@ -55,6 +56,7 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
         "type",
         F.create_map(F.lit("TableName"), "p_type", F.lit("Mode"), "l_returnflag").alias("properties"),
         F.col("l_quantity").alias("quantity"),
+        F.concat("before", F.lit("_"), (F.col("position") - 1).cast("string")).alias("previous"),
     )
     # Every report reads the steps several times (as steps, as chain, as first steps).
     return materialise(rows, "stages")
@@ -63,13 +65,7 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
 def links(spark: SparkSession, d: str, all_stages: DataFrame | None = None) -> DataFrame:
     """job_id, from_stage, to_stage."""
     s = stages(spark, d) if all_stages is None else all_stages
-    chain = (
-        ordered_scan(
-            s.select("job_id", "position", "name"), ["job_id"], ["position"], [{"from_stage": ("lag", "name")}]
-        )
-        .where("position > 1")
-        .select("job_id", "from_stage", F.col("name").alias("to_stage"))
-    )
+    chain = s.where("position > 1").select("job_id", F.col("previous").alias("from_stage"), F.col("name").alias("to_stage"))
     first = s.where("position = 1").select("job_id", F.col("name").alias("from_stage"))
     fan = (
         s.where("position > 2 AND quantity > 25")
