@@ -197,13 +197,13 @@ def cdc_run(
     bookmark: str,
     order: Sequence[OrderKey],
 ) -> bool:
-    """One incremental run: rows after the stored bookmark go into the versioned target.
+    """One incremental run: rows after the stored bookmark go into the target, whose touched buckets are rewritten.
 
     Returns False, and writes nothing, if nothing is new. The bookmark moves after the target, so a
     run lost in between is repeated with the same result.
     """
     from stageloom.sources.files import incremental_read
-    from stageloom.sources.sinks import overwrite, read_current
+    from stageloom.sources.sinks import overwrite, read_current, upsert_buckets
 
     spark = source.sparkSession
     state = read_current(spark, f"{base}/bookmark")
@@ -211,7 +211,7 @@ def cdc_run(
     fresh, top = incremental_read(source, bookmark, last)
     if top == last:
         return False
-    target = read_current(spark, f"{base}/target")
-    overwrite(change_apply(target, latest_per_key(fresh, keys, order), keys), f"{base}/target")
+    changes = latest_per_key(fresh, keys, order)
+    upsert_buckets(changes, f"{base}/target", keys, lambda old, new: change_apply(old, new, keys))
     overwrite(spark.range(1).select(F.lit(top).alias("last")), f"{base}/bookmark")
     return True

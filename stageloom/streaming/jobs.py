@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stageloom.operators.cdc import change_apply, latest_per_key
 from stageloom.operators.ordering import OrderKey
 from stageloom.operators.windows import budget_alerts
-from stageloom.sources.sinks import overwrite
+from stageloom.sources.sinks import overwrite, upsert_buckets
 
 
 def read_files(
@@ -82,12 +82,11 @@ def apply_changes(
     order: Sequence[OrderKey],
     checkpoint: str,
 ) -> None:
-    """Upsert each batch into a versioned table; the last change per key wins."""
+    """Upsert each batch into a bucketed table; the last change per key wins."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        target = version_before(batch.sparkSession, base, batch_id)
         changes = latest_per_key(batch, keys, order)
-        overwrite(change_apply(target, changes, keys), base, version=batch_id)
+        upsert_buckets(changes, base, keys, lambda old, new: change_apply(old, new, keys), version=batch_id)
 
     per_batch(stream, checkpoint, step)
 
@@ -101,10 +100,11 @@ def keep_latest(
 ) -> None:
     """One row per key, the last in the given order over all batches, whatever order they come in."""
 
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if old is None else latest_per_key(old.unionByName(new), keys, order)
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = version_before(batch.sparkSession, base, batch_id)
-        rows = batch if before is None else before.unionByName(batch)
-        overwrite(latest_per_key(rows, keys, order), base, version=batch_id)
+        upsert_buckets(latest_per_key(batch, keys, order), base, keys, merge, version=batch_id)
 
     per_batch(stream, checkpoint, step)
 

@@ -5,7 +5,7 @@ from stageloom import scratch
 from stageloom.operators import cdc as C
 from stageloom.operators import usage as U
 from stageloom.operators.joins import LookupSpec, lookup
-from stageloom.sources import files
+from stageloom.sources import files, sinks
 
 DIM = "id long, name string, effective_start_date date, effective_end_date date, is_current boolean"
 
@@ -72,3 +72,29 @@ def test_scratch_lies_in_the_shared_folder_and_can_be_cleared(spark):
     scratch.materialise(spark.range(3), "kept")
     parent = os.path.dirname(path).removeprefix("file:")
     assert os.listdir(parent)
+
+
+def test_a_run_leaves_untouched_buckets_as_they_were(spark, tmp_path):
+    import os
+
+    def files():
+        return {
+            os.path.join(folder, f): os.path.getmtime(os.path.join(folder, f))
+            for folder, _, names in os.walk(tmp_path / "t" / "target" / "data") for f in names if f.endswith(".parquet")
+        }
+
+    base = str(tmp_path / "t")
+    df = lambda rows_: spark.createDataFrame(rows_, "k long, seq long, v string")
+    run = lambda rows_: C.cdc_run(df(rows_), base, ["k"], "seq", ["seq"])
+    assert run([(k, 1, "a") for k in range(200)])
+    before = files()
+    assert len(before) > 20
+    assert run([(7, 2, "b")]) and not run([(7, 2, "b")])
+    after = files()
+    new = after.keys() - before.keys()
+    assert len(new) == 1 and all(after[f] == t for f, t in before.items())
+    got = dict(rows(sinks.read_current(spark, f"{base}/target"), "k", "v"))
+    assert len(got) == 200 and got[7] == "b" and got[8] == "a"
+    assert run([(7, 3, "c")]) and run([(7, 4, "d")])
+    assert len(files()) == len(before) - 1 + 2  # of bucket 7 the last two versions stay
+    assert dict(rows(sinks.read_current(spark, f"{base}/target"), "k", "v"))[7] == "d"
