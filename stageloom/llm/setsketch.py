@@ -8,6 +8,7 @@ likelihood of both sketches sorts them, and links are confirmed on the full sets
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ SCALE = 1.05  # base of the exponential scale
 RATE = 20.0  # keeps registers of single shingles above zero
 MARGIN = 0.15  # over five standard errors of the estimate at 200 registers
 NO_ID = (1 << 63) - 1
-PAIRS_PER_NODE = 4
-CHUNK_BYTES = 4 << 20
+ROWS_PER_BLOCK = 400
+CHUNK_BYTES = 2 << 20
 
 _U = tx.U64
 
@@ -140,7 +141,10 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 2000)
             keys = band_keys(_as_registers(part["registers"]))
             nodes = np.repeat(part["node"].to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["band", "node"])
+            at = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel().view(np.int64)), pa.array(at), pa.array(nodes)], names=["band", "at", "node"]
+            )
 
 
 def _likely(least: float):
@@ -172,6 +176,15 @@ def _confirmed(width: int, percent: int):
     return run
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes; only documents that may be theirs are shuffled."""
+    rep = nodes.select("node", "rep.tag", F.col("rep.id").alias("rep_id"))
+    wanted = materialise(wanted.join(rep, "node"), "wanted")
+    some, _ = members.may_be_in(docs, wanted, "tag", "tag")
+    same = (some["tag"] == wanted["tag"]) & (F.coalesce(some["doc_id"], F.lit(NO_ID)) == wanted["rep_id"])
+    return some.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+
+
 def _check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose full sets are similar enough."""
     mine = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
@@ -179,16 +192,60 @@ def _check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int
     sized = pairs.join(mine, "a").join(other, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = materialise(sized.mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long"), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rep = nodes.select("node", "rep.tag", F.col("rep.id").alias("rep_id"))
-    wanted = materialise(wanted.join(rep, "node"), "wanted")
-    some, _ = members.may_be_in(docs, members.bit_map(wanted, "tag"), "tag")
-    same = (some["tag"] == wanted["tag"]) & (F.coalesce(some["doc_id"], F.lit(NO_ID)) == wanted["rep_id"])
-    texts = materialise(some.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = materialise(_texts(wanted, nodes, docs), "texts")
     with_a = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a")
     with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
     return materialise(with_both.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
 
 
+def _sets(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.chunks(batches):
+            sets = [x.tobytes() for x in shingle_sets(*tx.raw(batch["text"]), width)]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _cross_links(percent: int):
+    """Links between components inside one bucket, or between two of its blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        registers, n = _as_registers(table["registers"]), table["n"].to_numpy()
+        component, node, own = (table[c].to_numpy() for c in ("component", "node", "own"))
+        first, second, at, grid = (table[c][0].as_py() for c in ("i", "j", "at", "grid"))
+        sets = [np.frombuffer(x, dtype=_U) for x in table["shingles"].to_pylist()]
+        used = registers.shape[1] // ROWS_PER_BAND * ROWS_PER_BAND
+        cell = table["cell"].to_numpy()
+        links = []
+        for x in np.flatnonzero(own == first):
+            y = np.flatnonzero((own == second) & (component != component[x]))
+            y = y[y > x] if first == second else y
+            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+            if grid:
+                y = y[cell[y] != cell[x]]  # pairs of one cell were seen on the other grid
+            same = registers[y] == registers[x]
+            # A pair is looked at in the first band that it shares. Registers are equal at least as often as the
+            # similarity, so pairs further below than the estimate's margin need no estimate.
+            first_shared = same[:, :used].reshape(len(y), used // ROWS_PER_BAND, ROWS_PER_BAND).all(axis=2).argmax(axis=1) == at
+            y = y[first_shared & (same.mean(axis=1) >= percent / 100 - 1.2 * MARGIN)]
+            if not len(y):
+                continue
+            like = estimate(registers[[x] * len(y)], registers[y], np.full(len(y), float(n[x])), n[y].astype(float))
+            for k in y[like >= percent / 100 - MARGIN]:
+                common = len(sets[x]) + len(sets[k]) - len(tx.distinct(np.concatenate((sets[x], sets[k])))[0])
+                if 100 * common >= percent * (len(sets[x]) + len(sets[k]) - common):
+                    links.append((max(node[x], node[k]), min(node[x], node[k])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _cell_width(percent: int) -> float:
+    return 2 * math.log(100 / percent)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -199,11 +256,12 @@ def near_duplicates(
     or wordless text has no shingle, no link and its own id; a NULL id is greater than all others;
     rows of equal sets share one node, whatever their ids, so copies are never paired.
 
-    Pairs that share a bucket of a band are candidates. Every bucket's members are compared with one
-    leader; then only buckets whose other members are still in several components are looked at again,
-    all their pairs across components once those are few (PAIRS_PER_NODE per node), else with another
-    leader. A link is lost only if no band of equal registers proposes it (below 1e-6 at 0.8) or if the
-    estimate is off by five standard errors, and then only if no other path connects the two.
+    Pairs that share a bucket of a band are candidates. Every bucket's members are compared with one leader,
+    which mostly closes it. Buckets whose other members are still in several components are looked at
+    again, cut by set size and into blocks of ROWS_PER_BLOCK: members of different components are compared
+    in place, sketches first, and only links leave a task. So no pair is emitted, but the comparisons in such
+    a bucket grow with its square. A link is lost only if no band of equal registers proposes it (below 1e-6
+    at 0.8) or if the estimate is off by five standard errors, and then only if no other path connects the two.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -211,40 +269,33 @@ def near_duplicates(
     rep = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("tag"))).alias("rep")
     nodes = sketches.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = materialise(nodes, "nodes")
-    bands = nodes.select("node", "registers").mapInArrow(_bands, "band long, node long")
+    bands = nodes.select("node", "registers").mapInArrow(_bands, "band long, at int, node long")
     leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialise(bands.join(leaders, "band").where("node <> leader").select("band", "node", "leader"), "buckets")
-    limit = PAIRS_PER_NODE * nodes.count()
-    pairs = buckets.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    compared = pairs = materialise(pairs, "pairs")
+    buckets = materialise(bands.join(leaders, "band").where("node <> leader").select("band", "at", "node", "leader"), "buckets")
+    pairs = materialise(buckets.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     links = _check_pairs(pairs, nodes, docs, width, percent)
     component = materialise(connected_components(links), "components")
-    members_left = buckets.select("band", "node")
-    while True:
-        labelled = members_left.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        spread = groups.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        open_bands = spread.where("n * n > within").withColumn("across", F.expr("(n * n - within) / 2"))
-        left = materialise(labelled.join(open_bands.select("band", "across"), "band"), "open-buckets")
-        total = left.select("band", "across").distinct().agg(F.coalesce(F.sum("across"), F.lit(0.0))).first()[0]
-        if not total:
-            break
-        left = left.drop("across")
-        if total <= limit:
-            other = left.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = left.withColumnRenamed("node", "a").join(other, "band").where("a > b AND component <> other")
-        else:
-            leader = left.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "band")).alias("leader"))
-            led = left.join(leader, "band")
-            members_left = materialise(led.where("node <> leader.node").select("band", "node"), "led-buckets")
-            across = led.where("component <> leader.component")
-            pairs = across.select(F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b"))
-        pairs = materialise(pairs.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_check_pairs(pairs, nodes, docs, width, percent))
+    # Similar sets differ in size by the percentage at most, so they share a cell of twice that width
+    # on one of two grids that are half a cell apart.
+    place = F.log(F.col("n").cast("double")) / _cell_width(percent)
+    cells = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor(place + g / 2).alias("cell")) for g in (0, 1)])
+    spread = buckets.join(nodes.select("node", "n"), "node").select("band", "at", "node", F.floor(place).alias("cell"), F.explode(cells).alias("c"))
+    spread = spread.select(F.xxhash64("band", "c.grid", "c.cell").alias("band"), "at", "c.grid", "cell", "node").join(component, "node", "left")
+    spread = spread.withColumn("component", F.coalesce("component", "node"))
+    sizes = spread.groupBy("band").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    blocks = F.ceil(F.col("size") / ROWS_PER_BLOCK).cast("int").alias("blocks")
+    left = materialise(spread.join(sizes.where("least < most").select("band", blocks), "band"), "open-buckets")
+    if not left.isEmpty():
+        sets = materialise(_texts(left.select("node").distinct(), nodes, docs).mapInArrow(_sets(width), "node long, shingles binary"), "sets")
+        own = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
+        dealt = left.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("band", "at", "grid", "cell", "node", "component", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+        full = dealt.join(nodes.select("node", "n", "registers"), "node").join(sets, "node")
+        found = full.groupBy("band", "i", "j").applyInArrow(_cross_links(percent), "a long, b long").distinct()
+        links = links.unionByName(materialise(found, "cross-links"))
         component = materialise(connected_components(links), "components")
-        if total <= limit:
-            break
-        compared = compared.unionByName(pairs)
     grouped = nodes.select("node", "rep.id").join(component, "node", "left")
     grouped = materialise(grouped.select("node", "id", F.coalesce("component", "node").alias("component")), "grouped")
     least = grouped.groupBy("component").agg(F.min("id").alias("least"))
@@ -271,5 +322,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return left
     tag = members.free_name(docs, "tag")
     tagged = left.withColumn(tag, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    repeated, single = members.may_be_in(tagged, members.bit_map(several, "first"), tag)
+    repeated, single = members.may_be_in(tagged, several, tag, "first")
     return single.unionByName(repeated.dropDuplicates([id_col, tag])).drop(tag)

@@ -49,10 +49,10 @@ def corpus():
     return [(int(order[i]) + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("pairs_per_node", [4, 0])
-def test_against_all_pairs(spark, monkeypatch, pairs_per_node):
-    """Also with the pair budget at 0, where every open bucket goes through leader after leader."""
-    monkeypatch.setattr(ss, "PAIRS_PER_NODE", pairs_per_node)
+@pytest.mark.parametrize("rows_per_block", [400, 2])
+def test_against_all_pairs(spark, monkeypatch, rows_per_block):
+    """Also with open buckets cut into many blocks."""
+    monkeypatch.setattr(ss, "ROWS_PER_BLOCK", rows_per_block)
     rows = corpus()
     got = ss.near_duplicates(docs_of(spark, rows, "node"), width=4).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain(rows, 4))
