@@ -26,7 +26,7 @@ SCALE = 1.05  # base of the exponential scale
 RATE = 20.0  # keeps registers of single shingles above zero
 MARGIN = 0.15  # over five standard errors of the estimate at 200 registers
 NO_ID = (1 << 63) - 1
-ROWS_PER_BLOCK = 400
+ROWS_PER_BLOCK, SHINGLES_PER_BLOCK = 1500, 4_000_000
 CHUNK_BYTES = 2 << 20
 
 _U = tx.U64
@@ -258,7 +258,7 @@ def near_duplicates(
 
     Pairs that share a bucket of a band are candidates. Every bucket's members are compared with one leader,
     which mostly closes it. Buckets whose other members are still in several components are looked at
-    again, cut by set size and into blocks of ROWS_PER_BLOCK: members of different components are compared
+    again, cut by set size and into blocks of ROWS_PER_BLOCK and SHINGLES_PER_BLOCK at most: members of different components are compared
     in place, sketches first, and only links leave a task. So no pair is emitted, but the comparisons in such
     a bucket grow with its square. A link is lost only if no band of equal registers proposes it (below 1e-6
     at 0.8) or if the estimate is off by five standard errors, and then only if no other path connects the two.
@@ -279,14 +279,15 @@ def near_duplicates(
     # on one of two grids that are half a cell apart.
     place = F.log(F.col("n").cast("double")) / _cell_width(percent)
     cells = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor(place + g / 2).alias("cell")) for g in (0, 1)])
-    spread = buckets.join(nodes.select("node", "n"), "node").select("band", "at", "node", F.floor(place).alias("cell"), F.explode(cells).alias("c"))
-    spread = spread.select(F.xxhash64("band", "c.grid", "c.cell").alias("band"), "at", "c.grid", "cell", "node").join(component, "node", "left")
+    spread = buckets.join(nodes.select("node", "n"), "node").select("band", "at", "node", "n", F.floor(place).alias("cell"), F.explode(cells).alias("c"))
+    spread = spread.select(F.xxhash64("band", "c.grid", "c.cell").alias("band"), "at", "c.grid", "cell", "node", "n").join(component, "node", "left")
     spread = spread.withColumn("component", F.coalesce("component", "node"))
     sizes = spread.groupBy("band").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")
+        F.greatest(F.ceil(F.count(F.lit(1)) / ROWS_PER_BLOCK), F.ceil(F.sum("n") / SHINGLES_PER_BLOCK)).cast("int").alias("blocks"),
+        F.min("component").alias("least"),
+        F.max("component").alias("most"),
     )
-    blocks = F.ceil(F.col("size") / ROWS_PER_BLOCK).cast("int").alias("blocks")
-    left = materialise(spread.join(sizes.where("least < most").select("band", blocks), "band"), "open-buckets")
+    left = materialise(spread.join(sizes.where("least < most").select("band", "blocks"), "band").drop("n"), "open-buckets")
     if not left.isEmpty():
         sets = materialise(_texts(left.select("node").distinct(), nodes, docs).mapInArrow(_sets(width), "node long, shingles binary"), "sets")
         own = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
