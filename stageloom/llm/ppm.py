@@ -27,8 +27,8 @@ END, BEFORE = 0xFE, 0xFF
 GRAMS_PER_SLICE = 4_000_000
 HOT_WORDS = 200_000
 ALPHA = 0.1
-CHUNK_BYTES = 2 << 20
-FLUSH_ENTRIES = 1_500_000
+CHUNK_BYTES = 1 << 20
+FLUSH_ENTRIES = 1_000_000
 
 _U = tx.U64
 
@@ -64,7 +64,7 @@ class Table:
     """Numbers by 64-bit key: open addressing over numpy arrays, looked up many keys at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) / 0.6).bit_length())
+        bits = max(4, int(len(keys) / 0.75).bit_length())
         self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
         place = np.full(1 << bits, -1, dtype=np.int32)
         at, waiting = self._home(keys), np.arange(len(keys), dtype=np.int32)
@@ -138,6 +138,7 @@ class Trie:
         at, _ = _where(self.contexts[ORDER], self.grams[ORDER] >> _U(8))
         direct = np.log10((self.counts[ORDER] - 0.5) / self.n[ORDER][at]) if len(at) else np.zeros(0)
         self.direct = Table(self.grams[ORDER], direct)
+        del self.grams[ORDER], self.counts[ORDER]  # from here on only looked up in the table
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's symbol after its context."""
@@ -153,7 +154,7 @@ class Trie:
         for order in range(ORDER, -1, -1):
             gram = keys[open_] & _U((1 << 8 * (order + 1)) - 1)
             context, has = _where(self.contexts[order], gram >> _U(8))
-            place, found = _where(self.grams[order], gram)
+            place, found = (None, np.zeros(len(gram), dtype=bool)) if order == ORDER else _where(self.grams[order], gram)
             n = np.where(has, self.n[order][context] if len(self.n[order]) else 0, 0).astype(float)
             q = np.where(has, self.q[order][context] if len(self.q[order]) else 0, 0).astype(float)
             if order < ORDER and len(self.contexts[order + 1]):
@@ -174,6 +175,8 @@ def _counted():
     """Counts of grams (kind 0) and of word hashes (kind 1) of one partition, combined before they are sent."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trie.cache_clear()  # a worker process may still hold tables of an earlier query
+        _hot.cache_clear()
         held: list[list] = [[], []]
         n_words = n_rows = 0
 
@@ -291,18 +294,17 @@ def score_documents(
     hot = [a.copy() for a in _long_array(words.orderBy(F.desc("count"), "word").limit(hot_words), "word", "count")]
     context = docs.sparkSession.sparkContext
     hot_shared = context.broadcast((hot[0].view(_U), np.log10(hot[1] + ALPHA)))
-    rows = docs.withColumn("score", F.lit(0.0))
+    rows = docs.withColumns({"score": F.lit(0.0), "tag": F.xxhash64(F.coalesce("text", F.lit("")))})
     parts = slices(_suffix_sizes(grams, grams_per_slice), grams_per_slice)
     for i, (low, high) in enumerate(parts):
         chosen = grams.where(_suffix(F.col("key")).between(low, high))
         arrays = [a.copy() for a in _long_array(chosen.select("key", "count"), "key", "count")]
         trie = context.broadcast((arrays[0].view(_U), arrays[1], *shorter))
-        rows = rows.mapInArrow(_add_scores(trie, uuid.uuid4().hex, low, high), rows.schema)
+        add = _add_scores(trie, uuid.uuid4().hex, low, high)
         if i + 1 < len(parts):
-            rows = materialise(rows, "scored-slices")
-    rows = rows.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+            rows = materialise(rows.mapInArrow(add, rows.schema), "scored-slices")
     tokens = rows.mapInArrow(
-        _tokens(hot_shared, uuid.uuid4().hex),
+        _tokens(add, hot_shared, uuid.uuid4().hex),
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, tag long, n_tokens long, "
         "n_hot long, hot_score double, rare array<long>, times array<long>",
     )
@@ -358,12 +360,13 @@ def _add_scores(shared, key: str, low: int, high: int):
     return run
 
 
-def _tokens(shared, key: str):
+def _tokens(add, shared, key: str):
+    """The last slice's scores and the words of every row in one pass, so that a task needs one Python process."""
     names = ["doc_id", "held_out", "score", "tag", "n_tokens", "n_hot", "hot_score", "rare", "times"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _hot(key, shared)
-        for batch in tx.chunks(batches, limit=CHUNK_BYTES):
+        for batch in add(batches):
             data, offsets = tx.raw(batch["text"])
             starts, ends, first = tx.words(data, offsets)
             hashes = tx.word_hashes(data, starts, ends, True)

@@ -6,6 +6,8 @@ polynomials modulo 2**64 over random byte codes, taken from running sums, then m
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,6 +51,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: a Python worker lives on after its task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to about ``limit``; a larger row is a range of its own."""
     total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
@@ -66,6 +74,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         for start, end in runs(sizes, limit):
             yield batch.slice(start, end - start)
+    trim()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
