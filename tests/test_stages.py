@@ -224,7 +224,8 @@ def test_small_text_functions(spark):
     assert one(X.truncate_middle(F.lit("x" * 100), 12)) == "xxxxxx\n\n[... 90 chars truncated ...]\n\nxxxx"
     assert one(X.extract_score(F.lit("Similarity: 87 %"))) == 87.0
     assert one(X.extract_score(F.lit("none"))) == 50.0
-    assert one(X.extract_lines(F.lit("Key a\nb\nkey c\nkey d\nkey e"), "key")) == "key a key c key d"
+    assert one(X.extract_lines(F.lit("Key a\nb\nkey c\nkey d\nkey e"), "key", 3)) == "key a key c key d"
+    assert one(X.extract_lines(F.lit("Key a\nb\nkey c\nkey d\nkey e"), "key")) == "key a key c key d key e"
     assert one(X.extract_lines(F.lit("nothing"), "key")) == "N/A"
     assert one(X.extract_block(F.lit("x ```python\nimport a\n``` y"))) == "import a"
     assert one(X.extract_block(F.lit("x ```py\nb = 1\n``` y"))) == "b = 1"
