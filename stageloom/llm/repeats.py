@@ -23,8 +23,8 @@ from stageloom.llm import text as tx
 from stageloom.scratch import materialise
 
 WIDTH = 50
-CHUNK_BYTES = 4 << 20
-WINDOWS_PER_RANGE = 3_000_000
+CHUNK_BYTES = 2 << 20
+WINDOWS_PER_RANGE = 1_500_000
 NO_ID = (1 << 63) - 1  # a NULL id counts as greater than all others
 
 _PACKED = "part int, chunk long, ids binary, tags binary, first binary, hashes binary, low binary, high binary"
@@ -106,6 +106,9 @@ def _compare(table: pa.Table) -> pa.Table:
             if repeated[a:b].any():
                 low, high = _planes(_places(r["low"], r["high"])[repeated[a:b]])
                 out.append({"chunk": r["chunk"], "ids": None, "tags": None, "first": None, "low": low, "high": high})
+        del repeated
+    del hashes, keys, rows, sent
+    tx.trim()
     kinds = [("chunk", pa.int64())] + [(c, pa.binary()) for c in ("ids", "tags", "first", "low", "high")]
     return pa.Table.from_pylist(out, pa.schema(kinds))
 
@@ -170,7 +173,7 @@ def remove_repeats(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     cuts = materialise(repeated_intervals(docs, width).dropDuplicates(["doc_id", "tag"]), "cuts")
-    touched, whole = members.may_be_in(docs, members.bit_map(cuts, "tag"), "tag")
+    touched, whole = members.may_be_in(docs, cuts, "tag", "tag")
     cuts = cuts.withColumnsRenamed({"doc_id": "cut_id", "tag": "cut_tag"})
     touched = touched.join(cuts, (F.col("tag") == F.col("cut_tag")) & F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
     rows = touched.select("doc_id", "text", "cuts").unionByName(whole.select("doc_id", "text", F.lit(None).cast("binary").alias("cuts")))

@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 from helpers import ODD, docs_of, words
+from pyspark.sql import functions as F
 
 from stageloom.llm import members, repeats
 
@@ -71,6 +72,8 @@ def test_odd_rows(spark):
 
 def test_bit_map_passes_all_members(spark):
     keys = spark.createDataFrame([(i * 7919**3,) for i in range(-500, 500)], "h long")
-    bits = members.bit_map(keys, "h")
-    inside, outside = members.may_be_in(keys.unionByName(spark.createDataFrame([(None,), (12345,)], "h long")), bits, "h")
+    rows = keys.unionByName(spark.createDataFrame([(None,), (12345,)], "h long")).withColumn("bits", F.lit(1))
+    inside, outside = members.may_be_in(rows, keys, "h", "h")
+    assert inside.columns == outside.columns == ["h", "bits"]
+    assert members.marked(members.bit_map(keys, "h"), np.array([7919**3 * 7, 12345])).tolist() == [True, False]
     assert inside.count() == 1000 and {r.h for r in outside.collect()} == {None, 12345}
