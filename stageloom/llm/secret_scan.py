@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -33,13 +34,24 @@ SENSITIVE = {
     "access_key": 3, "private_key": 3, "secret_key": 3, "credential": 2, "credentials": 2, "auth": 2, "bearer": 2,
 }
 THRESHOLD = 5
+ENOUGH = THRESHOLD - min(SENSITIVE.values())  # a literal's points that any sensitive name needs at most
 
 _SIGN = re.compile(r"=>|:=|[=:]")
 _NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[ \t]{0,8}\Z""", re.A)
-_VALUE = re.compile(r"""[ \t]{0,8}(?:"([^"\n]{1,512})"|'([^'\n]{1,512})'|([A-Za-z0-9+/_.=-]{1,512}))""", re.A)
+_BLANKS = re.compile(r"[ \t]{0,8}")
+# A literal runs to its closing quote: three quotes over lines, one quote within a line, with or without escapes.
+_QUOTED = re.compile(
+    r"""\"{3}(.+?)\"{3}|'{3}(.+?)'{3}|"((?:[^"\\\n]++|\\.)++)"|'((?:[^'\\\n]++|\\.)++)'|"([^"\n]++)"|'([^'\n]++)'""", re.S
+)
+_UNQUOTED = re.compile(r"[A-Za-z0-9+/_.=-]++")
+_PEM = re.compile(r"-----(BEGIN|END) [^-\n]*-----")
+_PEM_AHEAD = re.compile(r"""(?:[|>][+-]?[ \t]*\r?\n\s*+|["']{1,3}\s*+)?(?=-----BEGIN )""")  # a block scalar or a quote may open it
 _JOIN = re.compile(r"[ \t]{0,8}\+(?=[ \t]{0,8}[\"'A-Za-z_])")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
-_PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|xxxx|\*\*\*|dummy|\A[a-z]+\Z|\A\$?[{(<%]")
+_PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|xxxx|\*\*\*|dummy")
+_TEMPLATE = re.compile(r"\$?[{(<%]")
+_WORD = re.compile(r"(?i)[a-z]+")
+_ONE_CLASS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,28 +73,66 @@ def _sensitivity(name: str) -> int:
     return max((SENSITIVE.get(p, 0) for p in parts + pairs + [flat]), default=0)
 
 
-def _literal_score(literal: str) -> int:
-    """0 to 4: length, mixed characters, entropy; a placeholder or a plain word gets -9."""
-    if len(literal) < 6 or _PLACEHOLDER.search(literal):
+def _placeholders(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _PLACEHOLDER.finditer(text)]
+
+
+def _literal_score(text: str, start: int, end: int, placeholders: list[tuple[int, int]]) -> int:
+    """0 to 4: length, mixed characters, entropy; a placeholder or a plain word gets -9.
+
+    Signs inside one run give literals with a common end: nothing here copies or reads a long literal
+    of several kinds of characters to its end.
+    """
+    size = end - start
+    at = bisect_left(placeholders, (start, start))
+    if size < 6 or (at < len(placeholders) and placeholders[at][1] <= end):
+        return -9
+    if _WORD.fullmatch(text, start, end) or _TEMPLATE.match(text, start, end):
         return -9
-    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    entropy = -sum(c / len(literal) * math.log2(c / len(literal)) for c in Counter(literal).values())
-    return (len(literal) >= 8) + (len(literal) >= 16) + (classes >= 2) + (entropy >= 2.8)
+    mixed = not _ONE_CLASS.fullmatch(text, start, end)
+    points = (size >= 8) + (size >= 16) + mixed
+    return points if points >= ENOUGH else points + (_entropy(text[start:end]) >= 2.8)
+
 
+def _entropy(literal: str) -> float:
+    return -sum(c / len(literal) * math.log2(c / len(literal)) for c in Counter(literal).values())
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """(name, parts) of every assignment; a part is (value, start, end, quoted), several when joined by +."""
+
+def _pem_blocks(text: str) -> dict[int, int]:
+    """Start and end of every BEGIN line with its END line."""
+    marks = list(_PEM.finditer(text)) if "-----BEGIN " in text else []
+    return {m.start(): n.end() for m, n in zip(marks, marks[1:], strict=False) if m[1] == "BEGIN" and n[1] == "END"}
+
+
+def assignments(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
+    """(name, parts) of every assignment; a part is (start, end, quoted), several when joined by +."""
     found = []
+    pem = _pem_blocks(text)
+    run = (0, 0)  # the last unquoted run: signs inside it share its end, so no run is read twice
+
+    def part(at: int) -> tuple[int, int, bool, int] | None:
+        nonlocal run
+        at = _BLANKS.match(text, at).end()
+        if m := _QUOTED.match(text, at):
+            return *m.span(m.lastindex), True, m.end()
+        if pem and (m := _PEM_AHEAD.match(text, at)) and m.end() in pem:
+            end = pem[m.end()]
+            return m.end(), end, True, end + (text[at] in "\"'" and text[end : end + 1] == text[at])
+        if not run[0] <= at < run[1]:
+            m = _UNQUOTED.match(text, at)
+            if not m:
+                return None
+            run = m.span()
+        return at, run[1], False, run[1]
+
     for sign in _SIGN.finditer(text):
         name = _NAME_BEFORE.search(text, max(0, sign.start() - 80), sign.start())
         if not name:
             continue
         parts, at = [], sign.end()
-        while m := _VALUE.match(text, at):
-            g = m.lastindex
-            parts.append((m[g], m.start(g), m.end(g), g < 3))
-            at = m.end()
-            joined = _JOIN.match(text, at)
+        while m := part(at):
+            parts.append(m[:3])
+            joined = _JOIN.match(text, m[3])
             if not joined:
                 break
             at = joined.end()
@@ -98,29 +148,26 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     pairs = assignments(text)
     if not any(_sensitivity(name) for name, _ in pairs):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    sources: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, list[tuple[int, int]]] = {}
+    sources: dict[str, list[list[tuple[int, int]]]] = {}
     for name, parts in pairs:
-        literals: list[tuple[str, int, int]] = []
-        for value, start, end, quoted in parts:
-            if not quoted and _NAME.match(value) and value in constants:
-                literals += constants[value]
-            else:
-                literals.append((value, start, end))
+        literals: list[tuple[int, int]] = []
+        for start, end, quoted in parts:
+            known = None if quoted or not _NAME.match(text, start, end) else constants.get(text[start:end])
+            literals += [(start, end)] if known is None else known
         constants[name] = literals
         if _sensitivity(name):
-            sources.setdefault(name, []).append(("", -1, -1))
-            sources[name] += literals
-    found = set()
-    for name, literals in sources.items():
-        group: list[tuple[str, int, int]] = []
-        for item in [*literals, ("", -1, -1)]:
-            if item[1] >= 0:
-                group.append(item)
-                continue
-            if group and _sensitivity(name) + _literal_score("".join(g[0] for g in group)) >= THRESHOLD:
-                found.update((start, end, 3) for _, start, end in group)
-            group = []
+            sources.setdefault(name, []).append(literals)
+    placeholders, found = _placeholders(text), set()
+    for name, groups in sources.items():
+        for group in groups:
+            if len(group) == 1:
+                score = _literal_score(text, *group[0], placeholders)
+            else:
+                joined = "".join(text[a:b] for a, b in group)
+                score = _literal_score(joined, 0, len(joined), _placeholders(joined))
+            if _sensitivity(name) + score >= THRESHOLD:
+                found.update((a, b, 3) for a, b in group)
     return sorted(found)
 
 
