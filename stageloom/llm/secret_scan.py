@@ -37,8 +37,9 @@ THRESHOLD = 5
 ENOUGH = THRESHOLD - min(SENSITIVE.values())  # a literal's points that any sensitive name needs at most
 
 _SIGN = re.compile(r"=>|:=|[=:]")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[ \t]{0,8}\Z""", re.A)
-_BLANKS = re.compile(r"[ \t]{0,8}")
+_NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_NAME_START = re.compile(r"[A-Za-z_]")
+_BLANKS = re.compile(r"[ \t]*+")
 # A literal runs to its closing quote: three quotes over lines, one quote within a line, with or without escapes.
 _QUOTED = re.compile(
     r"""\"{3}(.+?)\"{3}|'{3}(.+?)'{3}|"((?:[^"\\\n]++|\\.)++)"|'((?:[^'\\\n]++|\\.)++)'|"([^"\n]++)"|'([^'\n]++)'""", re.S
@@ -46,7 +47,7 @@ _QUOTED = re.compile(
 _UNQUOTED = re.compile(r"[A-Za-z0-9+/_.=-]++")
 _PEM = re.compile(r"-----(BEGIN|END) [^-\n]*-----")
 _PEM_AHEAD = re.compile(r"""(?:[|>][+-]?[ \t]*\r?\n\s*+|["']{1,3}\s*+)?(?=-----BEGIN )""")  # a block scalar or a quote may open it
-_JOIN = re.compile(r"[ \t]{0,8}\+(?=[ \t]{0,8}[\"'A-Za-z_])")
+_JOIN = re.compile(r"[ \t]*+\+\s*+(?=[\"'A-Za-z_])")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
 _PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|xxxx|\*\*\*|dummy")
 _TEMPLATE = re.compile(r"\$?[{(<%]")
@@ -98,6 +99,19 @@ def _entropy(literal: str) -> float:
     return -sum(c / len(literal) * math.log2(c / len(literal)) for c in Counter(literal).values())
 
 
+def _name_before(text: str, at: int) -> str:
+    """The name that ends before ``at``, any run of blanks and a closing quote aside; empty if there is none."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    start = at
+    while start and text[start - 1] in _NAME_CHARACTERS:
+        start -= 1
+    first = _NAME_START.search(text, start, at)
+    return text[first.start() : at] if first else ""
+
+
 def _pem_blocks(text: str) -> dict[int, int]:
     """Start and end of every BEGIN line with its END line."""
     marks = list(_PEM.finditer(text)) if "-----BEGIN " in text else []
@@ -126,7 +140,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
         return at, run[1], False, run[1]
 
     for sign in _SIGN.finditer(text):
-        name = _NAME_BEFORE.search(text, max(0, sign.start() - 80), sign.start())
+        name = _name_before(text, sign.start())
         if not name:
             continue
         parts, at = [], sign.end()
@@ -137,7 +151,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
                 break
             at = joined.end()
         if parts:
-            found.append((name[1], parts))
+            found.append((name, parts))
     return found
 
 

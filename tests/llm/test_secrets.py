@@ -84,6 +84,25 @@ def test_signs_inside_one_run_take_linear_time():
     assert time.perf_counter() - start < 20
 
 
+def test_any_run_of_blanks():
+    key = "aB3kk9Qz7mm2-77Lm"
+    for n in (0, 1, 8, 9, 40, 5000):
+        for blanks in (" " * n, ("\t " * n)[:n]):
+            text = f'private_key{blanks}={blanks}"{key}"{blanks}+{blanks}"{key}" x'
+            assert masked_spans(text, key) == 2, n
+            assert masked_spans(f"AUTH{blanks}:{blanks}{key} x", key) == 1, n
+            assert masked_spans(f'"pwd"{blanks}:{blanks}"{key}"', key) == 1, n
+            assert masked_spans(f"colour{blanks}={blanks}'{key}'\ndb_auth{blanks}={blanks}colour\n", key) == 1, n
+    long = "x" * 5000 + "_auth"
+    assert masked_spans(f"{long} = '{key}'", key) == 1 and masked_spans(f"9.-auth = '{key}'", key) == 1
+    assert masked_spans(f"k = '{key}'\n{long} = k", key) == 1 and not masked_spans(f"12 = '{key}'", key)
+    assert masked_spans(f'auth = "{key}" +\n    "{key}"', key) == 2
+
+
+def masked_spans(text, key):
+    return sum(text[a:b] == key for a, b, kind in ss.all_spans(text)[1] if kind == 3)
+
+
 def test_rows(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     got = {r.doc_id: r for r in ss.scan_secrets(docs_of(spark, rows, "spans")).collect()}
