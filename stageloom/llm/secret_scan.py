@@ -10,15 +10,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+Group = tuple[tuple[int, int], ...]  # start and end of literals that are joined
+
 KINDS = ("assign", "access", "hex", "literal")
 
 _ASSIGN = re.compile(
@@ -49,9 +51,15 @@ _PEM = re.compile(r"-----(BEGIN|END) [^-\n]*-----")
 _PEM_AHEAD = re.compile(r"""(?:[|>][+-]?[ \t]*\r?\n\s*+|["']{1,3}\s*+)?(?=-----BEGIN )""")  # a block scalar or a quote may open it
 _JOIN = re.compile(r"[ \t]*+\+\s*+(?=[\"'A-Za-z_])")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
-_PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|xxxx|\*\*\*|dummy")
+# A placeholder word, or what stands around one.
+_PLACEHOLDER = re.compile(
+    r"(?i)(change.?me|example|placeholder|your[_-]|x{4,}|\*{3,}|dummy)|value|here|api|key|token|secret|passw(?:or)?d|pwd|auth"
+    r"|credentials?|access|private|please|before|my|test|123[0-9]*|[-_.\s]+"
+)
 _TEMPLATE = re.compile(r"\$?[{(<%]")
-_WORD = re.compile(r"(?i)[a-z]+")
+_ONE_CASE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CAMEL = re.compile(r"[A-Za-z][a-z]+(?:[A-Z][a-z]{2,})*(?:[A-Z][a-z])?")  # a random key is so once in hundreds
+WORD_ENTROPY = 3.6
 _ONE_CLASS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
@@ -74,21 +82,41 @@ def _sensitivity(name: str) -> int:
     return max((SENSITIVE.get(p, 0) for p in parts + pairs + [flat]), default=0)
 
 
-def _placeholders(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _PLACEHOLDER.finditer(text)]
+class _Placeholders:
+    """Where placeholder words and the words around them stand in a text."""
+
+    def __init__(self, text: str) -> None:
+        self.starts, self.ends, self.covered, self.words = [], [], [0], [0]
+        for m in _PLACEHOLDER.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            self.covered.append(self.covered[-1] + m.end() - m.start())
+            self.words.append(self.words[-1] + (m.lastindex == 1))
+
+    def fill(self, start: int, end: int) -> bool:
+        """Whether a placeholder word stands in the literal, and such words and their like are more than half of it."""
+        a, b = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        return b > a and self.words[b] > self.words[a] and 2 * (self.covered[b] - self.covered[a]) > end - start
+
 
+def _plain_word(text: str, start: int, end: int) -> bool:
+    """Letters as words and identifiers have them: one case, or capitals with small letters behind them.
 
-def _literal_score(text: str, start: int, end: int, placeholders: list[tuple[int, int]]) -> int:
+    Sixteen letters or more of one case are no word if they differ as much as random ones.
+    """
+    if _ONE_CASE.fullmatch(text, start, end):
+        return end - start < 16 or _entropy(text[start:end]) < WORD_ENTROPY
+    return bool(_CAMEL.fullmatch(text, start, end))
+
+
+def _literal_score(text: str, start: int, end: int, placeholders: _Placeholders) -> int:
     """0 to 4: length, mixed characters, entropy; a placeholder or a plain word gets -9.
 
     Signs inside one run give literals with a common end: nothing here copies or reads a long literal
     of several kinds of characters to its end.
     """
     size = end - start
-    at = bisect_left(placeholders, (start, start))
-    if size < 6 or (at < len(placeholders) and placeholders[at][1] <= end):
-        return -9
-    if _WORD.fullmatch(text, start, end) or _TEMPLATE.match(text, start, end):
+    if size < 6 or _plain_word(text, start, end) or _TEMPLATE.match(text, start, end) or placeholders.fill(start, end):
         return -9
     mixed = not _ONE_CLASS.fullmatch(text, start, end)
     points = (size >= 8) + (size >= 16) + mixed
@@ -155,33 +183,101 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     return found
 
 
+def _groups(text: str, pairs: list[tuple[str, list[tuple[int, int, bool]]]]) -> Callable[[int], list[Group]]:
+    """A function from the number of an assignment to the groups of literals that it joins.
+
+    A name stands for its last assignment before the place, or for every later one, each a group, if there is none.
+    """
+    numbers: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(pairs):
+        numbers.setdefault(name, []).append(i)
+    known: dict[int | str, list[Group]] = {}
+
+    def meant(i: int, start: int, end: int, quoted: bool) -> int | str | None:
+        """The assignment that a part refers to, the name if all of its assignments, None for a literal."""
+        name = None if quoted or not _NAME.match(text, start, end) else text[start:end]
+        at = numbers.get(name)
+        if at is None or at == [i]:
+            return None
+        before = bisect_left(at, i)
+        return at[before - 1] if before else name
+
+    def joined(node: int | str, have: dict[int | str, list[Group]]) -> list[Group]:
+        if isinstance(node, str):
+            return list(dict.fromkeys(g for k in numbers[node] for g in have.get(k) or known.get(k, ())))
+        choices = []
+        for part in pairs[node][1]:
+            to = meant(node, *part)
+            choices.append([((part[0], part[1]),)] if to is None else have.get(to) or known.get(to, []))
+        choices = [c for c in choices if c]
+        if len(choices) < 2:
+            return choices[0] if choices else []
+        width = max(map(len, choices))
+        return list(dict.fromkeys(_few([s for c in choices for s in c[min(k, len(c) - 1)]]) for k in range(width)))
+
+    def groups(root: int) -> list[Group]:
+        have: dict[int | str, list[Group]] = {}
+        opened, stack = set(), [root]
+        partial = set()  # inside a cycle: they lack what the nodes on the way from the root give to it themselves
+        while stack:
+            node = stack[-1]
+            if node in known or node in have:
+                stack.pop()
+                continue
+            needs = numbers[node] if isinstance(node, str) else [k for p in pairs[node][1] if (k := meant(node, *p)) is not None]
+            needs = [k for k in needs if k not in known]
+            if node not in opened:
+                opened.add(node)
+                stack += [k for k in needs if k not in opened]
+                continue
+            stack.pop()
+            have[node] = joined(node, have)
+            if any(k not in have or k in partial for k in needs):
+                partial.add(node)
+            else:
+                known[node] = have[node]
+        return known.setdefault(root, have.get(root, []))
+
+    return groups
+
+
+def _few(spans: list[tuple[int, int]]) -> Group:
+    """At most 16 of each: more of the same tell nothing new, and x = x + x would double them line by line."""
+    seen: Counter = Counter()
+    kept = []
+    for span in spans:
+        seen[span] += 1
+        if seen[span] <= 16:
+            kept.append(span)
+    return tuple(kept)
+
+
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name, directly, by a joined part or through other names."""
     if not any(s in text for s in "=:"):
         return []
     pairs = assignments(text)
-    if not any(_sensitivity(name) for name, _ in pairs):
+    targets = [(i, s) for i, (name, _) in enumerate(pairs) if (s := _sensitivity(name))]
+    if not targets:
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
-    sources: dict[str, list[list[tuple[int, int]]]] = {}
-    for name, parts in pairs:
-        literals: list[tuple[int, int]] = []
-        for start, end, quoted in parts:
-            known = None if quoted or not _NAME.match(text, start, end) else constants.get(text[start:end])
-            literals += [(start, end)] if known is None else known
-        constants[name] = literals
-        if _sensitivity(name):
-            sources.setdefault(name, []).append(literals)
-    placeholders, found = _placeholders(text), set()
-    for name, groups in sources.items():
+    groups_of, placeholders = _groups(text, pairs), _Placeholders(text)
+    lists: dict[tuple[int, int], list[Group]] = {}  # targets of one name share one list
+    for i, s in targets:
+        groups = groups_of(i)
+        lists[id(groups), s] = groups
+    sources: dict[Group, int] = {}
+    for (_, s), groups in lists.items():
         for group in groups:
-            if len(group) == 1:
-                score = _literal_score(text, *group[0], placeholders)
-            else:
-                joined = "".join(text[a:b] for a, b in group)
-                score = _literal_score(joined, 0, len(joined), _placeholders(joined))
-            if _sensitivity(name) + score >= THRESHOLD:
-                found.update((a, b, 3) for a, b in group)
+            sources[group] = max(sources.get(group, 0), s)
+    found = set()
+    for group, sensitivity in sources.items():
+        if len(group) == 1:
+            score = _literal_score(text, *group[0], placeholders)
+        else:
+            whole = "".join(text[a:b] for a, b in group)
+            score = _literal_score(whole, 0, len(whole), _Placeholders(whole))
+        if sensitivity + score >= THRESHOLD:
+            found.update((a, b, 3) for a, b in group)
     return sorted(found)
 
 

@@ -103,6 +103,37 @@ def masked_spans(text, key):
     return sum(text[a:b] == key for a, b, kind in ss.all_spans(text)[1] if kind == 3)
 
 
+def found(text):
+    return [text[a:b] for a, b, kind in ss.all_spans(text)[1] if kind == 3]
+
+
+def test_placeholders_must_make_up_the_literal():
+    for key in ("QwErTyUiOpAsDfGhJkLz", "postgres://app:Zx81qPw077Lm@db.example.org/main", "dummyQz7mm2aB3kk9x81qPw0", "kqzjxvwpmtrbnsdgfhly"):
+        for form in ('auth = "%s"', "password: '%s'"):
+            assert found(form % key) == [key], key
+    assert found("AUTH=QwErTyUiOpAsDfGhJkLz\n") == ["QwErTyUiOpAsDfGhJkLz"]
+    for clean in (
+        "changeme123", "your-password-here", "xxxx-xxxx-1234", "example_token_123", "dummy-key", "sk_test_xxxxxxxxxxxx", "password",
+        "CHANGEME", "Basic", "getAuthToken", "HttpAuthProvider", "unauthenticated", "${TOKEN_1}", "<token-1-2-3>",
+    ):
+        assert not found(f'password = "{clean}"'), clean
+
+
+def test_names_are_resolved_after_all_assignments():
+    key, other = "Zx81-qPw0-77Lm", "aB3kk9Qz7mm2"
+    assert found(f'password = KEY\nKEY = "{key}"\n') == [key]
+    assert found(f'password = A\nA = B\nB = C + "{other}"\nC = "{key}"\n') == [other, key]
+    assert found(f'password = KEY\nKEY = "{key}"\nKEY = "{other}"\n') == [key, other]
+    assert found(f'KEY = "{key}"\npassword = KEY\nKEY = "blue-ish-green-17"\n') == [key]
+    assert found(f'x = y + "{key}"\ny = x\nauth = x\npassword = y\n') == [key]  # a cycle
+    assert found("password = a\na = b\nb = a\n") == []
+    chain = "".join(f"n{i} = n{i + 1}\n" for i in range(20_000))
+    assert found(f'password = n0\n{chain}n20000 = "{key}"\n') == [key]
+    assert found(f'k = "{key}"\n' + "k = k + k\n" * 60 + "password = k\n") == [key]
+    many = "password = KEY\n" * 3000 + "".join(f'KEY = "{key}{i}"\n' for i in range(3000))
+    assert len(found(many)) == 3000
+
+
 def test_rows(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     got = {r.doc_id: r for r in ss.scan_secrets(docs_of(spark, rows, "spans")).collect()}
