@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no substitution-tolerant window with a benchmark item."""
-    return decontam.without_overlaps(docs, load(spark, sf_dir, "benchmark"))
+    return decontam.without_overlaps(docs, load(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

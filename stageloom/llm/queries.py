@@ -34,7 +34,7 @@ def op1_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.overlaps(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("tag")
+    return decontam.overlaps(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), short_items=True).drop("tag")
 
 
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

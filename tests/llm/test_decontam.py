@@ -69,3 +69,41 @@ def test_odd_rows(spark):
     assert dc.overlaps(docs_of(spark, []), table).count() == 0
     assert dc.overlaps(docs, table.limit(0)).count() == 0
     assert dc.without_overlaps(docs, table.limit(0)).count() == len(ODD)
+
+
+def test_short_items(spark):
+    items = [(1, "one two three four five six seven"), (2, "a b c d e"), (3, "Paris"), (4, "Yes, it is."), (5, "巴黎是法国的首都"), (6, "東京"), (7, "p q r s t u v w x")]
+    docs = [
+        "x one two OTHER four five six seven y",
+        "x one OTHER three four five OTHER seven y",
+        "z, a b c d e z",
+        "z a b X d e z",
+        "He went to Paris with her",
+        "Where to? Paris! Or not",
+        "first line\nparis\nlast",
+        "yes it is",
+        'She said: "No. Yes, it is." Then',
+        "yes it is not",
+        "我知道巴黎是法兰的首都。对",
+        "首都。東京。対",
+        "東京に行く",
+        "one two\nthree four five six seven",
+        "3.Paris.4",
+        "o p q r s t u v w y",
+        "",
+    ]
+    want = {(0, 1), (2, 2), (3, 2), (5, 3), (6, 3), (7, 4), (8, 4), (10, 5), (11, 6), (13, 1), (15, 7)}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, [*enumerate(docs), (99, None)])
+    got = dc.overlaps(docs, table, short_items=True).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.item_share == 1 for r in got)
+    kept = {r.doc_id for r in dc.without_overlaps(docs, table, short_items=True).collect()}
+    assert kept == {*range(17), 99} - {d for d, _ in want}
+
+
+def test_short_items_leave_long_ones_as_they_are(spark):
+    docs, items = corpus()
+    table = spark.createDataFrame([i for i in items if len((i[1] or "").split()) >= dc.SPAN], "item_id long, text string")
+    got = dc.overlaps(docs_of(spark, docs, "seed"), table, short_items=True).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in dc.overlaps(docs_of(spark, docs, "seed"), table).collect()} and got
