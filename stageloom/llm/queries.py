@@ -23,6 +23,14 @@ URL_RULES = [
     urls.UrlRule("allow", "org", "/fr/"),
 ]
 
+# Common suffixes of several labels; the given pages have none of them.
+URL_SUFFIXES = """
+co.uk org.uk ac.uk gov.uk me.uk ltd.uk plc.uk net.uk sch.uk com.au net.au org.au edu.au gov.au id.au co.nz org.nz net.nz ac.nz
+govt.nz co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr go.kr ac.kr com.cn net.cn org.cn gov.cn edu.cn com.hk org.hk com.tw org.tw
+com.sg com.my co.th co.id or.id co.in net.in org.in ac.in gov.in com.pk com.ph com.vn com.br net.br org.br gov.br com.ar com.mx
+com.co com.pe com.ve com.tr org.tr gov.tr co.il org.il ac.il co.za org.za com.eg com.sa com.ua com.pl com.pt com.es co.at or.at
+""".split()
+
 
 def remainder(n: int):
     """crc32 of the id's text modulo n; a NULL id counts as the empty text."""
@@ -43,7 +51,7 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract(urls.url_path(F.col("url")), r"/(\d{1,18})", 1)
     numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id IS NOT NULL")
     outcomes = numbered.join(labels.select("doc_id", "quality"), "doc_id").select("url", F.col("quality").alias("good"))
-    return urls.judge_urls(pages, outcomes, URL_RULES)
+    return urls.judge_urls(pages, outcomes, URL_RULES, suffixes=URL_SUFFIXES)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

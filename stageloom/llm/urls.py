@@ -7,6 +7,7 @@ blocked when even the upper posterior bound of its share of good pages is below
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from stageloom.scratch import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BOUND_Z = 1.645
 CUT = 0.5
+ADDRESS = "[address]"  # the suffix of hosts that are IP addresses
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
 
@@ -47,14 +49,40 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels; a host with fewer is its own domain."""
-    pair = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(pair == "", host).otherwise(pair)
+def _without_port(host: Column) -> Column:
+    return F.regexp_replace(host, r":\d*$", "")
 
 
-def host_suffix(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]+)$", 1)
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
+
+
+def _longest_suffix(bare: Column, suffixes: Sequence[str], otherwise: Column, more: int) -> Column:
+    """The last labels of ``bare`` that are its longest suffix of several labels, and ``more`` labels before them."""
+    by_labels: dict[int, list[str]] = {}
+    for s in sorted({s.translate(str.maketrans(UPPER, LOWER)).strip(".") for s in suffixes}):
+        by_labels.setdefault(s.count(".") + 1, []).append(s)
+    found = otherwise
+    for labels in sorted(by_labels.keys() - {1}):
+        fits = F.substring_index(bare, ".", -labels).isin(by_labels[labels])
+        found = F.when(fits, F.substring_index(bare, ".", -labels - more)).otherwise(found)
+    return found
+
+
+def registered_domain(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The longest of ``suffixes`` below which the host stands and the label before it, without port.
+
+    Below none of them the last two labels; a host with fewer labels and an address are their own domain.
+    """
+    bare = _without_port(host)
+    pair = F.regexp_extract(bare, r"([^.]+\.[^.]+)$", 1)
+    return F.when(_is_address(bare), bare).otherwise(_longest_suffix(bare, suffixes, F.when(pair == "", bare).otherwise(pair), 1))
+
+
+def host_suffix(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The longest of ``suffixes``, or the last label, without port; all addresses share ADDRESS."""
+    bare = _without_port(host)
+    return F.when(_is_address(bare), F.lit(ADDRESS)).otherwise(_longest_suffix(bare, suffixes, F.regexp_extract(bare, r"([^.]+)$", 1), 0))
 
 
 def matching_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
@@ -76,12 +104,13 @@ def _strength(good: Column, n: Column) -> Column:
     return F.coalesce(F.least(F.greatest(strength, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)), F.lit(MOST_STRENGTH))
 
 
-def host_reputation(urls: DataFrame, outcomes: DataFrame, z: float = BOUND_Z) -> DataFrame:
+def host_reputation(urls: DataFrame, outcomes: DataFrame, z: float = BOUND_Z, suffixes: Sequence[str] = ()) -> DataFrame:
     """One row per host of ``urls`` (url): labelled and good pages, posterior mean and bounds.
 
     ``outcomes`` has (url, good): one row per labelled page, good 1 or 0; a row with a NULL good
     does not count and a repeated row counts again. Hosts without outcomes get their domain's mean,
-    or the suffix's, or the overall one; without any outcome that is 0.5.
+    or the suffix's, or the overall one; without any outcome that is 0.5. ``suffixes`` are those of several
+    labels (co.uk) below which domains are registered; elsewhere the last label is the suffix.
     """
     known = outcomes.where(F.col("good").isNotNull()).groupBy(url_host(F.col("url")).alias("host"))
     known = known.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("good").cast("double").alias("good"))
@@ -89,8 +118,8 @@ def host_reputation(urls: DataFrame, outcomes: DataFrame, z: float = BOUND_Z) ->
     hosts = materialise(
         hosts.select(
             "host",
-            registered_domain(F.col("host")).alias("domain"),
-            host_suffix(F.col("host")).alias("suffix"),
+            registered_domain(F.col("host"), suffixes).alias("domain"),
+            host_suffix(F.col("host"), suffixes).alias("suffix"),
             F.coalesce("n", F.lit(0.0)).alias("n"),
             F.coalesce("good", F.lit(0.0)).alias("good"),
         ),
@@ -131,15 +160,16 @@ def judge_urls(
     url_col: str = "url",
     z: float = BOUND_Z,
     cut: float = CUT,
+    suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """Every page with host, path, the longest fitting rule and the verdict.
 
     The rule's verdict holds where one fits; else the host is blocked when the upper posterior bound
-    of its share of good pages is below ``cut``. A NULL url has an empty host and path and is
+    of its share of good pages is below ``cut``; ``suffixes`` as in host_reputation. A NULL url has an empty host and path and is
     judged like any other host; repeated rows stay; an empty table gives no rows.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    hosts = materialise(host_reputation(urls.select("url"), outcomes, z), "reputation")
+    hosts = materialise(host_reputation(urls.select("url"), outcomes, z, suffixes), "reputation")
     urls = urls.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("upper") < cut, F.lit("block")).otherwise(F.lit("allow"))

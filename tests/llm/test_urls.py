@@ -66,3 +66,35 @@ def test_main_path_is_native(spark, plan_of):
     pages = spark.createDataFrame([(1, "http://a.b/", "")], "page_id long, url string, host string")
     plan = plan_of(urls.judge_urls(pages, spark.createDataFrame([], "url string, good int"), queries.URL_RULES))
     assert not any(word in plan for word in ("Python", "Pandas", "MapInArrow", "Cartesian"))
+
+
+def test_domains_and_suffixes(spark):
+    cases = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"),
+        "b.co.uk:8080": ("b.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "x.notco.uk": ("notco.uk", "uk"),
+        "a.b.s3.eu.cloud.com": ("b.s3.eu.cloud.com", "s3.eu.cloud.com"),
+        "a.b.eu.cloud.com": ("b.eu.cloud.com", "eu.cloud.com"),
+        "a.b.com:8080": ("b.com", "com"),
+        "10.2.0.1": ("10.2.0.1", urls.ADDRESS),
+        "10.9.0.1:80": ("10.9.0.1", urls.ADDRESS),
+        "[::1]:80": ("[::1]", urls.ADDRESS),
+        "host:1": ("host", "host"),
+        "": ("", ""),
+    }
+    listed = ["co.uk", "EU.cloud.com", "s3.eu.cloud.com", "com"]
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = hosts.select("host", urls.registered_domain(hosts.host, listed), urls.host_suffix(hosts.host, listed)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == cases
+
+
+def test_registrants_below_one_suffix_do_not_pool(spark):
+    outcomes = [("http://a.bad.co.uk/", 0)] * 60 + [("http://b.bad.co.uk:81/", 0)] * 60 + [("http://www.good.co.uk/", 1)] * 60
+    outcomes += [("http://10.1.0.1/", 0)] * 60
+    new = ["http://new.bad.co.uk/", "http://new.good.co.uk/", "http://10.1.0.1:8080/", "http://10.2.0.1/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(new)], "page_id long, url string")
+    outcomes = spark.createDataFrame(outcomes, "url string, good int")
+    mean = [r["mean"] for r in urls.judge_urls(pages, outcomes, [], suffixes=queries.URL_SUFFIXES).orderBy("page_id").collect()]
+    pooled = [r["mean"] for r in urls.judge_urls(pages, outcomes, []).orderBy("page_id").collect()]
+    assert mean[0] < mean[1] and pooled[0] == pooled[1] and mean[2] < mean[3]
