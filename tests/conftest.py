@@ -32,7 +32,3 @@ def plan_of():
         return df._jdf.queryExecution().executedPlan().toString()
 
     return text
-
-
-def rows(df, *columns):
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=str)

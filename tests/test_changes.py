@@ -1,4 +1,4 @@
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stageloom import scratch

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stageloom.operators import windows as W

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stageloom.operators import rules as R

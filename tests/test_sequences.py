@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stageloom.operators import batches as B

@@ -2,7 +2,7 @@ import gzip
 import os
 
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stageloom.operators.project import with_audit

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stageloom.functions import text as X

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
