@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -23,6 +24,19 @@ from pyspark.sql import types as T
 
 from stageloom.llm import text as tx
 
+# Letters and numbers that the regex module knows and the library's older Unicode tables do not.
+NEWER_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+NEWER_NUMBERS = [(0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6)]
+
 KEPT_RESULTS = 300_000
 LONG_TEXT = 1 << 20
 KEYS_PER_BUCKET = 4
@@ -123,6 +137,16 @@ def hash_pieces(pieces: list[bytes]) -> np.ndarray:
     return tx.spans_hash(tx.CODES[np.frombuffer(b"".join(pieces), dtype=np.uint8)], starts, ends)
 
 
+def _ranges(spans: list[tuple[int, int]]) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in spans)
+
+
+def without_newer(pattern: str) -> str:
+    """The pattern with the letter and number classes of the library, as set differences."""
+    pattern = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{_ranges(NEWER_LETTERS)}]]")
+    return "(?V1)" + pattern.replace(r"\p{N}", rf"[\p{{N}}--[{_ranges(NEWER_NUMBERS)}]]")
+
+
 class Encoder:
     """Encoder and decoder of one vocabulary; ids are packed as little-endian unsigned 32-bit integers."""
 
@@ -138,6 +162,8 @@ class Encoder:
         self.start_of[self.token_ids] = np.cumsum(lengths) - lengths
         self.hash = PerfectHash(self.tokens)
         self.pattern = regex.compile(pattern)
+        self.exact = regex.compile(without_newer(pattern))
+        self.newer = re.compile(f"[{_ranges(NEWER_LETTERS + NEWER_NUMBERS)}]")
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}  # the table before, when this one was full
 
@@ -152,20 +178,24 @@ class Encoder:
                 else:
                     self.known[piece] = np.array(merge_bytes(raw, self.ranks), dtype="<u4").tobytes()
 
+    def cutter(self, text: str) -> regex.Pattern:
+        """The pattern as it stands, or for texts with newer letters or numbers with the library's classes."""
+        return self.pattern if text.isascii() or not self.newer.search(text) else self.exact
+
     def encode(self, text: str) -> bytes:
         if len(text) > LONG_TEXT:
-            matches = (m[0] for m in self.pattern.finditer(text))
+            matches = (m[0] for m in self.cutter(text).finditer(text))
             parts = []
             while block := list(islice(matches, 100_000)):
                 parts.append(self._pack([block])[0])
             return b"".join(parts)
-        return self._pack([self.pattern.findall(text)])[0]
+        return self._pack([self.cutter(text).findall(text)])[0]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; new pre-tokens of short texts are resolved together."""
         if any(len(t) > LONG_TEXT for t in texts):
             return [self.encode(t) for t in texts]
-        return self._pack([self.pattern.findall(t) for t in texts])
+        return self._pack([self.cutter(t).findall(t) for t in texts])
 
     def _pack(self, found: list[list[str]]) -> list[bytes]:
         pieces = set().union(*found)

@@ -37,6 +37,14 @@ def test_as_the_library(coder, library, text):
     assert coder.decode(packed) == text.encode()
 
 
+def test_every_code_point_as_the_library(coder, library):
+    """Each code point after a letter, a digit and a blank: whether it goes on with them depends on its class alone."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        text = "".join(f"a{c}1{c} {c}\n" for c in points[at : at + 4000])
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text), hex(ord(points[at]))
+
+
 def test_full_tables_and_long_texts_change_nothing(coder, library, monkeypatch):
     texts = [f"Wörter {i} nnnnnnnnnn<|endoftext|>  \n don't" * 40 for i in range(30)]
     want = [library.encode_ordinary(t) for t in texts]
