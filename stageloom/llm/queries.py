@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stageloom.llm import bpe, chat, classifier, decontam, fingerprints, ppm, repeats, secret_scan, setsketch, urls
-from stageloom.llm.sql import NEAR_SQL, REPEAT_SQL, URL_SQL
+from stageloom.llm import bpe, chat, classifier, decontam, fingerprints, hard_negatives, ppm, repeats, secret_scan, setsketch, urls
+from stageloom.llm.sql import NEAR_SQL, NEGATIVE_SQL, REPEAT_SQL, URL_SQL
 from stageloom.scratch import materialise
 from stageloom.tables import load
 
@@ -92,6 +92,12 @@ def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse_transcripts(segments.drop("role"), chat.fit(segments))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id are moved on by one, as for mislabelled rows."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings"), label=label)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -105,6 +111,7 @@ QUERIES: dict[str, Query] = {
         op8_repeats,
         op9_quality,
         op10_transcripts,
+        op11_multi_index,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -114,5 +121,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_host_reputation": URL_SQL, "op7_setsketch": NEAR_SQL, "op8_repeats": REPEAT_SQL}
+    sql = {"op3_host_reputation": URL_SQL, "op7_setsketch": NEAR_SQL, "op8_repeats": REPEAT_SQL, "op11_multi_index": NEGATIVE_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
