@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stageloom.llm import bpe, chat, classifier, decontam, fingerprints, hard_negatives, ppm, repeats, secret_scan, setsketch, urls
-from stageloom.llm.sql import NEAR_SQL, NEGATIVE_SQL, REPEAT_SQL, URL_SQL
+from stageloom.llm import bpe, chat, classifier, decontam, fingerprints, hard_negatives, ppm, repeats, secret_scan, setsketch, suffix_arrays, urls
+from stageloom.llm.sql import BYTE_SQL, NEAR_SQL, NEGATIVE_SQL, REPEAT_SQL, URL_SQL
 from stageloom.scratch import materialise
 from stageloom.tables import load
 
@@ -98,6 +98,10 @@ def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(load(spark, sf_dir, "embeddings"), label=label)
 
 
+def op12_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.remove_repeated_bytes(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -112,6 +116,7 @@ QUERIES: dict[str, Query] = {
         op9_quality,
         op10_transcripts,
         op11_multi_index,
+        op12_suffix_arrays,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -121,5 +126,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_host_reputation": URL_SQL, "op7_setsketch": NEAR_SQL, "op8_repeats": REPEAT_SQL, "op11_multi_index": NEGATIVE_SQL}
+    sql = {"op3_host_reputation": URL_SQL, "op7_setsketch": NEAR_SQL, "op8_repeats": REPEAT_SQL, "op11_multi_index": NEGATIVE_SQL, "op12_suffix_arrays": BYTE_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -133,3 +133,30 @@ WHERE own <> label AND 100 * score BETWEEN 30 * positive_score AND 90 * positive
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
 QUALIFY row_number() OVER w <= 10
 """
+
+# Bytes as pairs of hexadecimal digits.
+BYTE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS s
+  FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 200)) AS i FROM docs WHERE len(h) >= 400)
+), hits AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1
+), runs AS (
+  SELECT r, min(i) AS start, max(i) + 200 AS stop
+  FROM (SELECT r, i, sum(edge) OVER (PARTITION BY r ORDER BY i) AS run
+    FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS edge FROM hits))
+  GROUP BY r, run
+), cut AS (
+  SELECT r, h, doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS before
+  FROM docs LEFT JOIN runs USING (r)
+), kept AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(h) AS h, coalesce(sum(stop - start), 0) AS n, count(start) AS spans, coalesce(max(stop), 0) AS last,
+    coalesce(string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' ORDER BY start), '') AS head
+  FROM cut GROUP BY r
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, n::BIGINT AS n_removed, spans::BIGINT AS n_spans,
+  sha256(unhex(head || substr(h, 2 * last + 1))) AS kept_sha256
+FROM kept
+"""
