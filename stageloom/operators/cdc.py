@@ -8,17 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stageloom.operators.joins import kept_rows
+from stageloom.operators.joins import kept_rows, null_salt
 from stageloom.operators.ordering import OrderKey, first_per_group, reversed_order
 
 OPEN_END = "9999-12-31"
 
 
-def _side(df: DataFrame, tag: str) -> DataFrame:
-    """All columns as one struct, so that a full join can tell an absent row from NULLs."""
-    return df.select(F.struct(*df.columns).alias(tag))
-
-
 def _on_keys(keys: Sequence[str], a: str, b: str) -> Column:
     return reduce(
         lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]
@@ -33,25 +28,36 @@ def _differs(columns: Sequence[str], a: str, b: str) -> Column:
     )
 
 
-def _has_keys(keys: Sequence[str]) -> Column:
+def has_keys(keys: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
 
 
 def _full_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_tag: str, b_tag: str) -> DataFrame:
-    """Full join of two tables as structs. Rows with a NULL key match nothing: they are added, not shuffled."""
-    a, b = a.select(*a.columns), b.select(*b.columns)
-    joined = _side(a.where(_has_keys(keys)), a_tag).join(
-        _side(b.where(_has_keys(keys)), b_tag), _on_keys(keys, a_tag, b_tag), "full"
-    )
-    only_a = _side(a.where(~_has_keys(keys)), a_tag)
-    only_b = _side(b.where(~_has_keys(keys)), b_tag)
-    return joined.unionByName(only_a, allowMissingColumns=True).unionByName(only_b, allowMissingColumns=True)
+    """Full join of two tables as structs, one scan a side. Rows with a NULL key match nothing; a salt spreads them."""
+
+    def salted(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(F.struct(*df.columns).alias(tag), null_salt(df, has_keys(keys)).alias(f"{tag}_salt"))
+
+    on = _on_keys(keys, a_tag, b_tag) & (F.col(f"{a_tag}_salt") == F.col(f"{b_tag}_salt"))
+    return salted(a, a_tag).join(salted(b, b_tag), on, "full").select(a_tag, b_tag)
+
+
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[OrderKey]) -> DataFrame:
+    """The last row of each key in ``order``; rows with a NULL key all stay."""
+    return latest_per_key(df.where(has_keys(keys)), keys, order).unionByName(df.where(~has_keys(keys)))
 
 
 def one_per_key(source: DataFrame, keys: Sequence[str], order: Sequence[OrderKey] | None) -> DataFrame:
-    """The last row of each key in ``order``, by default that of all other columns; rows with a NULL key stay."""
-    order = order or [c for c in source.columns if c not in keys] or list(keys)
-    return latest_per_key(source.where(_has_keys(keys)), keys, order).unionByName(source.where(~_has_keys(keys)))
+    """The last row of each key in ``order``, by default that of all other columns; rows with a NULL key stay.
+
+    Without an order the key columns are looked at first, and a source without repeats comes back as it is: no sort.
+    """
+    if not order:
+        counts = source.where(has_keys(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        if counts.where(F.col("_n") > 1).isEmpty():
+            return source
+        order = [c for c in source.columns if c not in keys] or list(keys)
+    return last_per_key(source, keys, order)
 
 
 def latest_per_key(
@@ -197,21 +203,25 @@ def cdc_run(
     bookmark: str,
     order: Sequence[OrderKey],
 ) -> bool:
-    """One incremental run: rows after the stored bookmark go into the target, whose touched buckets are rewritten.
+    """One incremental run: rows that were not read before become a delta of the target, folded when enough wait.
 
     Returns False, and writes nothing, if nothing is new. The bookmark moves after the target, so a
-    run lost in between is repeated with the same result.
+    run lost in between is repeated with the same result. Late rows at the bookmark's value and rows without a value
+    are read once (see ``files.incremental_read``).
     """
-    from stageloom.sources.files import incremental_read
-    from stageloom.sources.sinks import overwrite, read_current, upsert_buckets
+    from stageloom.scratch import materialise
+    from stageloom.sources import deltas
+    from stageloom.sources.files import bookmark_rows, incremental_read
+    from stageloom.sources.sinks import overwrite, read_current
 
     spark = source.sparkSession
-    state = read_current(spark, f"{base}/bookmark")
-    last = None if state is None else state.first()["last"]
-    fresh, top = incremental_read(source, bookmark, last)
-    if top == last:
+    seen = read_current(spark, f"{base}/bookmark")
+    last = None if seen is None else seen.agg(F.max(bookmark)).first()[0]
+    fresh, top = incremental_read(source, bookmark, last, seen)
+    fresh = materialise(fresh, "fresh")
+    if fresh.isEmpty():
         return False
-    changes = latest_per_key(fresh, keys, order)
-    upsert_buckets(changes, f"{base}/target", keys, lambda old, new: change_apply(old, new, keys))
-    overwrite(spark.range(1).select(F.lit(top).alias("last")), f"{base}/bookmark")
+    deltas.upsert(latest_per_key(fresh, keys, order), f"{base}/target", keys)
+    deltas.compact(spark, f"{base}/target")
+    overwrite(bookmark_rows(fresh, bookmark, top, seen), f"{base}/bookmark")
     return True

@@ -8,30 +8,66 @@ from pyspark.sql import functions as F
 from stageloom.scratch import materialise
 
 
+def _chains(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(node, head, far) of nodes inside chains, those with one link in and one out: the first node before that is not, and its distance.
+
+    Pointers are doubled, so rounds follow the logarithm of the longest chain. Nodes of a cycle of such nodes find no head
+    and are left out.
+    """
+    inner = degrees.where("n_in = 1 AND n_out = 1").select("node")
+    open_ = edges.join(inner.withColumnRenamed("node", "v"), "v", "left_semi").select(F.col("v").alias("node"), F.col("u").alias("head"), F.lit(1).cast("long").alias("far"))
+    open_ = materialise(open_, "chain-pointers")
+    rounds = int(open_.count()).bit_length() + 1
+    done = open_.limit(0)
+    for _ in range(rounds):
+        known = done.unionByName(open_)
+        ahead = known.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
+        moved = open_.join(ahead, "head", "left")
+        moved = materialise(
+            moved.select(
+                "node", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNull().alias("ended")
+            ),
+            "chain-pointers",
+        )
+        done = done.unionByName(moved.where("ended").drop("ended"))
+        open_ = moved.where("NOT ended").drop("ended")
+        if open_.isEmpty():
+            break
+    return done
+
+
 def topological_levels(links: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessor, else one more than the highest predecessor.
 
-    Each round takes the nodes that no remaining link enters and removes their links, so
-    a link is read once per level of its source. Nodes on or behind a cycle get no level.
-    Rounds are stored, which keeps the plan short.
+    Chains are first contracted to one weighted link. Then each round takes the nodes all of whose links have been
+    followed, and adds to the counts and levels of the nodes they point to; links are stored once and never rewritten, and a
+    round writes what it touches. Nodes on or behind a cycle get no level. Rounds follow the depth without chains.
     """
-    edges = links.select(
-        F.col("from_stage").alias("u"), F.col("to_stage").alias("v")
-    ).distinct()
+    edges = links.select(F.col("from_stage").alias("u"), F.col("to_stage").alias("v")).distinct()
     edges = materialise(edges, "edges")
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    level = 0
-    ready = nodes.join(edges.select(F.col("v").alias("node")), "node", "left_anti")
-    ready = materialise(ready.withColumn("level", F.lit(0)), "level")
-    done = ready
-    while True:
-        level += 1
-        heads = ready.select(F.col("node").alias("u"))
-        rest = materialise(edges.join(heads, "u", "left_anti"), "edges")
-        freed = edges.join(heads, "u", "left_semi").select(F.col("v").alias("node")).distinct()
-        ready = freed.join(rest.select(F.col("v").alias("node")), "node", "left_anti")
-        ready = materialise(ready.withColumn("level", F.lit(level)), "level")
-        if ready.isEmpty():
-            return done
-        done = done.unionByName(ready)
-        edges = rest
+    ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    degrees = materialise(ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out")), "degrees")
+    chains = materialise(_chains(edges, degrees), "chains")
+    outer = degrees.where("n_in <> 1 OR n_out <> 1")
+    step = F.coalesce(F.col("far"), F.lit(0)) + 1
+    joined = edges.join(outer.select(F.col("node").alias("v")), "v", "left_semi").join(chains.withColumnRenamed("node", "u"), "u", "left")
+    short = joined.groupBy(F.coalesce("head", "u").alias("u"), "v").agg(F.max(step).alias("far"))
+    short = materialise(short, "short-links")
+    wanted = materialise(short.groupBy("v").agg(F.count(F.lit(1)).alias("n_in")), "links-in")
+    ready = materialise(outer.where("n_in = 0").select("node", F.lit(0).cast("long").alias("level")), "ready")
+    found, waiting = [ready], None
+    while not ready.isEmpty():
+        reached = short.join(ready.withColumnRenamed("node", "u"), "u").select("v", F.lit(1).cast("long").alias("n"), (F.col("level") + F.col("far")).alias("level"))
+        touched = reached if waiting is None else waiting.unionByName(reached)
+        touched = touched.groupBy("v").agg(F.sum("n").alias("n"), F.max("level").alias("level"))
+        touched = materialise(touched.join(wanted, "v").select("v", "n", "level", (F.col("n") == F.col("n_in")).alias("free")), "touched")
+        ready = touched.where("free").select(F.col("v").alias("node"), "level")
+        waiting = touched.where("NOT free").select("v", "n", "level")
+        found.append(ready)
+    done = found[0]
+    for part in found[1:]:
+        done = done.unionByName(part)
+    done = materialise(done, "levels")
+    inside = chains.join(done.withColumnRenamed("node", "head"), "head").select("node", (F.col("level") + F.col("far")).alias("level"))
+    return done.unionByName(inside).withColumn("level", F.col("level").cast("int"))

@@ -258,13 +258,15 @@ def commonality_summary(fingerprints: DataFrame, fingerprint: str) -> DataFrame:
 def structure_diff(pairs: DataFrame, properties: DataFrame) -> DataFrame:
     """Differences of ``other_id`` against ``base_id``.
 
-    ``properties`` is (id, name, property, value). Rows: added and removed names, and changed
-    properties of common names with both values.
+    ``properties`` is (id, name, property, value), with ``position`` if properties may repeat: the last value by position
+    counts, without that column the greatest one. Rows: added and removed names, and changed properties of common names with
+    both values.
     """
-    per_name = properties.groupBy("id", "name").agg(
-        # Properties of one named step; keys are unique.
-        F.map_from_entries(F.collect_list(F.struct("property", "value"))).alias("p")
-    )
+    at = F.struct("position", "value") if "position" in properties.columns else F.struct("value")
+    single = properties.groupBy("id", "name", "property").agg(F.max_by("value", at).alias("value"))
+    # A name without any property is there too: its only entry has no key.
+    entries = F.filter(F.collect_list(F.struct("property", "value")), lambda e: e["property"].isNotNull())
+    per_name = single.groupBy("id", "name").agg(F.map_from_entries(entries).alias("p"))
     ids = ["base_id", "other_id"]
     base = pairs.join(per_name.withColumnsRenamed({"id": "base_id", "p": "b"}), "base_id")
     other = pairs.join(per_name.withColumnsRenamed({"id": "other_id", "p": "o"}), "other_id")

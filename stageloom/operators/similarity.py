@@ -11,11 +11,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from stageloom.operators.ordering import dense_number
 from stageloom.operators.sequences import bag_profiles, ordered_steps
@@ -24,6 +21,9 @@ from stageloom.scratch import materialise
 #: Sets up to this size are joined on shared subsets, larger ones on rare steps.
 SUBSET_LIMIT = 13
 
+#: Bits of a BIGINT used at a time: two of them and a carry add up without overflow.
+WORD = 62
+
 WEIGHT_SET, WEIGHT_LENGTH, WEIGHT_ORDER = 0.5, 0.3, 0.2
 
 
@@ -38,23 +38,62 @@ def length_similarity(m: Column, n: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(F.least(m, n) / longest)
 
 
-@F.pandas_udf(LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of two arrays, a row of the usual table at a time in the bits of one number."""
+def _once(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _place_words(a: Column, item: Column) -> Column:
+    """The places of ``item`` in an array as bits, WORD of them in a number."""
+
+    def bits(word: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("place"))
+
+        def add(acc: Column, x: Column) -> Column:
+            here = F.when(x.eqNullSafe(item), acc["place"]).otherwise(F.lit(0).cast("long"))
+            return F.struct((acc["bits"] + here).alias("bits"), F.shiftleft(acc["place"], 1).alias("place"))
+
+        return F.aggregate(F.slice(a, word * WORD + 1, WORD), start, add, lambda acc: acc["bits"])
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WORD).cast("int")), bits)
+
+
+def _next_row(row: Column, met: Column) -> Column:
+    """``(row + both) | (row - both)`` for numbers of several words, ``both = row & met``; a carry goes on to the next word."""
+    full = F.lit((1 << WORD) - 1)
+    start = F.struct(F.array().cast("array<bigint>").alias("words"), F.lit(0).cast("long").alias("carry"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        both = pair["r"].bitwiseAND(pair["m"])
+        total = pair["r"] + both + acc["carry"]  # below 2 ** 63
+        word = total.bitwiseAND(full).bitwiseOR(pair["r"] - both)
+        return F.struct(F.concat(acc["words"], F.array(word)).alias("words"), F.shiftright(total, WORD).alias("carry"))
+
+    pairs = F.zip_with(row, met, lambda r, m: F.struct(r.alias("r"), m.alias("m")))
+    return F.aggregate(pairs, start, add, lambda acc: acc["words"])
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Longest common subsequence of two arrays: a row of the usual table at a time, in the bits of BIGINTs. NULL arrays are empty."""
+    empty = F.array().cast("array<string>")
+    a, b = F.coalesce(a.cast("array<string>"), empty), F.coalesce(b.cast("array<string>"), empty)
+
+    def length(x: Column) -> Column:
+        kinds = F.array_distinct(x["a"])
+        masks = F.transform(kinds, lambda kind: _place_words(x["a"], kind))
+
+        def walk(t: Column) -> Column:
+            def step(row: Column, y: Column) -> Column:
+                at = F.coalesce(F.array_position(t["kinds"], y), F.lit(0))
+                return F.when(at > 0, _next_row(row, F.get(t["masks"], (at - 1).cast("int")))).otherwise(row)
+
+            ones = F.transform(_place_words(x["a"], F.lit(None).cast("string")), lambda _: F.lit((1 << WORD) - 1))
+            zeros = lambda row: F.aggregate(row, F.lit(0).cast("long"), lambda n, w: n + F.lit(WORD) - F.bit_count(w))
+            return F.aggregate(x["b"], ones, step, zeros)
 
-    def length(x: np.ndarray | None, y: np.ndarray | None) -> int:
-        if x is None or y is None or not len(x) or not len(y):
-            return 0
-        places: dict[object, int] = {}
-        for i, step in enumerate(x):
-            places[step] = places.get(step, 0) | (1 << i)
-        full = row = (1 << len(x)) - 1
-        for step in y:
-            met = row & places.get(step, 0)
-            row = ((row + met) | (row - met)) & full
-        return (row ^ full).bit_count()
+        return _once(F.struct(kinds.alias("kinds"), masks.alias("masks")), walk)
 
-    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return _once(F.struct(a.alias("a"), b.alias("b")), length)
 
 
 def order_similarity(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stageloom.operators import ordering
 from stageloom.operators.ordering import (
@@ -20,6 +22,7 @@ from stageloom.operators.ordering import (
     reversed_order,
     sort_columns,
 )
+from stageloom.scratch import materialise
 
 
 @dataclass
@@ -27,7 +30,8 @@ class WindowSpec:
     """One output column: ``function`` over ``column`` by ``partition_by`` and ``order_by``.
 
     ``offset`` and ``default`` belong to lag and lead, ``offset`` also to nth_value. ``frame`` is a ROWS frame
-    (first, last) relative to the current row, None for unbounded; it needs a total order.
+    (first, last) relative to the current row, None for unbounded; it needs a total order. ``interval`` is a RANGE frame
+    (low, high) added to the value of the only order column, an ascending number or timestamp (then in seconds).
     """
 
     out: str
@@ -38,6 +42,7 @@ class WindowSpec:
     offset: int = 1
     default: object = None
     frame: tuple[int | None, int | None] | None = None
+    interval: tuple[float, float] | None = None
 
 
 RANKS = ("row_number", "rank", "dense_rank")
@@ -65,6 +70,8 @@ def window_columns(
             df = _offset(df, spec, limit)
         elif spec.function in VALUES:
             df = _value_at(df, spec, limit)
+        elif spec.function in RUNNING and spec.interval is not None:
+            df = _interval(df, spec, limit)
         elif spec.function in RUNNING and spec.frame is None:
             df = _running(df, spec, limit)
         elif spec.function in RUNNING:
@@ -194,6 +201,118 @@ def _framed(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
     return _near(df, spec, max(0, -first), max(0, last), value, limit)
 
 
+def _interval(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
+    """A RANGE frame: rows of the group whose value lies in [x + low, x + high] of the row's value x.
+
+    Groups up to the limit use one plain window. Of larger ones only rows take part in ordered scans, so that a frame may be as
+    wide as the group: sums and counts are differences of running totals at two probes, extremes come from the
+    blocks that the frame touches. A NULL value frames the rows whose value is NULL.
+    """
+    low, high = spec.interval
+    if low > high:
+        raise ValueError("an interval goes from its lower to its upper end")
+    (name, direction, _), *more = map(parse_key, spec.order_by)
+    if more or direction != "asc":
+        raise ValueError("an interval frame takes one ascending order column")
+    if spec.function == "stddev":
+        raise ValueError("stddev has no interval form")
+    by, limit = list(spec.partition_by), limit or ordering.ROWS_PER_TASK
+    column = F.col(spec.column) if spec.column else F.lit(1)
+    timed = isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    x = F.unix_micros(F.col(name).cast("timestamp")) if timed else F.col(name)
+    unit = 1_000_000 if timed else 1
+    ends = [int(e * unit) if timed or float(e).is_integer() else e for e in (low, high)]
+    df = df.withColumn("_x", x)
+    hot = hot_groups(df, by, limit)
+    if hot is None:
+        window = Window.partitionBy(*by).orderBy(F.col("_x").asc_nulls_last()).rangeBetween(*ends)
+        return df.withColumn(spec.out, getattr(F, spec.function)(column).over(window)).drop("_x")
+    rows = materialise(df.withColumns({"_v": column, "_row": F.monotonically_increasing_id()}), "interval-rows")
+    placed = _probed(rows, by, ends, limit)
+    if spec.function in ("sum", "count", "avg"):
+        total, n = F.col("_sum_to") - F.col("_sum_from"), F.col("_count_to") - F.col("_count_from")
+        value = {"count": n, "sum": F.when(n > 0, total), "avg": F.try_divide(total, n)}[spec.function]
+        return placed.select(*[c for c in df.columns if c != "_x"], value.alias(spec.out))
+    return _interval_extreme(rows, placed, by, spec, limit).select(*[c for c in df.columns if c != "_x"], spec.out)
+
+
+def _probed(rows: DataFrame, by: Sequence[str], ends: Sequence[float], limit: int) -> DataFrame:
+    """Rows with running totals just before the frame's first row (``_from``) and after its last one (``_to``).
+
+    A row sends two probes, one to each end of its frame; a scan over rows and probes in order of value carries the totals to them.
+    """
+    numbers = ["_v", "_x"]
+    data = rows.select(*by, F.col("_x").alias("_at"), F.lit(1).alias("_kind"), "_row", "_v", F.lit(1).alias("_one"))
+    probe = lambda end, kind: rows.select(
+        *by, (F.col("_x") + F.lit(end)).alias("_at"), F.lit(kind).alias("_kind"), "_row",
+        F.lit(None).cast(rows.schema[numbers[0]].dataType).alias("_v"), F.lit(None).cast("int").alias("_one"),
+    )
+    # At one value the probe for the lower end comes before the rows, the other one after them.
+    events = data.unionByName(probe(ends[0], 0)).unionByName(probe(ends[1], 2))
+    summed = isinstance(rows.schema["_v"].dataType, T.NumericType)
+    scans = {"_count": ("count", "_v"), "_rows": ("count", "_one")} | ({"_sum": ("sum", "_v")} if summed else {})
+    run = ordered_scan(events, by, ["_at", "_kind", "_row"], [scans], limit).where("_kind <> 1")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    sides = []
+    for kind, side in ((0, "from"), (2, "to")):
+        sides.append(run.where(F.col("_kind") == kind).select(F.col("_row").alias(f"_row_{side}"), *[zero(c).alias(f"{c}_{side}") for c in scans]))
+    return rows.join(sides[0], F.col("_row") == F.col("_row_from")).join(sides[1], F.col("_row") == F.col("_row_to"))
+
+
+#: Rows of a block of which an interval frame may take any part.
+EXTREME_BLOCK = 1024
+
+
+def _interval_extreme(rows: DataFrame, placed: DataFrame, by: Sequence[str], spec: WindowSpec, limit: int) -> DataFrame:
+    """Least or largest value of the frame's rows, which are the places ``_rows_from`` + 1 .. ``_rows_to`` of the group.
+
+    A frame inside one block of EXTREME_BLOCK rows is a slice of it. Any other is the end of its first block, the
+    start of its last one, and the blocks between, which two overlapping runs of 2 ** k blocks cover (a sparse table).
+    """
+    size = min(limit, EXTREME_BLOCK)
+    fn, pick = (F.min, F.least) if spec.function == "min" else (F.max, F.greatest)
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{b}{k}")) for k in by], F.lit(True)) & a
+    tagged = lambda df, p: df.select([F.col(c).alias(f"{p}{c}") for c in df.columns])
+    block = lambda place: F.floor((place - 1) / size)
+    at = materialise(ordered_scan(rows.select(*by, "_x", "_row", "_v"), by, ["_x", "_row"], [{"_place": ("row_number", None)}], limit), "places")
+    at = at.withColumn("_block", block(F.col("_place")))
+    window = Window.partitionBy(*by, "_block").orderBy("_place")
+    scanned = at.withColumns({
+        "_head": fn("_v").over(window.rowsBetween(Window.unboundedPreceding, 0)),
+        "_tail": fn("_v").over(window.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    scanned = materialise(scanned, "block-extremes")
+    # The sparse table has a row for every block and power of two: rows / size of them times a logarithm.
+    level = scanned.groupBy(*by, "_block").agg(fn("_v").alias("_best"))
+    most = scanned.agg(F.max("_block")).first()[0] or 0
+    table, k = level.withColumn("_k", F.lit(0)), 0
+    while 2 << k <= most:
+        next_ = tagged(level.withColumn("_block", F.col("_block") - (1 << k)), "o")
+        level = level.join(next_, same(F.col("_block") == F.col("o_block"), "o"))
+        level = materialise(level.select(*by, "_block", pick("_best", "o_best").alias("_best")), "sparse-table")
+        k += 1
+        table = table.unionByName(level.withColumn("_k", F.lit(k)))
+    framed = placed.withColumns({"_first": F.col("_rows_from") + 1, "_last": F.col("_rows_to")})
+    framed = framed.withColumns({"_fb": block(F.col("_first")), "_lb": block(F.col("_last"))})
+    inside = framed.where("_first <= _last AND _fb = _lb")
+    near = tagged(at.select(*by, "_block", "_place", "_v").groupBy(*by, "_block").agg(F.array_sort(F.collect_list(F.struct("_place", "_v"))).alias("_vs")), "i")
+    values = F.slice("i_vs", (F.col("_first") - F.col("_fb") * size).cast("int"), (F.col("_last") - F.col("_first") + 1).cast("int"))["_v"]
+    inside = inside.join(near, same(F.col("_fb") == F.col("i_block"), "i"))
+    inside = inside.withColumn(spec.out, (F.array_min if spec.function == "min" else F.array_max)(values))
+    wide = framed.where("_first <= _last AND _fb < _lb")
+    ends = scanned.select(*by, "_place", "_head", "_tail")
+    wide = wide.join(tagged(ends, "f"), same(F.col("_first") == F.col("f_place"), "f")).join(tagged(ends, "l"), same(F.col("_last") == F.col("l_place"), "l"))
+    gap = F.col("_lb") - F.col("_fb") - 1
+    power = F.when(gap > 0, F.floor(F.log2(gap.cast("double")) + 1e-9).cast("int"))
+    wide = wide.withColumn("_p", power).withColumns({"_m1": F.col("_fb") + 1, "_m2": F.col("_lb") - F.expr("shiftleft(1L, _p)")})
+    for side, start in (("a", "_m1"), ("b", "_m2")):
+        wide = wide.join(tagged(table, side), same((F.col(start) == F.col(f"{side}_block")) & (F.col("_p") == F.col(f"{side}_k")), side), "left")
+    wide = wide.withColumn(spec.out, pick("f_tail", "l_head", F.coalesce("a_best", "f_tail", "l_head"), F.coalesce("b_best", "f_tail", "l_head")))
+    empty = framed.where("_first > _last").withColumn(spec.out, F.lit(None).cast(rows.schema["_v"].dataType))
+    keep = [*rows.columns, spec.out]
+    return inside.select(keep).unionByName(wide.select(keep)).unionByName(empty.select(keep))
+
+
 def _value_at(df: DataFrame, spec: WindowSpec, limit: int | None) -> DataFrame:
     """Values of the first, last or ``offset``-th row: one row per group, joined back.
 

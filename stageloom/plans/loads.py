@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,8 @@ from stageloom.operators import quality as Q
 from stageloom.plans.joins import CHANGES_SQL, source_and_target
 from stageloom.plans.projections import DECLARED
 from stageloom.plans.registry import query
-from stageloom.scratch import new_path
+from stageloom.scratch import materialise, new_path
+from stageloom.sources import deltas as D
 from stageloom.sources import files as R
 from stageloom.sources import sinks as K
 from stageloom.tables import load
@@ -64,11 +65,23 @@ def row_generator(spark, d):
     return R.row_generator(spark, n, {"id": F.col("id"), "code": F.col("id") * 7 % 13})
 
 
-@query("incremental_read", "SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-20'")
+@query("incremental_read", "SELECT event_id, CASE WHEN event_type <> 'error' THEN date_trunc('hour', ts) END AS ts FROM events")
 def incremental_read(spark, d):
-    events = load(spark, d, "events").select("event_id", "ts")
-    fresh, _ = R.incremental_read(events, "ts", datetime.datetime(2024, 1, 20))
-    return fresh
+    """Four reads of a source in which rows arrive late with the last key, and rows without a key arrive all the time."""
+    events = load(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.date_trunc("hour", "ts")).alias("ts"))
+    # A row arrives with its third of the days; one in seven of the last hour, and of those without a key, a read later.
+    late = (F.col("event_id") % 7 == 0).cast("int")
+    day = F.coalesce(F.floor((F.dayofmonth("ts") - 1) / 10), F.col("event_id") % 3)
+    arrived = materialise(events.withColumn("read", F.least(F.lit(3), day + late * F.col("ts").isNull().cast("int"))), "arrivals")
+    last_hours = arrived.groupBy("read").agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select("ts", F.lit(True).alias("last"))
+    arrived = arrived.join(F.broadcast(last_hours), "ts", "left")
+    arrived = arrived.withColumn("read", F.when(F.col("last"), F.col("read") + late).otherwise(F.col("read")))
+    seen, last, parts = None, None, []
+    for read in range(5):
+        fresh, last = R.incremental_read(arrived.where(F.col("read") <= read).select("event_id", "ts"), "ts", last, seen)
+        parts.append(materialise(fresh, "read"))
+        seen = materialise(R.bookmark_rows(parts[-1], "ts", last, seen), "bookmark")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("write_partitioned", "SELECT l_orderkey, l_partkey, l_quantity, l_returnflag FROM lineitem")
@@ -110,6 +123,36 @@ def merge_upsert(spark, d):
     return C.merge_upsert(tgt.select(*keep), src.select(*keep), ["c_custkey"], ["c_acctbal"])
 
 
+UPSERT_SQL = """WITH runs AS (SELECT *, event_id % 4 AS run FROM events), last AS (
+    SELECT user_id, event_type, event_id, value, run FROM runs
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY run DESC, event_id DESC) = 1)
+  SELECT user_id, event_type, event_id, value FROM last WHERE NOT (run = 3 AND value < 20)"""
+
+
+def upserted(spark, d):
+    """Four upserts, the last of which also removes the keys whose event has a small value."""
+    base = new_path(spark, "deltas")
+    events = load(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    for run in range(4):
+        part = C.latest_per_key(events.where(F.col("event_id") % 4 == run), ["user_id", "event_type"], ["event_id"])
+        part = part.withColumn("gone", F.lit(run == 3) & (F.col("value") < 20))
+        D.upsert(part, base, ["user_id", "event_type"], deleted="gone")
+    return base
+
+
+@query("upsert_delta", UPSERT_SQL)
+def upsert_delta(spark, d):
+    return D.read(spark, upserted(spark, d))
+
+
+@query("upsert_compact", UPSERT_SQL)
+def upsert_compact(spark, d):
+    """The same table after its deltas were folded into buckets, which split until each has few rows."""
+    base = upserted(spark, d)
+    D.compact(spark, base, rows_per_bucket=300)
+    return D.read(spark, base)
+
+
 LOAD_COLUMNS = [
     {"name": "user_id", "type": "BigInt", "nullable": False},
     {"name": "kind", "type": "VarChar", "length": 5},

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stageloom.functions.text import safe_name
 from stageloom.operators import project as P
 from stageloom.operators.custom import custom_rows
+from stageloom.operators.custom import GroupLogic
+from stageloom.operators.custom import custom_groups as groups
 from stageloom.operators.custom import custom_stage as custom
 from stageloom.plans.registry import query
 from stageloom.tables import load
@@ -270,3 +273,31 @@ def custom_stage(spark, d):
     parts = load(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
     rows = custom_rows(parts, band, "p_partkey bigint, band bigint, p_size int")
     return custom(rows, lambda df: df.select("p_partkey", "band", (F.col("p_size") * 2).alias("double_size")))
+
+
+class LongestClimb(GroupLogic):
+    """The longest run of rising values; two numbers are all that is kept of a group."""
+
+    def start(self, key):
+        self.key, self.last, self.run, self.best, self.n = key, None, 0, 0, 0
+
+    def rows(self, part):
+        for value in part.column("value").to_pylist():
+            self.run = self.run + 1 if self.last is not None and value > self.last else 1
+            self.best, self.last = max(self.best, self.run), value
+        self.n += len(part)
+        return iter(())
+
+    def end(self):
+        yield pa.RecordBatch.from_pylist([{"user_id": self.key["user_id"], "events": self.n, "longest_climb": self.best}])
+
+
+@query(
+    "custom_groups",
+    """SELECT user_id, CAST(sum(n) AS BIGINT) AS events, max(n) AS longest_climb FROM (SELECT user_id, run, count(*) AS n FROM (SELECT user_id,
+         sum(fall) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *,
+           CASE WHEN value > lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS fall FROM events)) GROUP BY 1, 2) GROUP BY 1""",
+)
+def custom_groups(spark, d):
+    events = load(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    return groups(events, ["user_id"], ["ts", "event_id"], LongestClimb, "user_id long, events long, longest_climb long")

@@ -16,7 +16,8 @@ from stageloom.operators.rules import branch_counts as count_branches
 from stageloom.plans import fleet as G
 from stageloom.plans.registry import query
 from stageloom.plans.rules import predictions
-from stageloom.scratch import materialise
+from stageloom.scratch import materialise, new_path
+from stageloom.sources.jobs import content_hash as read_content_hash
 from stageloom.tables import load
 
 IGNORED = G.sql_list(IGNORED_STEPS)
@@ -59,11 +60,15 @@ def structural_fingerprint(spark, d):
     return Q.structural_fingerprint(s, G.links(spark, d, s), "job_id")
 
 
-@query("content_hash", "SELECT page_id, sha256(html) AS content_hash FROM pages UNION ALL SELECT -1 - doc_id, sha256(text) FROM documents")
+@query("content_hash", "SELECT lang, source, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content_hash FROM documents GROUP BY 1, 2")
 def content_hash(spark, d):
-    pages = load(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("content_hash"))
-    docs = load(spark, d, "documents").select((-1 - F.col("doc_id")).alias("page_id"), F.sha2("text", 256).alias("content_hash"))
-    return pages.unionByName(docs)
+    """One file for each language and source, written here; their bytes are hashed as they are stored."""
+    path = new_path(spark, "files")
+    docs = load(spark, d, "documents").select("lang", "source", "doc_id", "text")
+    ordered = docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    ordered.select("lang", "source", "text").write.partitionBy("lang", "source").text(path)
+    folder = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    return read_content_hash(spark, path, "part-*").select(folder("lang"), folder("source"), "content_hash")
 
 
 DUP_SQL = """g AS (SELECT md5(text) AS fp, min(doc_id) AS representative, count(*) AS n_members FROM documents GROUP BY 1 HAVING count(*) > 1),

@@ -8,6 +8,7 @@ from stageloom.plans.registry import query
 from stageloom.scratch import new_path
 from stageloom.sources.sinks import read_current
 from stageloom.streaming import jobs as J
+from stageloom.streaming.stateful import rocksdb_state
 from stageloom.tables import load
 
 # Longer than the span of the events, so that no row is late whatever the file order.
@@ -51,7 +52,7 @@ def stream_usage_windows(spark, d):
     out = new_path(spark, "windows")
     aggs = {"requests": F.count(F.lit(1)), "cost": F.sum(F.col("value").cast("decimal(18,2)"))}
     totals = J.usage_per_window(event_files(spark, d), "ts", ["event_type"], aggs, "1 day", LATE)
-    J.write_complete(totals, out, new_path(spark, "checkpoint"))
+    J.write_changes(totals, out, ["window_start", "event_type"], new_path(spark, "checkpoint"))
     return read_current(spark, out).select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         "event_type", "requests", F.col("cost").cast("double").alias("cost"),
@@ -62,7 +63,8 @@ def stream_usage_windows(spark, d):
 def stream_dedup(spark, d):
     out = new_path(spark, "first_requests")
     first = J.drop_repeats(event_files(spark, d), "ts", ["user_id", "event_type"], LATE)
-    J.ingest(first.select("user_id", "event_type"), out, new_path(spark, "checkpoint"))
+    with rocksdb_state(spark):
+        J.ingest(first.select("user_id", "event_type"), out, new_path(spark, "checkpoint"))
     return spark.read.parquet(out)
 
 
@@ -76,8 +78,8 @@ def stream_dedup(spark, d):
 def stream_sessions(spark, d):
     out = new_path(spark, "sessions")
     rows = J.sessions(event_files(spark, d), "ts", "user_id", "600 minutes", LATE, "value")
-    with J.merged_sessions(spark):
-        J.write_complete(rows, out, new_path(spark, "checkpoint"))
+    with rocksdb_state(spark):
+        J.write_changes(rows, out, ["user_id", "session_start"], new_path(spark, "checkpoint"), deleted="gone")
     return read_current(spark, out).select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         "requests", F.col("cost").cast("double").alias("cost"),
@@ -90,9 +92,6 @@ def stream_sessions(spark, d):
 )
 def stream_budget(spark, d):
     """The highest running total of a user is all it spent, in whatever order files arrive."""
-    base = new_path(spark, "budget")
-    J.running_budget(
-        event_files(spark, d), base, ["user_id"], ["ts", "event_id"], "value", 5000, new_path(spark, "checkpoint")
-    )
-    rows = J.read_budget_rows(spark, base)
-    return rows.groupBy("user_id").agg(F.max("running_total").alias("spent"), F.count(F.lit(1)).alias("n"))
+    out = new_path(spark, "budget")
+    J.running_budget(event_files(spark, d), out, ["user_id"], ["ts", "event_id"], "value", 5000, new_path(spark, "checkpoint"), late=LATE)
+    return spark.read.parquet(out).groupBy("user_id").agg(F.max("running_total").alias("spent"), F.count(F.lit(1)).alias("n"))

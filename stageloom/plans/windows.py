@@ -253,6 +253,29 @@ def window_frames(spark, d):
     return W.window_columns(events, specs).withColumn("spread", F.round("spread", 4)).drop("user_id", "ts")
 
 
+_RANGE = "OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN"
+
+
+@query(
+    "window_range",
+    f"""SELECT event_id, count(*) {_RANGE} INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS recent,
+          sum(event_id) {_RANGE} INTERVAL 90 MINUTE PRECEDING AND INTERVAL 90 MINUTE FOLLOWING)::BIGINT AS around,
+          min(event_id) {_RANGE} INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY FOLLOWING) AS day_min,
+          max(event_id) {_RANGE} INTERVAL 2 HOUR FOLLOWING AND INTERVAL 1 DAY FOLLOWING) AS later_max FROM events""",
+)
+def window_range(spark, d):
+    """Frames by time: rows of a user within so many seconds of the row."""
+    hour = 3600
+    by = {"partition_by": ["user_id"], "order_by": ["ts"]}
+    specs = [
+        W.WindowSpec("recent", "count", interval=(-6 * hour, 0), **by),
+        W.WindowSpec("around", "sum", "event_id", interval=(-1.5 * hour, 1.5 * hour), **by),
+        W.WindowSpec("day_min", "min", "event_id", interval=(-24 * hour, 24 * hour), **by),
+        W.WindowSpec("later_max", "max", "event_id", interval=(2 * hour, 24 * hour), **by),
+    ]
+    return W.window_columns(load(spark, d, "events").select("event_id", "user_id", "ts"), specs).drop("user_id", "ts")
+
+
 @query(
     "top_n",
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,8 +92,36 @@ def row_generator(spark: SparkSession, n: int, columns: Mapping[str, Column]) ->
     return spark.range(n).select(*[c.alias(name) for name, c in columns.items()])
 
 
-def incremental_read(df: DataFrame, key: str, last=None) -> tuple[DataFrame, object]:
-    """Rows after the last committed key, and the new last key (unchanged if there are none)."""
-    fresh = df if last is None else df.where(F.col(key) > F.lit(last))
+def incremental_read(
+    df: DataFrame, key: str, last=None, seen: DataFrame | None = None
+) -> tuple[DataFrame, object]:
+    """Rows that were not read before, and the new last key (unchanged if there are none with a key).
+
+    ``seen`` holds the rows already read at the last key or without a key (``bookmark_rows``): a row that arrives late with
+    the last key, or has none, is then read once. Without ``seen`` only rows after the last key are read. Rows that are equal in
+    all columns of ``seen`` count as one.
+    """
+    if seen is not None:
+        rows = df if last is None else df.where((F.col(key) >= F.lit(last)) | F.col(key).isNull())
+        known = seen.toDF(*[f"_seen_{c}" for c in seen.columns])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_seen_{c}")) for c in seen.columns])
+        fresh = rows.join(known, same, "left_anti")
+    else:
+        fresh = df if last is None else df.where(F.col(key) > F.lit(last))
     top = fresh.agg(F.max(key)).first()[0]
     return fresh, last if top is None else top
+
+
+def bookmark_rows(
+    fresh: DataFrame, key: str, top, seen: DataFrame | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """What the next ``incremental_read`` must know: the rows read at the last key and those without a key, stored by the caller.
+
+    ``columns`` tell rows apart (by default all that can be compared); the key is always one of them.
+    """
+    compared = [f.name for f in fresh.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    columns = list(seen.columns) if seen is not None else list(dict.fromkeys([*(columns or compared), key]))
+    rows = fresh.select(*columns)
+    if seen is not None:
+        rows = rows.unionByName(seen)
+    return rows.where(F.col(key).isNull() | (F.col(key) == F.lit(top))).distinct()

@@ -9,20 +9,20 @@ from stageloom.functions.text import strip_space
 from stageloom.scratch import materialise
 
 # Record types that are stages.
-STAGE_RECORDS = (
-    "CCustomStage CTransformerStage CContainerDef CDBConnectorStage CFileConnectorStage "
-    "CODBCStage COracleOCIStage CDB2Stage CSeqFileStage CDatasetStage CHashedFileStage "
-    "CLookupStage CAggregatorStage CJoinStage CSortStage CFilterStage CFunnelStage "
-    "CMergeStage CRemoveDupStage CSurrogateKeyStage CChangeApplyStage CChangeCaptureStage "
-    "CSCDStage CPivotStage CRowGeneratorStage CColumnGeneratorStage CModifyStage CCopyStage "
-    "CMetaDataImportStage"
-).split()
+STAGE_RECORDS = [
+    "CCustomStage", "CTransformerStage", "CContainerDef", "CDBConnectorStage", "CFileConnectorStage",
+    "CODBCStage", "COracleOCIStage", "CDB2Stage", "CSeqFileStage", "CDatasetStage", "CHashedFileStage",
+    "CLookupStage", "CAggregatorStage", "CJoinStage", "CSortStage", "CFilterStage", "CFunnelStage",
+    "CMergeStage", "CRemoveDupStage", "CSurrogateKeyStage", "CChangeApplyStage", "CChangeCaptureStage",
+    "CSCDStage", "CPivotStage", "CRowGeneratorStage", "CColumnGeneratorStage", "CModifyStage", "CCopyStage",
+    "CMetaDataImportStage",
+]
 
 # Record properties that are kept.
-STAGE_PROPERTIES = (
-    "Identifier Name SQLStatement TableName FileName Connection Database Schema Query Server "
-    "InputLinks OutputLinks StageType OLEType NextID Description XMLProperties"
-).split()
+STAGE_PROPERTIES = [
+    "Identifier", "Name", "SQLStatement", "TableName", "FileName", "Connection", "Database", "Schema", "Query", "Server",
+    "InputLinks", "OutputLinks", "StageType", "OLEType", "NextID", "Description", "XMLProperties",
+]
 
 EXPORT_SCHEMA = """
   _Identifier string,
@@ -37,7 +37,8 @@ OLDER_SCHEMA = """
   _NAME string,
   STAGE array<struct<_NAME: string, _STGTYPE: string,
     PROPERTY: array<struct<_NAME: string, _VALUE: string>>>>,
-  LINK array<struct<_NAME: string, _FROMSTAGE: string, _TOSTAGE: string>>
+  LINK array<struct<_NAME: string, _FROMSTAGE: string, _TOSTAGE: string>>,
+  _corrupt_record string
 """
 
 
@@ -133,10 +134,10 @@ def read_job_xml(
 def read_older_xml(
     spark: SparkSession, path: str, pattern: str | None = None
 ) -> dict[str, DataFrame]:
-    """Older XML form: ``JOB`` / ``STAGE`` / ``PROPERTY`` / ``LINK``."""
-    raw = _xml(spark, path, "JOB", OLDER_SCHEMA, pattern).withColumn(
-        "job_id", F.coalesce("_NAME", F.lit(""))
-    )
+    """Older XML form: ``JOB`` / ``STAGE`` / ``PROPERTY`` / ``LINK``; also yields ``errors``."""
+    whole = _xml(spark, path, "JOB", OLDER_SCHEMA, pattern)
+    errors = whole.where(F.col("_corrupt_record").isNotNull()).select("path", F.col("_corrupt_record").alias("line"))
+    raw = whole.where(F.col("_corrupt_record").isNull()).withColumn("job_id", F.coalesce("_NAME", F.lit("")))
     entry = lambda p: F.struct(
         F.coalesce(p["_NAME"], F.lit("")).alias("key"),
         F.coalesce(p["_VALUE"], F.lit("")).alias("value"),
@@ -157,7 +158,7 @@ def read_older_xml(
         F.coalesce("l._TOSTAGE", F.lit("")).alias("to_stage"),
         F.coalesce("l._NAME", F.lit("")).alias("name"),
     )
-    return {"jobs": raw.select("job_id", "path"), "stages": stages, "links": links}
+    return {"jobs": raw.select("job_id", "path"), "stages": stages, "links": links, "errors": errors}
 
 
 def _quoted(line: Column) -> Column:

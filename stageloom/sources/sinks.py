@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stageloom.operators.ordering import group_number
 from stageloom.operators.project import cast_declared
-from stageloom.operators.sizing import literal_table
-from stageloom.scratch import materialise
-
-#: Buckets of a table that is upserted; each rewrite touches whole buckets.
-BUCKETS = 64
-
+from stageloom.sources import commits, deltas
 
 def write_partitioned(
     df: DataFrame, path: str, keys: Sequence[str], mode: str = "overwrite"
@@ -108,105 +103,38 @@ def export_json(df: DataFrame) -> DataFrame:
 
 def current_version(spark: SparkSession, base: str) -> int:
     """Number of the version a reader should see; -1 before the first write."""
-    try:
-        top = spark.read.schema("version long").parquet(f"{base}/pointer").agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return -1
-    return -1 if top is None else int(top)
+    return commits.latest(spark, base)[0]
 
 
 def overwrite(df: DataFrame, base: str, version: int | None = None) -> int:
-    """Replace a table without touching the version being read.
+    """Replace a table without touching the version being read; the new version's number.
 
-    The new version goes to its own folder; the pointer row follows once it is complete,
-    so a lost job leaves the old version in place and a repeat writes the same folder.
+    The rows go to a folder of their own, and the version is published once they are complete, so a lost job leaves the
+    old version in place. A given ``version`` that is there already (a repeated batch) is left as it is. Raises
+    ConcurrentCommit if another writer published the number meanwhile: what this one read is no longer current.
     """
     spark = df.sparkSession
+    newest = commits.latest(spark, base)[0]
     if version is None:
-        version = current_version(spark, base) + 1
-    df.write.mode("overwrite").parquet(f"{base}/v={version}")
-    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode(
-        "append"
-    ).parquet(f"{base}/pointer")
-    return version
-
-
-def _bucket(keys: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def manifest(spark: SparkSession, base: str, before: int | None = None) -> tuple[int, dict[int, int]]:
-    """Newest version of a bucketed table (below ``before``), and where each bucket's rows were written; -1 if none.
-
-    One row per bucket and version, so the driver reads a bounded number of rows.
-    """
-    try:
-        rows = spark.read.schema("version long, bucket int, written long").parquet(f"{base}/manifest")
-        rows = rows if before is None else rows.where(F.col("version") < before)
-        top = rows.agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return -1, {}
-    if top is None:
-        return -1, {}
-    kept = rows.where((F.col("version") == top) & (F.col("bucket") >= 0)).select("bucket", "written").distinct()
-    return int(top), dict(kept.collect())
-
-
-def _read_buckets(spark: SparkSession, base: str, places: dict[int, int]) -> DataFrame | None:
-    paths = [f"{base}/data/v={written}/bucket={bucket}" for bucket, written in sorted(places.items())]
-    return spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
-
-
-def upsert_buckets(
-    changes: DataFrame,
-    base: str,
-    keys: Sequence[str],
-    merge: Callable[[DataFrame | None, DataFrame], DataFrame],
-    version: int | None = None,
-    buckets: int = BUCKETS,
-) -> int:
-    """Rewrite only the buckets (by hash of the keys) that the changes touch.
-
-    ``merge(old rows of those buckets, changes)`` gives their new rows. The manifest row of a version follows its
-    files, so a lost run leaves the old version in place; a repeated version reads the same input again.
-    ``buckets`` stays as it was when the table was first written. Files that neither of the last two
-    versions refers to are deleted.
-    """
-    spark = changes.sparkSession
-    if version is None:
-        version = manifest(spark, base)[0] + 1
-    _, places = manifest(spark, base, version)
-    changes = materialise(changes.withColumn("bucket", _bucket(keys, buckets)), "changes")
-    touched = {r.bucket for r in changes.select("bucket").distinct().collect()}
-    old = _read_buckets(spark, base, {b: v for b, v in places.items() if b in touched})
-    rows = merge(old, changes.drop("bucket")).withColumn("bucket", _bucket(keys, buckets))
-    out = f"{base}/data/v={version}"
-    rows.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
-    schema = "bucket int"
-    filled = {r.bucket for r in spark.read.schema(schema).parquet(out).select("bucket").distinct().collect()} if touched else set()
-    now = {b: v for b, v in places.items() if b not in touched} | dict.fromkeys(filled, version)
-    listed = [(version, b, v) for b, v in now.items()] or [(version, -1, -1)]
-    entry = literal_table(spark, listed, "version long, bucket int, written long")
-    entry.coalesce(1).write.mode("append").parquet(f"{base}/manifest")
-    _drop_unseen(spark, base, [places, now])
+        version = newest + 1
+    elif version <= newest:
+        return version
+    folder = f"v={version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{folder}")
+    if not commits.publish(spark, base, version, {"folder": folder}):
+        commits.drop_folder(spark, base, folder)
+        raise commits.ConcurrentCommit(f"version {version} of {base} was written by another job")
+    commits.prune(spark, base)
     return version
 
 
-def _drop_unseen(spark: SparkSession, base: str, seen: Sequence[dict[int, int]]) -> None:
-    used = {(v, b) for places in seen for b, v in places.items()}
-    newest = max((v for v, _ in used), default=-1)
-    data = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/data")
-    files = data.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/data/v=*/bucket=*")):
-        path = folder.getPath()
-        place = (int(path.getParent().getName()[2:]), int(path.getName()[7:]))
-        if place[0] < newest and place not in used:
-            files.delete(path, True)
+def read_version(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a table that is overwritten (below ``before``); None before the first."""
+    state = commits.latest(spark, base, before)[1]
+    return None if state is None else spark.read.parquet(f"{base}/{state['folder']}")
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame | None:
-    version, places = manifest(spark, base)
-    if version >= 0:
-        return _read_buckets(spark, base, places)
-    version = current_version(spark, base)
-    return None if version < 0 else spark.read.parquet(f"{base}/v={version}")
+    """The current rows of a table that is overwritten or takes upserts; None before the first write."""
+    state = commits.latest(spark, base)[1]
+    return deltas.read(spark, base) if state and "buckets" in state else read_version(spark, base)

@@ -7,17 +7,16 @@ lost driver or executor goes on where the last finished batch ended.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stageloom.operators.cdc import change_apply, latest_per_key
+from stageloom.operators.cdc import latest_per_key
 from stageloom.operators.ordering import OrderKey
-from stageloom.operators.windows import budget_alerts
-from stageloom.sources.sinks import overwrite, upsert_buckets
+from stageloom.sources import deltas
+from stageloom.streaming import stateful
 
 
 def read_files(
@@ -58,23 +57,6 @@ def per_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int
     )
 
 
-def version_before(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
-    """Newest complete version older than a batch, so that a repeated batch reads the same input."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        top = (
-            spark.read.schema("version long")
-            .parquet(f"{base}/pointer")
-            .where(F.col("version") < batch_id)
-            .agg(F.max("version"))
-            .first()[0]
-        )
-    except AnalysisException:
-        return None
-    return None if top is None else spark.read.parquet(f"{base}/v={top}")
-
-
 def apply_changes(
     stream: DataFrame,
     base: str,
@@ -82,11 +64,12 @@ def apply_changes(
     order: Sequence[OrderKey],
     checkpoint: str,
 ) -> None:
-    """Upsert each batch into a bucketed table; the last change per key wins."""
+    """Upsert each batch as a delta; the last change per key wins. A repeated batch changes nothing."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         changes = latest_per_key(batch, keys, order)
-        upsert_buckets(changes, base, keys, lambda old, new: change_apply(old, new, keys), version=batch_id)
+        deltas.upsert(changes, base, keys, batch=(checkpoint, batch_id))
+        deltas.compact(batch.sparkSession, base)
 
     per_batch(stream, checkpoint, step)
 
@@ -100,11 +83,9 @@ def keep_latest(
 ) -> None:
     """One row per key, the last in the given order over all batches, whatever order they come in."""
 
-    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        return new if old is None else latest_per_key(old.unionByName(new), keys, order)
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        upsert_buckets(latest_per_key(batch, keys, order), base, keys, merge, version=batch_id)
+        deltas.upsert(batch, base, keys, order, batch=(checkpoint, batch_id))
+        deltas.compact(batch.sparkSession, base)
 
     per_batch(stream, checkpoint, step)
 
@@ -122,95 +103,76 @@ def usage_per_window(
     )
 
 
-def drop_repeats(stream: DataFrame, ts: str, keys: Sequence[str], ttl: str) -> DataFrame:
-    """First request of a key within the TTL."""
-    return (
-        event_time(stream, ts).withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
-    )
+def drop_repeats(stream: DataFrame, ts: str, keys: Sequence[str], ttl: str, late: str | None = None) -> DataFrame:
+    """First request of a key, and the first one later than the TTL after the last kept one.
 
+    Start the query inside ``stateful.rocksdb_state``. ``late`` says how late a request may arrive (the TTL if not given); a
+    key's state goes when the watermark has passed its TTL.
+    """
+    return stateful.first_within(stream, ts, late or ttl, keys, _millis(stream.sparkSession, ttl))
 
-@contextmanager
-def merged_sessions(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside merge sessions before the shuffle; the session's setting comes back afterwards."""
-    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, True)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
 
+def _millis(spark: SparkSession, interval: str) -> int:
+    """An interval such as ``10 minutes`` in milliseconds."""
+    zero = F.lit(0).cast("timestamp")
+    return spark.range(1).select(F.unix_millis(zero + F.expr(f"INTERVAL {interval}"))).first()[0]
 
-def sessions(
-    stream: DataFrame, ts: str, key: str, gap: str, late: str, cost: str
-) -> DataFrame:
-    """Requests and cost per session of a key.
 
-    Start the query inside ``merged_sessions`` to merge sessions in each input task before the shuffle, so
-    that a hot key sends sessions and not rows.
+def sessions(stream: DataFrame, ts: str, key: str, gap: str, late: str, cost: str) -> DataFrame:
+    """Changes of a key's sessions: requests, cost, and sessions that a late row joined to another (``gone``).
+
+    Write with ``write_changes`` by key and session_start, inside ``stateful.rocksdb_state``.
     """
-    return (
-        event_time(stream, ts)
-        .withWatermark(ts, late)
-        .groupBy(F.session_window(ts, gap).alias("session"), key)
-        .agg(
-            F.count(F.lit(1)).alias("requests"),
-            F.sum(F.col(cost).cast("decimal(18,2)")).alias("cost"),
-        )
-        .select(key, F.col("session.start").alias("session_start"), "requests", "cost")
-    )
+    return stateful.session_changes(stream, ts, late, [key], _millis(stream.sparkSession, gap), cost)
+
 
+def write_changes(
+    result: DataFrame, out: str, keys: Sequence[str], checkpoint: str, deleted: str | None = None
+) -> list[dict]:
+    """Upsert what every batch changed of a result into a keyed table; the query's progress by batch.
 
-def write_complete(result: DataFrame, out: str, checkpoint: str) -> None:
-    """Keep the latest full result of an aggregation as a versioned table."""
+    In update mode a batch gives only the windows or sessions that its rows touched, and state that the watermark has passed is
+    dropped. A repeated batch changes nothing.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        overwrite(batch, out, version=batch_id)
+        deltas.upsert(batch, out, keys, deleted=deleted, batch=(checkpoint, batch_id))
+        deltas.compact(batch.sparkSession, out)
 
-    run_once(
-        result.writeStream.outputMode("complete")
+    query = (
+        result.writeStream.outputMode("update")
         .foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    run_once(query)
+    return query.recentProgress
 
 
 def running_budget(
     stream: DataFrame,
-    base: str,
+    out: str,
     key: Sequence[str],
     order: Sequence[OrderKey],
     cost: str,
     budget: float,
     checkpoint: str,
+    ts: str = "ts",
+    late: str = "0 seconds",
+    ttl: str | None = None,
+    threshold: float = 0.8,
 ) -> None:
-    """Rows with the running total of their key and an alert flag.
+    """Append rows with the running total of their key and an ``ok`` / ``near`` / ``over`` flag to a parquet folder, each once.
 
-    Totals of earlier batches are a small versioned table (one row per key) that joins the
-    batch; inside the batch the running sum is the batch operator, which splits hot keys.
+    The totals are state of the query. With ``ttl`` a key that is silent for that long starts again at zero.
     """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = version_before(spark, f"{base}/totals", batch_id)
-        rows = budget_alerts(batch, key, order, cost, budget, carried=before)
-        overwrite(rows, f"{base}/rows/batch={batch_id}", version=0)
-        added = batch.groupBy(*key).agg(
-            F.sum(F.col(cost).cast("decimal(18,4)")).cast("decimal(28,4)").alias("carried_total")
-        )
-        if before is not None:
-            added = (
-                before.unionByName(added)
-                .groupBy(*key)
-                .agg(F.sum("carried_total").cast("decimal(28,4)").alias("carried_total"))
-            )
-        overwrite(added, f"{base}/totals", version=batch_id)
-
-    per_batch(stream, checkpoint, step)
-
-
-def read_budget_rows(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.parquet"
-    ).parquet(f"{base}/rows/*/v=0")
+    ttl_ms = None if ttl is None else _millis(stream.sparkSession, ttl)
+    rows = stateful.running_totals(stream, ts, late, key, order, cost, ttl_ms)
+    total = (F.col("running_").cast("decimal(28,4)") / stateful.UNITS).cast("decimal(28,4)")
+    bound = F.lit(str(budget)).cast("decimal(18,4)")
+    near = F.lit(str(threshold)).cast("decimal(8,4)") * bound
+    flag = F.when(total >= bound, "over").when(total >= near, "near").otherwise("ok")
+    rows = rows.withColumns({"alert": flag, "running_total": total.cast("double"), cost: F.col("units_").cast("double") / stateful.UNITS})
+    with stateful.rocksdb_state(stream.sparkSession):
+        ingest(rows.drop("running_", "units_"), out, checkpoint)

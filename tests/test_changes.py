@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pyarrow.parquet as pq
+import pytest
 from table_rows import rows
 from pyspark.sql import functions as F
 
@@ -5,7 +9,7 @@ from stageloom import scratch
 from stageloom.operators import cdc as C
 from stageloom.operators import usage as U
 from stageloom.operators.joins import LookupSpec, lookup
-from stageloom.sources import files, sinks
+from stageloom.sources import commits, deltas, files, sinks
 
 DIM = "id long, name string, effective_start_date date, effective_end_date date, is_current boolean"
 
@@ -74,27 +78,162 @@ def test_scratch_lies_in_the_shared_folder_and_can_be_cleared(spark):
     assert os.listdir(parent)
 
 
-def test_a_run_leaves_untouched_buckets_as_they_were(spark, tmp_path):
-    import os
+def row_files(base):
+    """Rows of every parquet file below a table's data folder, by path."""
+    return {str(p): pq.ParquetFile(p).metadata.num_rows for p in Path(base, "data").rglob("*.parquet")}
+
+
+def table(spark, n, tag="a", first=0):
+    return spark.range(first, first + n).select(F.col("id").alias("k"), F.concat(F.lit(tag), F.col("id")).alias("v"))
 
-    def files():
-        return {
-            os.path.join(folder, f): os.path.getmtime(os.path.join(folder, f))
-            for folder, _, names in os.walk(tmp_path / "t" / "target" / "data") for f in names if f.endswith(".parquet")
-        }
 
+def test_an_upsert_writes_its_own_rows_and_not_the_table(spark, tmp_path):
+    base = str(tmp_path / "t")
+    deltas.upsert(table(spark, 20_000), base, ["k"])
+    deltas.compact(spark, base, rows_per_bucket=500)
+    before = row_files(base)
+    assert sum(before.values()) >= 20_000
+    spread = spark.range(1000).select((F.col("id") * 20).alias("k"), F.lit("new").alias("v"))
+    deltas.upsert(spread, base, ["k"])
+    added = {f: n for f, n in row_files(base).items() if f not in before}
+    assert sum(added.values()) == 1000
+    got = deltas.read(spark, base)
+    assert got.count() == 20_000 and got.where("v = 'new'").count() == 1000 and got.where("v = 'new' AND k % 20 > 0").isEmpty()
+
+
+def test_large_buckets_split_and_small_folds_leave_the_others_alone(spark, tmp_path):
+    base = str(tmp_path / "t")
+    deltas.upsert(table(spark, 1000), base, ["k"])
+    assert deltas.compact(spark, base, rows_per_bucket=100) == 1
+    state = commits.latest(spark, base)[1]
+    assert len(state["buckets"]) == 16 and max(b["rows"] for b in state["buckets"]) < 150 and not state["deltas"]
+    whole = rows(deltas.read(spark, base))
+    assert whole == rows(table(spark, 1000))
+    deltas.upsert(table(spark, 3, "b"), base, ["k"])
+    assert deltas.compact(spark, base, rows_per_bucket=100) == 0  # three rows are not worth a rewrite
+    deltas.upsert(table(spark, 2000, "c", 1000), base, ["k"])
+    assert deltas.compact(spark, base, rows_per_bucket=100) == 16
+    state = commits.latest(spark, base)[1]
+    assert len(state["buckets"]) > 16 and sum(b["rows"] for b in state["buckets"]) == 3000 and not state["deltas"]
+    want = sorted([*((k, f"b{k}") for k in range(3)), *((k, f"a{k}") for k in range(3, 1000)), *((k, f"c{k}") for k in range(1000, 3000))], key=str)
+    assert rows(deltas.read(spark, base)) == want
+
+
+def test_two_interleaved_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """A second upsert, and a third, commit between what the first reads and what it publishes."""
+    base = str(tmp_path / "t")
+    deltas.upsert(table(spark, 10), base, ["k"])
+    others, publish = [table(spark, 1, "second", 3), table(spark, 1, "third", 4)], commits.publish
+
+    def slow(*args):
+        if others:
+            deltas.upsert(others.pop(), base, ["k"])
+        return publish(*args)
+
+    monkeypatch.setattr(commits, "publish", slow)
+    deltas.upsert(table(spark, 1, "first", 5), base, ["k"])
+    got = dict(rows(deltas.read(spark, base)))
+    assert [got[k] for k in (2, 3, 4, 5)] == ["a2", "second3", "third4", "first5"] and len(got) == 10
+    assert commits.versions(spark, base)[-1] == 3
+
+
+def test_an_upsert_during_a_compaction_stays_and_a_second_compaction_gives_up(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "t")
+    deltas.upsert(table(spark, 50), base, ["k"])
+    publish, turns = commits.publish, ["upsert", "compact"]
+
+    def between(*args):
+        if turns:
+            turn = turns.pop(0)
+            deltas.upsert(table(spark, 1, "late"), base, ["k"]) if turn == "upsert" else None
+            if turn == "compact":
+                raise AssertionError("published twice")
+        return publish(*args)
+
+    def conflicting(*args):
+        monkeypatch.setattr(commits, "publish", publish)
+        deltas.compact(spark, base)
+        return publish(*args)
+
+    turns.pop()
+    monkeypatch.setattr(commits, "publish", between)
+    assert deltas.compact(spark, base) == 1
+    assert dict(rows(deltas.read(spark, base)))[0] == "late0"
+    deltas.upsert(table(spark, 40, "z"), base, ["k"])
+    monkeypatch.setattr(commits, "publish", conflicting)
+    with pytest.raises(commits.ConcurrentCommit):
+        deltas.compact(spark, base)
+    got = dict(rows(deltas.read(spark, base)))
+    assert got[39] == "z39" and got[40] == "a40" and len(got) == 50
+
+
+def test_two_overwrites_of_one_version_raise(spark, tmp_path, monkeypatch):
+    base, publish = str(tmp_path / "t"), commits.publish
+    sinks.overwrite(spark.range(3), base)
+
+    def late(*args):
+        monkeypatch.setattr(commits, "publish", publish)
+        sinks.overwrite(spark.range(5), base)
+        return publish(*args)
+
+    monkeypatch.setattr(commits, "publish", late)
+    with pytest.raises(commits.ConcurrentCommit):
+        sinks.overwrite(spark.range(7), base)
+    assert sinks.read_current(spark, base).count() == 5
+    assert sinks.overwrite(spark.range(9), base, version=1) == 1  # a repeated batch is left as it is
+    assert sinks.read_current(spark, base).count() == 5
+    for n in range(4):
+        sinks.overwrite(spark.range(n), base)
+    assert len([p for p in Path(base).iterdir() if p.name.startswith("v=")]) == commits.KEPT
+
+
+def test_upserts_with_odd_keys_new_columns_removals_and_order(spark, tmp_path):
+    base = str(tmp_path / "t")
+    df = lambda data, extra="": spark.createDataFrame(data, f"a long, b string, v int{extra}")
+    assert deltas.read(spark, base) is None and deltas.compact(spark, base) == 0
+    deltas.upsert(df([(1, "x", 1), (1, "x", 2), (None, "x", 3), (None, "x", 3), (2, None, 4), (3, "y", 5)]), base, ["a", "b"])
+    assert rows(deltas.read(spark, base)) == sorted([(1, "x", 2), (None, "x", 3), (None, "x", 3), (2, None, 4), (3, "y", 5)], key=str)
+    deltas.compact(spark, base, rows_per_bucket=2)
+    deltas.upsert(df([(3, "y", 0, "n", True), (1, "x", 9, "new", False), (None, "x", 3, None, None)], ", w string, gone boolean"), base, ["a", "b"], deleted="gone")
+    want = sorted([(1, "x", 9, "new"), (None, "x", 3, None), (None, "x", 3, None), (None, "x", 3, None), (2, None, 4, None)], key=str)
+    assert rows(deltas.read(spark, base), "a", "b", "v", "w") == want
+    deltas.compact(spark, base, share=0)
+    assert rows(deltas.read(spark, base), "a", "b", "v", "w") == want
+    ordered = str(tmp_path / "o")
+    for batch, data in enumerate([[(1, "x", 5), (2, "x", 1)], [(1, "x", 3), (2, "x", 7)], [(1, "x", 4)]]):
+        assert deltas.upsert(df(data), ordered, ["a", "b"], ["v"], batch=("s", batch))
+        assert not deltas.upsert(df([(1, "x", 99)]), ordered, ["a", "b"], ["v"], batch=("s", batch))
+        deltas.compact(spark, ordered)
+        deltas.upsert(df([]), ordered, ["a", "b"], ["v"])
+    assert rows(deltas.read(spark, ordered)) == [(1, "x", 5), (2, "x", 7)]
+
+
+def test_late_rows_at_the_bookmark_and_rows_without_a_key_are_read_once(spark):
+    df = lambda data: spark.createDataFrame(data, "id long, at int")
+    source, seen, last, got = [], None, None, []
+    for arrivals in ([(1, 4), (2, 5), (3, None)], [(4, 5), (5, None)], [], [(6, 6), (7, 5), (8, 6)], [(9, 6), (3, 7)]):
+        source += arrivals
+        fresh, last = files.incremental_read(df(source), "at", last, seen)
+        got.append(rows(fresh))
+        seen = scratch.materialise(files.bookmark_rows(fresh, "at", last, seen), "seen")
+    # (7, 5) came when the bookmark had moved on to 6 in the same read; rows below the bookmark count as read.
+    assert got == [[(1, 4), (2, 5), (3, None)], [(4, 5), (5, None)], [], [(6, 6), (7, 5), (8, 6)], [(3, 7), (9, 6)]]
+    assert last == 7 and rows(seen) == [(3, 7), (3, None), (5, None)]
+
+
+def test_a_run_reads_late_rows(spark, tmp_path):
     base = str(tmp_path / "t")
-    df = lambda rows_: spark.createDataFrame(rows_, "k long, seq long, v string")
-    run = lambda rows_: C.cdc_run(df(rows_), base, ["k"], "seq", ["seq"])
-    assert run([(k, 1, "a") for k in range(200)])
-    before = files()
-    assert len(before) > 20
-    assert run([(7, 2, "b")]) and not run([(7, 2, "b")])
-    after = files()
-    new = after.keys() - before.keys()
-    assert len(new) == 1 and all(after[f] == t for f, t in before.items())
-    got = dict(rows(sinks.read_current(spark, f"{base}/target"), "k", "v"))
-    assert len(got) == 200 and got[7] == "b" and got[8] == "a"
-    assert run([(7, 3, "c")]) and run([(7, 4, "d")])
-    assert len(files()) == len(before) - 1 + 2  # of bucket 7 the last two versions stay
-    assert dict(rows(sinks.read_current(spark, f"{base}/target"), "k", "v"))[7] == "d"
+    df = lambda data: spark.createDataFrame(data, "k long, seq long, v string")
+    first = [(1, 5, "a"), (2, 5, "a"), (3, None, "a")]
+    assert C.cdc_run(df(first), base, ["k"], "seq", ["seq"]) and not C.cdc_run(df(first), base, ["k"], "seq", ["seq"])
+    assert C.cdc_run(df([*first, (4, 5, "late"), (5, None, "none")]), base, ["k"], "seq", ["seq"])
+    assert not C.cdc_run(df([*first, (4, 5, "late"), (5, None, "none")]), base, ["k"], "seq", ["seq"])
+    assert rows(sinks.read_current(spark, f"{base}/target"), "k") == [(k,) for k in range(1, 6)]
+
+
+def test_changes_are_joined_with_one_scan_a_side(spark, tmp_path, plan_of):
+    spark.range(50).selectExpr("id", "id * 2 AS v").write.parquet(str(tmp_path / "a"))
+    spark.range(20, 70).selectExpr("id", "id * 3 AS v").write.parquet(str(tmp_path / "b"))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    for df in (C.merge_upsert(a, b, ["id"]), C.change_capture(a, b, ["id"])):
+        assert plan_of(df).count("FileScan") == 2

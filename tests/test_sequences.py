@@ -132,6 +132,14 @@ def test_structure_diff(spark):
     assert rows(Q.parameter_only(pairs, diff)) == [("t", "j", False), ("t", "k", True), ("t", "t", True)]
 
 
+def test_a_repeated_property_takes_its_last_value(spark):
+    data = [("b", "s", "P", "1", 0), ("b", "s", "P", "0", 1), ("o", "s", "P", "9", 0), ("o", "s", "P", "0", 1), ("o", "s", "Q", "x", 2), ("b", "t", None, None, 0), ("o", "t", None, None, 0)]
+    properties = spark.createDataFrame(data, "id string, name string, property string, value string, position int")
+    pairs = spark.createDataFrame([("b", "o")], "base_id string, other_id string")
+    assert rows(Q.structure_diff(pairs, properties), "name", "change", "property", "to_value") == [("s", "changed", "Q", "x")]
+    assert rows(Q.structure_diff(pairs, properties.drop("position")), "property", "from_value", "to_value") == [("P", "1", "9"), ("Q", None, "x")]
+
+
 def test_roles_and_layout(spark):
     stages = spark.createDataFrame(
         [("j", 0, "first", "OracleConnectorPX"), ("j", 1, "second", "OracleConnectorPX"), ("j", 2, "my_tgt", "SequentialFile"),
@@ -246,6 +254,31 @@ def random_sequences(seed):
     return seqs
 
 
+def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """Stored tables follow the logarithm of the chain; a branch behind it, a shortcut and a cycle."""
+    from stageloom.operators import graph
+
+    stored, materialise = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, label: stored.append(label) or materialise(df, label))
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").cast("string").alias("from_stage"), (F.col("id") + 1).cast("string").alias("to_stage"))
+    more = [(str(n), "x"), (str(n), "y"), ("x", "z"), ("y", "z"), ("0", "z"), ("c", "d"), ("d", "c"), ("c", "e"), ("p", "q"), ("q", "p")]
+    got = dict(rows(topological_levels(chain.unionByName(spark.createDataFrame(more, "from_stage string, to_stage string")))))
+    assert len(got) == n + 4 and all(got[str(k)] == k for k in range(0, n + 1, 617))
+    assert (got["x"], got["y"], got["z"]) == (n + 1, n + 1, n + 2)
+    assert len(stored) < 40
+
+
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        links = {(str(min(p)), str(max(p))) for p in (rng.sample(range(40), 2) for _ in range(45))}
+        level = {}
+        for v in sorted({x for link in links for x in link}, key=int):
+            level[v] = max((level[a] + 1 for a, b in links if b == v), default=0)
+        assert dict(rows(topological_levels(spark.createDataFrame(sorted(links), "from_stage string, to_stage string")))) == level
+
+
 @pytest.mark.parametrize("seed,t", [(1, 0.85), (3, 0.7)])
 def test_similar_pairs_and_clusters_match_brute_force(spark, seed, t):
     seqs = random_sequences(seed)
@@ -278,6 +311,25 @@ def test_similar_pairs_use_no_cartesian_product(spark, plan_of):
 EDGES = [([], []), ([], ["a"]), (["a", "b"], ["a", "b"]), (["a", "b", "c"], ["c", "b", "a"]), (["a", "a", "b"], ["a", "b"]), (list("abca"), list("bcad"))]
 
 
+def test_common_subsequences_over_several_words_and_without_python(spark, plan_of):
+    rng = random.Random(9)
+    pairs = [([rng.choice("abcd") for _ in range(rng.choice(sizes))], [rng.choice("abcde") for _ in range(rng.choice(sizes))])
+             for sizes in ([0, 1, 5], [61, 62, 63], [124, 125, 200]) for _ in range(8)]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = df.select("i", S.lcs_length(F.col("a"), F.col("b")).alias("n"))
+    assert [n for _, n in sorted(tuple(r) for r in got.collect())] == [plain(a, b) for a, b in pairs]
+    assert "Python" not in plan_of(got) and "Arrow" not in plan_of(got)
+
+
 def test_sequence_edge_cases(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(EDGES)], "i int, a array<string>, b array<string>")
     m, n = F.size("a"), F.size("b")

@@ -171,6 +171,14 @@ def test_block_text(spark, tmp_path):
     assert len(errors) == 1 and "CUT" in errors[0].line
 
 
+def test_a_broken_older_file_gives_an_error_row(spark, tmp_path):
+    (tmp_path / "good.xml").write_text('<ROOT><JOB NAME="j"><STAGE NAME="s" STGTYPE="T"></STAGE></JOB></ROOT>')
+    (tmp_path / "bad.xml").write_text('<ROOT><JOB NAME="k"><STAGE NAME="s"><Oops></STAGE></JOB></ROOT>')
+    out = G.read_older_xml(spark, str(tmp_path))
+    assert rows(out["jobs"], "job_id") == [("j",)] and rows(out["stages"], "job_id", "name") == [("j", "s")]
+    assert [r.path.rsplit("/", 1)[1] for r in out["errors"].collect()] == ["bad.xml"]
+
+
 def test_content_hash(spark, tmp_path):
     import hashlib
 
