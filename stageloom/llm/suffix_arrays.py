@@ -87,14 +87,12 @@ def _regroup(suffixes: np.ndarray, keys: np.ndarray, places: np.ndarray, rank: n
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """For each place but the first of the order, how many bytes (at most ``limit``) it shares with the place before.
+    """For each place of an order of some or all suffixes, how many bytes (at most ``limit``) it shares with the place before.
 
     Kasai's rule by position: where a suffix and its predecessor are themselves preceded by equal bytes, the count is one
     less than that of the position before. Only the other positions are compared, eight bytes at a time.
     """
     n = len(data)
-    if n < 2:
-        return np.zeros(n, dtype=np.int64)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     at = np.arange(n)
@@ -105,13 +103,16 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     compared = np.flatnonzero(~follows & (before >= 0))
     shared_bytes = np.zeros(n, dtype=np.int64)
     padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    words = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1))
+    words = np.ndarray((n + 1,), dtype="<u8", buffer=padded.data, strides=(1,))  # the eight bytes from every position on
     live, done = compared, 0
     while len(live) and done < limit + BREAK:
         a, b = live + done, before[live] + done
-        room = n - np.maximum(a, b)
-        same = (words[np.minimum(a, n)] == words[np.minimum(b, n)]) & (np.arange(8) < room[:, None])
-        length = np.where(same.all(axis=1), 8, same.argmin(axis=1))
+        differ = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
+        length = np.full(len(live), 8, dtype=np.int64)
+        some = np.flatnonzero(differ)
+        lowest = differ[some] & (~differ[some] + tx.U64(1))
+        length[some] = (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3
+        length = np.minimum(length, np.maximum(n - np.maximum(a, b), 0))
         shared_bytes[live] += length
         live, done = live[length == 8], done + 8
     # From each compared position the counts fall by one a step.
@@ -131,10 +132,10 @@ def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     np.add.at(inside, ends - width + 1, -1)
     inside = np.cumsum(inside[:-1]) > 0
     order, _ = suffix_array(data, width)
+    order = order[inside[order]]
     alike = np.cumsum(common_prefixes(data, order, width) < width)
-    class_of = np.empty(len(data), dtype=np.int64)
-    class_of[order] = alike
-    repeated = inside & (np.bincount(class_of[inside], minlength=len(data) + 1)[class_of] > 1)
+    repeated = np.zeros(len(data), dtype=bool)
+    repeated[order] = np.bincount(alike)[alike] > 1
     return [repeated[a : b - width + 1] for a, b in zip(starts, ends, strict=True)]
 
 
@@ -235,8 +236,10 @@ def _pack_keys(width: int, bits: int, limit: int):
             edges = np.flatnonzero(change | ((np.arange(len(keys)) - run_at) % LONGEST_RUN == 0))
             windows = np.diff(np.concatenate((edges, [len(keys)])))
             docs = np.column_stack([batch.column(c).to_numpy() for c in ("tag", "tag2")] + [base])
-            own, more = doc[edges], np.concatenate((more, keys[edges][windows > width - max(1, width // 4)]))
-            rows = _packed_rows((task << 32) | serial, docs, own, starts[edges] - offsets[own], windows, keys[edges], more, bits)
+            own, keys = doc[edges], keys[edges]
+            more = np.concatenate((more, keys[windows > width - max(1, width // 4)]))
+            # Least hashes are small numbers: mixed anew, they spread over all value ranges.
+            rows = _packed_rows((task << 32) | serial, docs, own, starts[edges] - offsets[own], windows, tx.mix(keys), tx.mix(more), bits)
             yield from _batched(rows, _schema(_PACKED))
 
     return run
