@@ -286,8 +286,15 @@ def near_duplicates(
         F.greatest(F.ceil(F.count(F.lit(1)) / ROWS_PER_BLOCK), F.ceil(F.sum("n") / SHINGLES_PER_BLOCK)).cast("int").alias("blocks"),
         F.min("component").alias("least"),
         F.max("component").alias("most"),
+        F.min(F.struct("at", "grid")).alias("place"),
+        F.min("cell").alias("low"),
+        F.max("cell").alias("high"),
+        F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node"))).alias("members"),
     )
-    left = materialise(spread.join(sizes.where("least < most").select("band", "blocks"), "band").drop("n"), "open-buckets")
+    # On the second grid only pairs of different cells are looked at. Of buckets with the same members the one of the
+    # first band is enough: it holds every pair's first shared band.
+    open_ = sizes.where("least < most AND (place.grid = 0 OR low < high)").groupBy("members").agg(F.min_by(F.struct("band", "blocks"), "place").alias("b"))
+    left = materialise(spread.join(open_.select("b.*"), "band").drop("n"), "open-buckets")
     if not left.isEmpty():
         sets = materialise(_texts(left.select("node").distinct(), nodes, docs).mapInArrow(_sets(width), "node long, shingles binary"), "sets")
         own = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
