@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stageloom.llm import bpe, chat, classifier, decontam, fingerprints, hard_negatives, ppm, repeats, secret_scan, setsketch, suffix_arrays, urls
+from stageloom.llm import alignment, bpe, chat, classifier, decontam, fingerprints, hard_negatives, ppm, repeats, secret_scan, setsketch, suffix_arrays, urls
 from stageloom.llm.sql import BYTE_SQL, NEAR_SQL, NEGATIVE_SQL, REPEAT_SQL, URL_SQL
 from stageloom.scratch import materialise
 from stageloom.tables import load
@@ -102,6 +102,11 @@ def op12_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.remove_repeated_bytes(load(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(load(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -117,6 +122,7 @@ QUERIES: dict[str, Query] = {
         op10_transcripts,
         op11_multi_index,
         op12_suffix_arrays,
+        op13_alignment,
     )
 } | {"pipeline": corpus_pipeline.run}
 
