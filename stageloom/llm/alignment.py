@@ -285,7 +285,8 @@ def align_documents(
     shared = spark.sparkContext.broadcast((known[0], known[1], known[2].astype(np.int64)))
     names = [f.name for f in fields if f.name not in ("a", "b", "times")]
     out = T.StructType([f for f in fields if f.name in names])
-    out = out.add("n_best", "long").add("count_sum", "long").add("rare", "array<long>").add("often", "array<long>")
+    lists = T.ArrayType(T.LongType())
+    out = out.add("n_best", T.LongType()).add("count_sum", T.LongType()).add("rare", lists).add("often", lists)
     result = encoded.mapInArrow(_summed_counts(shared, kinds, names), out)
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *names[6:]]
     if len(order) < known_pairs:
