@@ -84,9 +84,11 @@ class Side:
         found = self.encode(texts)
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum()))
-        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-        joined = b"".join(self.bytes.take(pa.array(ids)).to_pylist()) if len(ids) else b""
-        good = [joined[a:b] == w for a, b, w in zip(ends, ends[1:], wanted, strict=False)]
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))[np.concatenate(([0], np.cumsum(counts)))]
+        joined = tx.raw(self.bytes.take(pa.array(ids)))[0].tobytes()
+        if joined == b"".join(wanted) and np.array_equal(np.diff(ends), [len(w) for w in wanted]):
+            return ids, counts, np.ones(len(texts), dtype=bool)
+        good = [joined[a:b] == w for a, b, w in zip(ends[:-1].tolist(), ends[1:].tolist(), wanted, strict=True)]
         return ids, counts, np.array(good, dtype=bool)
 
 
