@@ -19,7 +19,11 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score by the rule ensemble, fitted on the labelled ones, is at least LEAST_QUALITY."""
+    """Documents whose score by the rule ensemble, fitted on the labelled ones, is at least LEAST_QUALITY.
+
+    NULL and empty texts are scored like others, rows with a NULL id by the same rules though they have no label; repeated rows
+    stay or go together. Without labels, or with those of one class, the smoothed share of good ones is every row's score.
+    """
     scored = classifier.with_statistics(docs)
     columns = classifier.statistic_columns(scored)
     narrow = classifier.with_statistics(docs.select("doc_id", "text"))
@@ -32,17 +36,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more.
+
+    The row of the smallest id stays, of equal rows one; a NULL id is greater than all others. Rows without words all stay.
+    """
     return setsketch.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no substitution-tolerant window with a benchmark item."""
+    """Documents that share no substitution-tolerant window with a benchmark item.
+
+    NULL and empty texts and items share nothing; rows of one id are judged by their own texts; without items all stay.
+    """
     return decontam.without_overlaps(docs, load(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark; n_chars follows the text."""
+    """All documents, secrets replaced by a mark; n_chars follows the text (0 for a NULL one, which stays NULL)."""
     masked = secret_scan.mask_secrets(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
@@ -50,7 +60,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes they decode to."""
+    """Token ids of every row, with digests of the ids and of the bytes they decode to; a NULL or empty text has none."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN)
 

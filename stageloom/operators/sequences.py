@@ -6,14 +6,10 @@ distinct steps with counts, runs, or the ordered steps for an order comparison.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from stageloom.functions.text import kind_ladder
 from stageloom.operators.ordering import OrderKey, first_per_group, group_number, ordered_scan
@@ -64,21 +60,15 @@ def bag_profiles(steps: DataFrame, key: str, step: str) -> DataFrame:
     return bags.withColumn("fingerprint", bag_fingerprint(F.col("bag.step"), F.col("bag.n")))
 
 
-@F.pandas_udf(StringType())
-def bag_fingerprint(steps: pd.Series, counts: pd.Series) -> pd.Series:
-    """md5 prefix over the sorted steps joined by '|', fed to the digest piece by piece at any length."""
+def bag_fingerprint(steps: Column, counts: Column) -> Column:
+    """md5 prefix over the sorted steps joined by '|': every step's repeats are written as one piece (2 GB of text at most)."""
 
-    def digest(names: np.ndarray, numbers: np.ndarray) -> str:
-        md5, joint = hashlib.md5(), b""
-        for name, n in zip(names, numbers, strict=True):
-            text = name.encode()
-            md5.update(joint + text)
-            joint = b"|"
-            for done in range(1, int(n), 10_000):
-                md5.update((joint + text) * min(10_000, int(n) - done))
-        return md5.hexdigest()[:16]
+    def piece(pair: Column) -> Column:
+        repeated = F.repeat(F.concat(pair["step"], F.lit("|")), pair["n"].cast("int"))
+        return F.left(repeated, F.char_length(repeated) - 1)
 
-    return pd.Series([digest(s, n) for s, n in zip(steps, counts, strict=True)])
+    pairs = F.zip_with(steps, counts, lambda s, n: F.struct(s.alias("step"), n.alias("n")))
+    return F.left(F.md5(F.array_join(F.transform(pairs, piece), "|")), F.lit(16))
 
 
 EMPTY_FINGERPRINT = "d41d8cd98f00b204"  # md5 prefix of the empty text

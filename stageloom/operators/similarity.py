@@ -59,18 +59,37 @@ def _place_words(a: Column, item: Column) -> Column:
 
 
 def _next_row(row: Column, met: Column) -> Column:
-    """``(row + both) | (row - both)`` for numbers of several words, ``both = row & met``; a carry goes on to the next word."""
-    full = F.lit((1 << WORD) - 1)
-    start = F.struct(F.array().cast("array<bigint>").alias("words"), F.lit(0).cast("long").alias("carry"))
+    """``(row + both) | (row - both)`` for numbers of several words, ``both = row & met``.
 
-    def add(acc: Column, pair: Column) -> Column:
-        both = pair["r"].bitwiseAND(pair["m"])
-        total = pair["r"] + both + acc["carry"]  # below 2 ** 63
-        word = total.bitwiseAND(full).bitwiseOR(pair["r"] - both)
-        return F.struct(F.concat(acc["words"], F.array(word)).alias("words"), F.shiftright(total, WORD).alias("carry"))
+    The carries of WORD words are kept as the bits of one BIGINT, so that a row is written once a step.
+    """
+    full, zero, one = F.lit((1 << WORD) - 1), F.lit(0).cast("long"), F.lit(1).cast("long")
+    pairs = F.zip_with(row, met, lambda r, m: F.struct(r.alias("r"), r.bitwiseAND(m).alias("both")))
+
+    def word(acc: Column, pair: Column) -> Column:
+        carry = F.shiftright(pair["r"] + pair["both"] + acc["carry"], WORD)  # the sum is below 2 ** 63
+        bits = acc["bits"] + F.when(acc["carry"] > 0, acc["place"]).otherwise(zero)
+        return F.struct(carry.alias("carry"), bits.alias("bits"), F.shiftleft(acc["place"], 1).alias("place"))
+
+    def carries_of(pairs: Column) -> Column:
+        def block(acc: Column, at: Column) -> Column:
+            start = F.struct(acc["carry"].alias("carry"), zero.alias("bits"), one.alias("place"))
+            walked = F.aggregate(F.slice(pairs, at * WORD + 1, WORD), start, word)
+            return _once(walked, lambda w: F.struct(w["carry"].alias("carry"), F.concat(acc["blocks"], F.array(w["bits"])).alias("blocks")))
+
+        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("blocks"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / WORD).cast("int"))
+        return F.aggregate(blocks, start, block, lambda acc: acc["blocks"])
+
+    def added(x: Column) -> Column:
+        def new(pair: Column, at: Column) -> Column:
+            bits = F.get(x["carries"], F.floor(at / WORD).cast("int"))
+            carry = F.call_function("shiftright", bits, F.pmod(at, F.lit(WORD))).bitwiseAND(one)
+            return (pair["r"] + pair["both"] + carry).bitwiseAND(full).bitwiseOR(pair["r"] - pair["both"])
 
-    pairs = F.zip_with(row, met, lambda r, m: F.struct(r.alias("r"), m.alias("m")))
-    return F.aggregate(pairs, start, add, lambda acc: acc["words"])
+        return F.transform(x["pairs"], new)
+
+    return _once(pairs, lambda p: _once(F.struct(p.alias("pairs"), carries_of(p).alias("carries")), added))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -274,11 +293,22 @@ def similar_pairs(patterns: DataFrame, t: float = 0.85) -> DataFrame:
     sets = patterns.where(F.col("n_steps") > 0).select(
         "id", "n_steps", F.sort_array(F.transform("steps", lambda s: F.xxhash64(s))).alias("h")
     )
-    short = sets.where(F.size("h") <= SUBSET_LIMIT)
-    candidates = (
+    # Candidates depend on the set and the length alone: patterns that share both are one form while they are sought.
+    sets = materialise(sets, "sets")
+    forms = materialise(sets.groupBy("h", "n_steps").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "forms")
+    short = forms.where(F.size("h") <= SUBSET_LIMIT)
+    form_pairs = (
         _subset_candidates(short, t, permille)
-        .unionByName(_prefix_candidates(sets, t, permille))
+        .unionByName(_prefix_candidates(forms, t, permille))
         .distinct()
+        .unionByName(forms.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    )
+    of_form = sets.join(forms.select("h", "n_steps", F.col("id").alias("form")), ["h", "n_steps"]).select("form", "id")
+    candidates = (
+        form_pairs.join(of_form.select(F.col("form").alias("a"), F.col("id").alias("x")), "a")
+        .join(of_form.select(F.col("form").alias("b"), F.col("id").alias("y")), "b")
+        .where("a <> b OR x < y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
     side = lambda p: patterns.select(
         F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n_steps", "steps", "counts", "seq")]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -244,11 +249,46 @@ def read_job_blocks(
     }
 
 
-def content_hash(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """sha256 of each file as stored."""
+#: What one value of a row can hold: larger files are read in blocks.
+LARGEST_FILE = (1 << 31) - 16
+BLOCK_BYTES = 8 << 20
+
+
+def _block_digests(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                scheme, _, rest = path.partition(":")
+                if scheme == "file":
+                    files, place = pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    files, place = pa.fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
+                digest = hashlib.sha256()
+                with files.open_input_stream(place, compression=None) as stream:
+                    while part := stream.read(block):
+                        digest.update(part)
+                yield pa.RecordBatch.from_pydict({"path": [path], "content_hash": [digest.hexdigest()]})
+
+    return run
+
+
+def content_hash(
+    spark: SparkSession, path: str, pattern: str | None = None, largest: int = LARGEST_FILE, block: int = BLOCK_BYTES
+) -> DataFrame:
+    """sha256 of each file as stored, of any size; empty files have no row, as in all of Spark's file sources.
+
+    Files up to ``largest`` bytes are rows of the file source. Larger ones, which no row can hold, are read by one task each in
+    blocks of ``block`` bytes, with constant memory, through Arrow's file systems (local disks, HDFS, S3, GCS).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select(
-        "path", F.sha2(F.col("content"), 256).alias("content_hash")
-    )
+    files = reader.load(path)
+    small = files.where(F.col("length") <= largest).select("path", F.sha2(F.col("content"), 256).alias("content_hash"))
+    # Without their content, files are a few bytes a row: one task each by their names.
+    large = files.where(F.col("length") > largest).select("path")
+    if large.isEmpty():
+        return small
+    tasks = max(1, min(large.count(), 10_000))
+    hashed = large.repartition(tasks, "path").mapInArrow(_block_digests(block), "path string, content_hash string")
+    return small.unionByName(hashed)

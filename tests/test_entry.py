@@ -14,7 +14,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 SAMPLE = """aggregate_basic apply_mapping switch_route surrogate_key_continue lookup_chain merge_upsert scd2
 change_capture window_rank chunk_groups collapse_runs pivot_stage group_members fn_clean_text fn_extract_block
 check_reconcile complexity_score priority_waves similar_pairs similarity_clusters order_similarity cosine_top1
-topological_levels structure_diff session_summary plan_cost stream_upsert""".split()
+topological_levels structure_diff session_summary plan_cost stream_upsert upsert_delta upsert_compact incremental_read
+window_offsets window_frames window_range custom_groups content_hash bag_fingerprint export_flat job_xml_files job_older_xml
+join_full stream_sessions""".split()
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import os
 
 import pytest
@@ -184,3 +185,14 @@ def test_content_hash(spark, tmp_path):
 
     (tmp_path / "x.dsx").write_bytes(b"abc")
     assert G.content_hash(spark, str(tmp_path)).first().content_hash == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_large_files_are_hashed_in_blocks(spark, tmp_path):
+    (tmp_path / "deep er").mkdir()
+    contents = {"a.bin": b"\x00\xff" * 500, "deep er/b.gz": gzip.compress(b"packed" * 100), "d": b"1234567890", "e": b"12345678901"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = sorted((name.rsplit("/", 1)[-1], hashlib.sha256(content).hexdigest()) for name, content in contents.items())
+    for largest, block in ((10, 7), (10, 1 << 20), (0, 1), (1 << 20, 7)):
+        got = G.content_hash(spark, str(tmp_path), largest=largest, block=block).collect()
+        assert sorted((r.path.rsplit("/", 1)[-1], r.content_hash) for r in got) == want
