@@ -222,6 +222,6 @@ def cdc_run(
     if fresh.isEmpty():
         return False
     deltas.upsert(latest_per_key(fresh, keys, order), f"{base}/target", keys)
-    deltas.compact(spark, f"{base}/target")
+    deltas.tidy(spark, f"{base}/target")
     overwrite(bookmark_rows(fresh, bookmark, top, seen), f"{base}/bookmark")
     return True

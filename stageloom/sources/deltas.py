@@ -26,6 +26,8 @@ from stageloom.sources import commits
 ROWS_PER_BUCKET = 4_000_000
 #: A bucket is folded once its deltas hold this share of its rows.
 FOLD_SHARE = 0.1
+#: Deltas that wait before ``tidy`` looks at them, and that a reader has to put together at most.
+SOME_DELTAS, MOST_DELTAS = 8, 64
 HASH_BITS = 30
 _HASH, _VERSION, _DELETED, _BUCKET = "_hash", "_version", "_deleted", "_bucket"
 
@@ -106,9 +108,11 @@ def _deltas(spark: SparkSession, base: str, state: dict) -> DataFrame | None:
     """Rows of deltas that their bucket has not folded yet, with version and bucket."""
     if not state["deltas"]:
         return None
-    parts = [
-        spark.read.parquet(f"{base}/{d['folder']}").withColumn(_VERSION, F.lit(d["version"]).cast("long")) for d in state["deltas"]
-    ]
+    parts = []
+    for d in state["deltas"]:
+        rows = spark.read.parquet(f"{base}/{d['folder']}")
+        # A gathered delta holds rows of several versions and says which.
+        parts.append(rows if d.get("gathered") else rows.withColumn(_VERSION, F.lit(d["version"]).cast("long")))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     rows = rows.withColumn(_BUCKET, _bucket_name(state["buckets"]))
     # One row for each bucket that has folded something.
@@ -161,6 +165,45 @@ def _children(bucket: dict, rows: int, limit: int) -> list[dict]:
     return [bucket | {"depth": depth, "bits": bucket["bits"] | (i << bucket["depth"])} for i in range(1 << more)]
 
 
+def tidy(spark: SparkSession, base: str) -> None:
+    """What a job does after each of many small upserts: nothing while few deltas wait, else fold what is worth it and gather the rest."""
+    state = commits.latest(spark, base)[1]
+    if state is None or len(state["deltas"]) < SOME_DELTAS:
+        return
+    compact(spark, base)
+    state = commits.latest(spark, base)[1]
+    if len(state["deltas"]) >= MOST_DELTAS:
+        gather(spark, base)
+
+
+def gather(spark: SparkSession, base: str) -> bool:
+    """Write all deltas as one, with the last row of each key; buckets stay as they are. False if there are fewer than two.
+
+    Upserts and compactions may go on meanwhile: rows that a bucket has folded by then are passed over by their version.
+    """
+    state = commits.latest(spark, base)[1]
+    if state is None or len(state["deltas"]) < 2:
+        return False
+    old, folder = {d["folder"] for d in state["deltas"]}, f"data/{uuid.uuid4().hex}"
+    rows = materialise(_deltas(spark, base, state), "live-deltas")
+    rows = last_per_key(rows, state["keys"], [*_order(state), _VERSION]).drop(_BUCKET)
+    rows.hint("rebalance").write.parquet(f"{base}/{folder}")
+    newest = max(d["version"] for d in state["deltas"])
+    while True:
+        at, now = commits.latest(spark, base)
+        rest = [d for d in now["deltas"] if d["folder"] not in old]
+        if len(rest) == len(now["deltas"]):
+            commits.drop_folder(spark, base, folder)  # all were folded or gathered by another job
+            return False
+        if any(d.get("gathered") and d["version"] >= newest for d in rest):
+            commits.drop_folder(spark, base, folder)
+            raise commits.ConcurrentCommit(f"another job gathered the deltas of {base}")
+        now["deltas"] = [{"folder": folder, "version": newest, "gathered": True}, *rest]
+        if commits.publish(spark, base, at + 1, now):
+            commits.prune(spark, base)
+            return True
+
+
 def compact(
     spark: SparkSession, base: str, rows_per_bucket: int = ROWS_PER_BUCKET, share: float = FOLD_SHARE
 ) -> int:

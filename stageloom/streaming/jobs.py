@@ -69,7 +69,7 @@ def apply_changes(
     def step(batch: DataFrame, batch_id: int) -> None:
         changes = latest_per_key(batch, keys, order)
         deltas.upsert(changes, base, keys, batch=(checkpoint, batch_id))
-        deltas.compact(batch.sparkSession, base)
+        deltas.tidy(batch.sparkSession, base)
 
     per_batch(stream, checkpoint, step)
 
@@ -85,7 +85,7 @@ def keep_latest(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         deltas.upsert(batch, base, keys, order, batch=(checkpoint, batch_id))
-        deltas.compact(batch.sparkSession, base)
+        deltas.tidy(batch.sparkSession, base)
 
     per_batch(stream, checkpoint, step)
 
@@ -137,7 +137,7 @@ def write_changes(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         deltas.upsert(batch, out, keys, deleted=deleted, batch=(checkpoint, batch_id))
-        deltas.compact(batch.sparkSession, out)
+        deltas.tidy(batch.sparkSession, out)
 
     query = (
         result.writeStream.outputMode("update")

@@ -119,6 +119,27 @@ def test_large_buckets_split_and_small_folds_leave_the_others_alone(spark, tmp_p
     assert rows(deltas.read(spark, base)) == want
 
 
+def test_many_small_deltas_are_gathered_and_folded(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "t")
+    monkeypatch.setattr(deltas, "SOME_DELTAS", 3)
+    monkeypatch.setattr(deltas, "MOST_DELTAS", 4)
+    deltas.upsert(table(spark, 400), base, ["k"])
+    deltas.compact(spark, base, rows_per_bucket=100)
+    want = {k: f"a{k}" for k in range(400)}
+    for n in range(7):
+        part = table(spark, 2, f"n{n}-", n)
+        deltas.upsert(part, base, ["k"])
+        want |= dict(rows(part))
+        deltas.tidy(spark, base)
+        assert dict(rows(deltas.read(spark, base))) == want
+        assert len(commits.latest(spark, base)[1]["deltas"]) <= 4
+    assert any(d.get("gathered") for d in commits.latest(spark, base)[1]["deltas"])
+    deltas.upsert(table(spark, 300, "z"), base, ["k"])
+    assert deltas.gather(spark, base) and not deltas.gather(spark, base)
+    assert deltas.compact(spark, base, share=0) > 0 and not commits.latest(spark, base)[1]["deltas"]
+    assert dict(rows(deltas.read(spark, base))) == want | {k: f"z{k}" for k in range(300)}
+
+
 def test_two_interleaved_writers_lose_nothing(spark, tmp_path, monkeypatch):
     """A second upsert, and a third, commit between what the first reads and what it publishes."""
     base = str(tmp_path / "t")
