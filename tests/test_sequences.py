@@ -299,6 +299,17 @@ def test_similar_pairs_and_clusters_match_brute_force(spark, seed, t):
     assert every.count() >= sum(len(m) for _, m in expected)
 
 
+@pytest.mark.parametrize("longest", [11, 20])
+def test_similar_pairs_do_not_broadcast_what_small_files_unpack_to(spark, plan_of, longest):
+    """Every size class of a set meets its candidates by shuffle: files of a few kB unpack to many times their size."""
+    steps = table(spark, [[chr(97 + (i * k) % 25) for k in range(longest)] for i in range(1, 60)]).withColumnRenamed("pos", "step_no")
+    patterns, _ = S.sequence_patterns(steps, "id", "step")
+    forms = patterns.select("id", "n_steps", F.sort_array(F.transform("steps", lambda s: F.xxhash64(s))).alias("h"))
+    for candidates in (S._subset_candidates, S._prefix_candidates):
+        first_join = plan_of(candidates(forms, 0.85, 700)).split("Join")[0]
+        assert first_join.endswith("SortMerge")
+
+
 def test_similar_pairs_use_no_cartesian_product(spark, plan_of):
     steps = table(spark, random_sequences(4)).withColumn("step_no", F.col("pos") + 1)
     patterns, _ = S.sequence_patterns(steps, "id", "step")
