@@ -116,6 +116,24 @@ def test_families_and_summary(spark):
     assert rows(Q.commonality_summary(fps, "fp")) == [(4, 2, 1, 3, 43.75)]
 
 
+def test_structure_diff_shuffles_each_entity_once(spark, plan_of):
+    """Pairs meet whole entities: no shuffle of (pair, name) rows. NULL names match nothing, and an id without names has none."""
+    spark_rows = [("a", "x", "P", "1"), ("a", None, "P", "1"), ("a", "gone", None, None), ("b", "x", "P", None), ("b", "x", "Q", "2"), ("b", None, "P", "1")]
+    props = spark.createDataFrame(spark_rows, "id string, name string, property string, value string")
+    pairs = spark.createDataFrame([("a", "b"), ("none", "a"), ("b", "none"), ("b", "b")], "base_id string, other_id string")
+    diff = Q.structure_diff(pairs, props)
+    shuffled = [line for line in plan_of(diff).splitlines() if "Exchange hashpartitioning(" in line and "_id#" in line and "name#" in line]
+    assert shuffled == []
+    out = sorted(tuple(r) for r in diff.where("base_id <> 'b' OR other_id = 'none'").na.fill("-").collect())
+    assert out == [
+        ("a", "b", "-", "added", "-", "-", "-"), ("a", "b", "-", "removed", "-", "-", "-"), ("a", "b", "gone", "removed", "-", "-", "-"),
+        ("a", "b", "x", "changed", "P", "1", "-"), ("a", "b", "x", "changed", "Q", "-", "2"),
+        ("b", "none", "-", "removed", "-", "-", "-"), ("b", "none", "x", "removed", "-", "-", "-"),
+        ("none", "a", "-", "added", "-", "-", "-"), ("none", "a", "gone", "added", "-", "-", "-"), ("none", "a", "x", "added", "-", "-", "-"),
+    ]
+    assert {r["name"] for r in diff.where("base_id = 'b' AND other_id = 'b'").collect()} == {None}
+
+
 def test_structure_diff(spark):
     props = spark.createDataFrame(
         [("t", "A", "TableName", "x"), ("t", "A", "Mode", "1"), ("t", "B", "Mode", "1"),
