@@ -129,7 +129,8 @@ def job_older_xml(spark, d):
     name = _attribute("NAME", F.col("job_id").cast("string"))
     path = new_path(spark, "older")
     jobs = rows.groupBy("job_id").agg(body.alias("b"))
-    _documents(jobs.select("job_id", F.concat(F.lit("<JOB"), name, F.lit(">"), "b", F.lit("</JOB>")).alias("value")), "ROOT", path)
+    jobs = jobs.select("job_id", F.concat(F.lit("<JOB"), name, F.lit(">"), "b", F.lit("</JOB>")).alias("value"))
+    _documents(jobs, "ROOT", path, packed=True)
     out = J.read_older_xml(spark, path)
     counts = out["links"].groupBy("job_id").agg(F.count(F.lit(1)).alias("n_links"))
     return out["stages"].join(counts, "job_id", "left").select(
