@@ -463,3 +463,17 @@ def test_membership_takes_the_last_cluster(spark):
     sim = spark.createDataFrame([(0, 5, 1), (0, 3, 2)], "k long, cluster_id long, cluster_rank long")
     fam = spark.createDataFrame([(1, "f")], "k long, family string")
     assert rows(B.cluster_membership(ids, "k", dup, sim, fam)) == [(0, "DUP_1", "SIM_3", None), (1, None, None, "f"), (2, None, None, None)]
+
+
+def test_summary_gathers_an_entity_in_one_pass(spark, plan_of):
+    """All lists come from one grouping of the steps; limits keep the first values, entities without steps have empty lists."""
+    data = [(1, "Transformer", "customer order"), (1, "ODBCConnector", "order"), (1, None, None), (1, "Transformer", "account")]
+    steps = spark.createDataFrame(data, "id int, type string, text string")
+    scores = spark.createDataFrame([(1, 5), (2, 6)], "id int, score int")
+    out = Q.entity_summary(steps, "id", F.col("text"), scores, {"types": 2})
+    assert plan_of(out).count("Scan ExistingRDD") == 2
+    found = {r["id"]: r for r in out.collect()}
+    assert found[1]["types"] == "ODBCConnector,Transformer"
+    words = found[1]["subjects"].split(",")
+    assert words == sorted(words) and {"account", "customer", "order"} & set(words)
+    assert tuple(found[2])[1:] == (6, "", "", "", "", "")
