@@ -9,6 +9,7 @@ from stageloom.operators.cdc import change_apply
 from stageloom.sources.jdbc import read_kafka
 from stageloom.sources.sinks import overwrite, read_current, read_version
 from stageloom.streaming import jobs as J
+from stageloom.streaming import stateful
 from stageloom.streaming.stateful import rocksdb_state
 
 SCHEMA = "k string, seq int, ts timestamp, v double"
@@ -123,6 +124,31 @@ def test_state_is_dropped_after_the_ttl(spark, tmp_path):
     assert spent[-1] == [("a", 0, 5.0), ("a", 1, 10.0), ("a", 301, 2.0), ("b", 1, 1.0), ("c", 300, 1.0), ("c", 302, 2.0)]
 
 
+def test_keys_share_the_state_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Many keys, also NULL ones and large numbers, in two buckets: results are those of each key, state is read and written by bucket."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    big, start = (1 << 60) + 1, dt.datetime(2024, 1, 1)
+    src = str(tmp_path / "src")
+    keys = [None, big, big + 1, *range(20)]
+    for minutes in ([0, 1], [2, 30]):
+        data = [(k, None if m == 1 else m, start + dt.timedelta(minutes=m), 1.0) for k in keys for m in minutes]
+        spark.createDataFrame(data, "k long, seq long, ts timestamp, v double").coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: J.read_files(spark, src, "k long, seq long, ts timestamp, v double", files_per_batch=1)
+    by = lambda found: sorted(found, key=lambda r: tuple((x is not None, x) for x in r))
+    J.running_budget(stream(), str(tmp_path / "r"), ["k"], ["seq"], "v", 99, str(tmp_path / "cpr"), late="1 day")
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "r")).select("k", "seq", "running_total").collect()]
+    first = {0: 1.0, None: 2.0}  # NULLs come last
+    assert by(got) == by([(k, s, t) for k in keys for s, t in (*first.items(), (2, 3.0), (30, 4.0))])
+    with rocksdb_state(spark):
+        changes = J.sessions(stream(), "ts", "k", "10 minutes", "1 day", "v")
+        progress = J.write_changes(changes.where("k IS NOT NULL"), str(tmp_path / "s"), ["k", "session_start"], str(tmp_path / "cps"), deleted="gone")
+        J.ingest(J.drop_repeats(stream(), "ts", ["k"], "1 day").select("k"), str(tmp_path / "d"), str(tmp_path / "cpd"))
+    got = [tuple(r) for r in read_current(spark, str(tmp_path / "s")).select("k", "requests").collect()]
+    assert by(got) == by([(k, n) for k in keys[1:] for n in (3, 1)])
+    assert held(progress) == 2
+    assert by([tuple(r) for r in spark.read.parquet(str(tmp_path / "d")).collect()]) == by([(k,) for k in keys])
+
+
 def test_kafka_reader_needs_its_package(spark):
     with pytest.raises(AnalysisException):
         read_kafka(spark, "nowhere:1", "topic")
