@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +24,27 @@ EXPORT_SQL = f"""WITH {G.STAGES_SQL.replace("stages AS MATERIALIZED", "every AS
   stages AS (SELECT * REPLACE (CASE WHEN type IN {G.sql_list(RECORD_TYPES)} THEN type ELSE 'CCustomStage' END AS type) FROM every), {G.LINKS_SQL}"""
 
 
+def _record_type() -> F.Column:
+    return F.when(F.col("type").isin(RECORD_TYPES), F.col("type")).otherwise("CCustomStage")
+
+
 def exported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Steps with the types that an export knows, and links."""
     s = G.stages(spark, d)
-    kind = F.when(F.col("type").isin(RECORD_TYPES), F.col("type")).otherwise("CCustomStage")
-    return s.withColumn("type", kind), G.links(spark, d, s)
+    return s.withColumn("type", _record_type()), G.links(spark, d, s)
+
+
+#: Jobs of one file.
+JOBS_PER_FILE = 1000
+
+
+def _file_of(job_id: F.Column) -> F.Column:
+    return F.floor(job_id / JOBS_PER_FILE).alias("file")
 
 
 def _documents(jobs: DataFrame, root: str, path: str, packed: bool = False) -> None:
-    """(job_id, value) elements as XML files of up to 1000 jobs below one root element each."""
-    files = jobs.groupBy(F.floor(F.col("job_id") / 1000).alias("file")).agg(
+    """(file, value) elements as one XML file each ``file``, below one root element."""
+    files = jobs.groupBy("file").agg(
         F.concat(F.lit(f"<{root}>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"\n</{root}>")).alias("value")
     )
     writer = files.write.partitionBy("file")
@@ -46,28 +59,44 @@ def _element(name: str, value) -> F.Column:
     return F.concat(F.lit(f'<Property Name="{name}">'), value, F.lit("</Property>"))
 
 
+def _chained(steps: F.Column, link: Callable[[F.Column, F.Column], F.Column]) -> F.Column:
+    """The links of a job as ``fleet.links`` has them, each made by ``link(from, to)``, from its steps in order."""
+    chain = F.transform(
+        F.filter(steps, lambda s: s["position"] > 1), lambda s: link(s["previous"], s["name"])
+    )
+    fan = F.transform(
+        F.filter(steps, lambda s: (s["position"] > 2) & (s["quantity"] > 25)), lambda s: link(steps[0]["name"], s["name"])
+    )
+    return F.concat(chain, fan)
+
+
 def write_xml(spark: SparkSession, d: str) -> str:
-    """One Job element per order, odd ones gzipped in a subfolder; one file whose only job is broken."""
-    stages, links = exported(spark, d)
+    """One Job element per order, odd ones gzipped in a subfolder; one file whose only job is broken.
+
+    Steps are shuffled once, by file; a job's links follow from its steps.
+    """
+    stages = G.stages(spark, d).withColumn("type", _record_type())
     record = F.concat(
         F.lit("<Record"), _attribute("Identifier", F.col("name")), _attribute("Type", F.col("type")), F.lit(">"),
         _element("TableName", F.col("properties")["TableName"]), F.lit("</Record>"),
     )
-    link = F.concat(
+    link = lambda a, b: F.concat(
         F.lit("<Record"), _attribute("Identifier", F.lit("link")), _attribute("Type", F.lit("CDSLink")), F.lit(">"),
-        _element("FromStage", F.col("from_stage")), _element("ToStage", F.col("to_stage")), F.lit("</Record>"),
-    )
-    rows = stages.select("job_id", F.col("position").alias("at"), record.alias("r")).unionByName(
-        links.select("job_id", F.lit(1 << 40).alias("at"), link.alias("r"))
+        _element("FromStage", a), _element("ToStage", b), F.lit("</Record>"),
     )
-    bodies = rows.groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "r")))["r"], "").alias("body"))
+    step = F.struct("position", "name", "previous", "quantity", record.alias("r"))
+    # Even and odd jobs keep apart, so that a task has whole files of one kind.
+    rows = stages.select("job_id", _file_of(F.col("job_id")), (F.col("job_id") % 2).alias("odd"), step.alias("step"))
+    steps = rows.repartition("file", "odd").groupBy("file", "odd", "job_id").agg(F.sort_array(F.collect_list("step")).alias("steps"))
     name = _attribute("Identifier", F.col("job_id").cast("string"))
-    jobs = bodies.select("job_id", F.concat(F.lit("<Job"), name, F.lit(">"), "body", F.lit("</Job>")).alias("value"))
+    lines = F.concat(F.col("steps.r"), F.sort_array(_chained(F.col("steps"), link)))
+    jobs = steps.select("file", "odd", "job_id", F.concat(F.lit("<Job"), name, F.lit(">"), F.array_join(lines, ""), F.lit("</Job>")).alias("value"))
     path = new_path(spark, "export")
-    _documents(jobs.where("job_id % 2 = 0"), "DSExport", f"{path}/plain")
-    _documents(jobs.where("job_id % 2 = 1"), "DSExport", f"{path}/deep/packed", packed=True)
+    _documents(jobs.where("odd = 0"), "DSExport", f"{path}/plain")
+    _documents(jobs.where("odd <> 0"), "DSExport", f"{path}/deep/packed", packed=True)
     oops = F.concat(F.lit('<Job Identifier="'), F.col("job_id").cast("string"), F.lit('"><Record Identifier="x" Type="C"><Oops></Record></Job>'))
-    _documents(jobs.agg(F.min("job_id").alias("job_id")).select("job_id", oops.alias("value")), "DSExport", f"{path}/bad")
+    first = stages.agg(F.min("job_id").alias("job_id"))
+    _documents(first.select(_file_of(F.col("job_id")), oops.alias("value")), "DSExport", f"{path}/bad")
     return path
 
 
@@ -129,7 +158,7 @@ def job_older_xml(spark, d):
     name = _attribute("NAME", F.col("job_id").cast("string"))
     path = new_path(spark, "older")
     jobs = rows.groupBy("job_id").agg(body.alias("b"))
-    jobs = jobs.select("job_id", F.concat(F.lit("<JOB"), name, F.lit(">"), "b", F.lit("</JOB>")).alias("value"))
+    jobs = jobs.select(_file_of(F.col("job_id")), F.concat(F.lit("<JOB"), name, F.lit(">"), "b", F.lit("</JOB>")).alias("value"))
     _documents(jobs, "ROOT", path, packed=True)
     out = J.read_older_xml(spark, path)
     counts = out["links"].groupBy("job_id").agg(F.count(F.lit(1)).alias("n_links"))

@@ -7,6 +7,7 @@ from table_rows import rows
 from pyspark.sql import functions as F
 
 from stageloom.operators.project import with_audit
+from stageloom.plans import exports, fleet
 from stageloom.sources import files as R
 from stageloom.sources import jdbc as D
 from stageloom.sources import jobs as G
@@ -206,3 +207,15 @@ def test_older_exports_are_written_packed(spark, tmp_path, monkeypatch):
     exports.job_older_xml(spark, "/root/testdata/sf0.001")
     written = [p.name for p in (tmp_path / "older").rglob("part-*")]
     assert written and all(name.endswith(".txt.gz") for name in written)
+
+
+def test_links_from_the_steps_of_a_job_are_those_of_the_fleet(spark):
+    steps = spark.createDataFrame(
+        [(1, i, f"s{i}", f"s{i - 1}" if i > 1 else None, q) for i, q in enumerate([30.0, 30.0, 26.0, 25.0, 40.0], 1)] + [(2, 1, "t1", None, 50.0)],
+        "job_id long, position int, name string, previous string, quantity double",
+    )
+    gathered = steps.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("position", "name", "previous", "quantity"))).alias("steps"))
+    pair = lambda a, b: F.struct(a.alias("from_stage"), b.alias("to_stage"))
+    made = gathered.select("job_id", F.explode(exports._chained(F.col("steps"), pair)).alias("l")).select("job_id", "l.*")
+    assert rows(made) == rows(fleet.links(spark, "", steps))
+    assert len(rows(made)) == 6
