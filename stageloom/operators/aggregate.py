@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +59,16 @@ def distinct_counts(
     return df.groupBy(*by).agg(*[fn(F.col(c)).alias(f"n_{c}") for c in columns])
 
 
-def label_counts(df: DataFrame, column: str, out: str = "label") -> DataFrame:
-    """How often each value occurs over all arrays of the column."""
-    return (
-        df.select(F.explode(column).alias(out))
-        .groupBy(out)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def label_counts(
+    df: DataFrame, column: str, out: str = "label", clean: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """How often each value occurs over all arrays of the column.
+
+    ``clean`` maps values to labels. It sees each distinct value once, however often it occurs.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    counts = df.select(F.explode(column).alias(out)).groupBy(out).agg(n)
+    return counts if clean is None else counts.groupBy(clean(F.col(out)).alias(out)).agg(F.sum("n").alias("n"))
 
 
 def most_common(df: DataFrame, column: str, k: int = 10, out: str = "label") -> DataFrame:

@@ -137,8 +137,9 @@ def most_common(spark, d):
        (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ')) AS word FROM documents) GROUP BY 1""",
 )
 def label_counts(spark, d):
-    words = F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " ")
-    return A.label_counts(load(spark, d, "documents").select(words.alias("words")), "words")
+    """Words are cut at blanks, which the cleaning keeps, so that it can follow the counting."""
+    words = load(spark, d, "documents").select(F.split("text", " ").alias("words"))
+    return A.label_counts(words, "words", clean=lambda word: F.regexp_replace(word, "[^A-Za-z]+", ""))
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

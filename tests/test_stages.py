@@ -237,3 +237,10 @@ def test_small_text_functions(spark):
     assert one(X.safe_name(F.lit("1 a-b.c"), "variable")) == "stage_1_a_b_c"
     assert one(X.safe_name(F.lit("1 A-b"), "job")) == "job_1_a_b"
     assert one(X.json_long(F.lit("not json"), "$.k", 3)) == 3
+
+
+def test_label_counts_clean_distinct_values_after_counting(spark):
+    texts = spark.createDataFrame([("a1 b a2",), ("a b! 7",), (None,), ("",)], "text string")
+    letters = lambda x: F.regexp_replace(x, "[^a-z]+", "")
+    counts = A.label_counts(texts.select(F.split("text", " ").alias("words")), "words", clean=letters)
+    assert rows(counts) == [("", 2), ("a", 3), ("b", 2)]
