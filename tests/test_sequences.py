@@ -14,6 +14,7 @@ from stageloom.operators import similarity as S
 from stageloom.operators import vectors as V
 from stageloom.operators.graph import topological_levels
 from stageloom.operators.rules import branch_counts
+from stageloom.plans import sequences
 
 
 def table(spark, seqs):
@@ -477,3 +478,9 @@ def test_summary_gathers_an_entity_in_one_pass(spark, plan_of):
     words = found[1]["subjects"].split(",")
     assert words == sorted(words) and {"account", "customer", "order"} & set(words)
     assert tuple(found[2])[1:] == (6, "", "", "", "", "")
+
+
+def test_pairs_read_stored_lists(spark, plan_of):
+    """Steps are numbered and grouped once, not once for each side of a pair."""
+    plan = plan_of(sequences.paired(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "lineitem" not in plan
