@@ -12,7 +12,9 @@ compares bytes.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ WIDTH = 200
 CHUNK_BYTES = 2 << 20
 VALUES_PER_RANGE = 1 << 20
 SHARD_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 16  # bytes that are hashed or sorted together; a key with more text in a shard stays whole
 HOT_SEGMENTS = 8192  # a key of more segments does not go to a shard
 LONGEST_RUN = 255  # windows of one segment
 LARGEST = tx.U64((1 << 64) - 1)
@@ -50,30 +53,46 @@ def _text_key(column: Column) -> list[Column]:
 # Suffix arrays
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of the bytes ordered by their first ``depth`` bytes or more, and the rank of each.
 
     Larsson-Sadakane: suffixes start in groups of equal first eight bytes; each round sorts the groups that still have
     several members by the rank of the suffix ``h`` bytes on and doubles ``h``. Single suffixes are left alone. Zero bytes
     follow the data, so that suffixes that reach its end may share a rank.
+
+    With ``wanted`` (one flag a byte) only those suffixes are in order, by their first ``depth`` bytes, which all must have; a round
+    leaves out suffixes that neither they nor a later round look up.
     """
     n = len(data)
     padded = np.concatenate((data, np.zeros(8, dtype=np.uint8))).astype(tx.U64)
     key = np.zeros(n, dtype=tx.U64)
     for j in range(8):
         key = (key << tx.U64(8)) | padded[j : j + n]
+    # (bytes known before, bytes looked ahead, suffixes looked up) of each round, the last one first.
+    rounds, needed, known = [], wanted, [8]
+    while known[-1] < depth:
+        known.append(2 * known[-1])
+    for h in reversed(known[:-1]):
+        step = h if wanted is None else min(h, depth - h)
+        rounds.append((step, needed))
+        if needed is not None:
+            needed = needed.copy()
+            needed[step:] |= rounds[-1][1][: n - step]
     order = np.argsort(key)
     # Zero bytes and the end of the data give equal keys; the rank of the end, -1, tells them apart later.
     rank, open_ = _regroup(order, key[order], np.arange(n), np.zeros(n, dtype=np.int64))
-    h = 8
-    while h < depth and len(open_):
+    for step, needed in reversed(rounds):
         suffixes = order[open_]
-        after = np.where(suffixes + h < n, rank[np.minimum(suffixes + h, n - 1)], -1)
+        if needed is not None:
+            kept = needed[suffixes]
+            suffixes, open_ = suffixes[kept], open_[kept]
+        if not len(open_):
+            break
+        after = np.where(suffixes + step < n, rank[np.minimum(suffixes + step, n - 1)], -1)
         pair = rank[suffixes] * (n + 1) + after + 1
         by = np.argsort(pair)
         order[open_] = suffixes[by]
         rank, open_ = _regroup(suffixes[by], pair[by], open_, rank)
-        h *= 2
     return order, rank
 
 
@@ -122,8 +141,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     return np.minimum(shared_bytes, limit)[order]
 
 
-def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each text which of its windows start more than once in all the texts."""
+def _repeated(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flags of the joined texts' bytes at which a window starts that does so more than once, and each text's start and end."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     starts = np.concatenate(([0], ends[:-1]))
@@ -131,11 +150,17 @@ def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     np.add.at(inside, starts, 1)
     np.add.at(inside, ends - width + 1, -1)
     inside = np.cumsum(inside[:-1]) > 0
-    order, _ = suffix_array(data, width)
+    order, _ = suffix_array(data, width, inside)
     order = order[inside[order]]
     alike = np.cumsum(common_prefixes(data, order, width) < width)
     repeated = np.zeros(len(data), dtype=bool)
     repeated[order] = np.bincount(alike)[alike] > 1
+    return repeated, starts, ends
+
+
+def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text which of its windows start more than once in all the texts."""
+    repeated, starts, ends = _repeated(texts, width)
     return [repeated[a : b - width + 1] for a, b in zip(starts, ends, strict=True)]
 
 
@@ -156,6 +181,19 @@ def window_keys(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     A run of neighbouring windows with one key holds equal windows only if the key's string occurs in it twice: at less than
     a window's distance (told here), or in a run longer than the strings of a window.
     """
+    strings, n = width - max(1, width // 4) + 1, len(data) - width + 1
+    keys, more = [], []
+    for start in range(0, n, BLOCK_BYTES):  # blocks that fit the processor's cache, with the windows around them
+        low, stop = max(0, start - strings), min(n, start + BLOCK_BYTES)
+        found, value, place = _block_keys(data[low : min(n, stop + strings) + width - 1], width)
+        keys.append(found[start - low : stop - low])
+        here = (place >= start - low) & ((place < stop - low) | (stop == n))
+        more.append(value[:-1][(value[1:] == value[:-1]) & (np.diff(place) < strings) & here[:-1]])
+    return np.concatenate(keys), np.concatenate(more)
+
+
+def _block_keys(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window the least hash of the short strings in it; hashes and places of the strings that give a key, by hash."""
     short = max(1, width // 4)
     strings = width - short + 1
     at = np.arange(len(data) - short + 1)
@@ -165,8 +203,7 @@ def window_keys(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(strings - 1, dtype=tx.U64)
     chosen = np.flatnonzero(in_windows(np.concatenate((edge, keys, edge)), strings, np.maximum) == hashes)
     order = np.argsort(hashes[chosen], kind="stable")
-    value, place = hashes[chosen][order], chosen[order]
-    return keys, value[1:][(value[1:] == value[:-1]) & (np.diff(place) < strings)]
+    return keys, hashes[chosen][order], chosen[order]
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], width: int, limit: int):
@@ -326,11 +363,16 @@ def _segments(width: int, shards: int, limit: int):
                     entry = seen.setdefault(text[a : a + n + width - 1], [key, set(), 0])
                     entry[1].add((tag, tag2, a))
                     entry[2] += 1
-            rows = (
-                {"shard": key % shards, "key": key - (1 << 63), "text": text, "places": np.array(sorted(places), dtype="<i8").tobytes(), "times": times}
-                for text, (key, places, times) in seen.items()
-            )
-            yield from _batched(rows, _schema(ddl), 4096)
+            for start in range(0, len(seen), 4096):
+                some = list(islice(seen.items(), start, start + 4096))
+                columns = (
+                    [key % shards for _, (key, _, _) in some],
+                    [key - (1 << 63) for _, (key, _, _) in some],
+                    [text for text, _ in some],
+                    [struct.pack(f"<{3 * len(places)}q", *chain.from_iterable(sorted(places))) for _, (_, places, _) in some],
+                    [times for _, (_, _, times) in some],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _schema(ddl), strict=True)], schema=_schema(ddl))
 
     return run, ddl
 
@@ -339,31 +381,50 @@ def _in_shard(width: int):
     """One shard: intervals of bytes in windows that start more than once."""
 
     def run(table: pa.Table) -> pa.Table:
-        texts: dict[bytes, list] = {}
-        for key, text, places, times in zip(*(table.column(c).to_pylist() for c in ("key", "text", "places", "times")), strict=True):
-            entry = texts.setdefault(text, [key, [], 0])
-            entry[1].append(places)
-            entry[2] += times
-        different: dict[int, int] = {}
-        for key, _, _ in texts.values():
-            different[key] = different.get(key, 0) + 1
+        number: dict[bytes, int] = {}
+        own = np.array([number.setdefault(t, len(number)) for t in table.column("text").to_pylist()], dtype=np.int64)
+        texts, sizes = list(number), np.array([len(t) for t in number], dtype=np.int64)
+        times = np.zeros(len(texts), dtype=np.int64)
+        np.add.at(times, own, table.column("times").to_numpy())
+        keys = np.zeros(len(texts), dtype=np.int64)
+        keys[own] = table.column("key").to_numpy()
+        _, key, different = np.unique(keys, return_inverse=True, return_counts=True)
         # A text that occurs twice goes as a whole; if its key has no other text, nothing is left to sort.
-        sorted_ = [t for t, (key, _, times) in texts.items() if different[key] > 1 or times == 1]
-        hits = dict(zip(sorted_, repeated_windows(sorted_, width), strict=True)) if sorted_ else {}
-        out = []
-        for text, (_, places, times) in texts.items():
-            if times > 1:
-                spans = np.array([[0, len(text)]])
-            elif text in hits and hits[text].any():
-                spans = covered(np.flatnonzero(hits[text]), np.full(int(hits[text].sum()), width))
-            else:
-                continue
-            at = np.unique(np.frombuffer(b"".join(places), dtype="<i8").reshape(-1, 3), axis=0)
-            out.append(np.hstack((np.repeat(at[:, :2], len(spans), axis=0), np.repeat(at[:, 2:], len(spans), axis=0) + np.tile(spans, (len(at), 1)))))
-        rows = np.concatenate(out) if out else np.zeros((0, 4), dtype=np.int64)
-        del texts, hits, out, sorted_
+        whole = np.flatnonzero(times > 1)
+        owners, spans = [whole], [np.column_stack((np.zeros(len(whole), dtype=np.int64), sizes[whole]))]
+        sorted_ = np.flatnonzero((different[key] > 1) | (times == 1))
+        # Texts of different keys share no window: runs of whole keys are sorted one after the other, in the processor's cache.
+        sorted_ = sorted_[np.argsort(key[sorted_], kind="stable")]
+        heads = np.flatnonzero(np.diff(key[sorted_], prepend=-1))
+        volume = np.add.reduceat(sizes[sorted_], heads) if len(heads) else heads
+        edges = np.append(heads, len(sorted_))
+        for a, b in tx.runs(volume, BLOCK_BYTES):
+            some = sorted_[edges[a] : edges[b]]
+            hits, starts, ends = _repeated([texts[i] for i in some.tolist()], width)
+            hits = np.flatnonzero(hits)
+            text = np.searchsorted(ends, hits, side="right")
+            once = times[some[text]] == 1
+            hits, text = hits[once], text[once]
+            found = covered(hits + text, np.full(len(hits), width))  # a free place between texts: no span crosses them
+            text = text[np.searchsorted(hits + text, found[:, 0])]
+            owners.append(some[text])
+            spans.append(found - (starts[text] + text)[:, None])
+        owners, spans = np.concatenate(owners), np.concatenate(spans)
+        by = np.argsort(owners, kind="stable")
+        spans, counts = spans[by], np.bincount(owners, minlength=len(texts))
+        first = np.cumsum(counts) - counts
+        # Every place of a text gets the text's spans; chunks with equal texts name the same place.
+        places = table.column("places").to_pylist()
+        owner = np.repeat(own, np.array([len(p) // 24 for p in places], dtype=np.int64))
+        at = np.column_stack((owner, np.frombuffer(b"".join(places), dtype="<i8").reshape(-1, 3)))[counts[owner] > 0]
+        at = np.unique(at, axis=0)
+        n = counts[at[:, 0]]
+        row = np.repeat(np.arange(len(at)), n)
+        span = spans[np.arange(len(row)) - (np.cumsum(n) - n)[row] + first[at[row, 0]]]
+        columns = (at[row, 1], at[row, 2], at[row, 3] + span[:, 0], at[row, 3] + span[:, 1])
+        del texts, number, places
         tx.trim()
-        return pa.Table.from_arrays([pa.array(rows[:, i]) for i in range(4)], schema=_schema(_CUT))
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=_schema(_CUT))
 
     return run
 

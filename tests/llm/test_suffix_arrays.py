@@ -99,3 +99,51 @@ def test_keys_near_themselves():
 def test_intervals():
     assert sa.covered(np.array([7, 0, 3, 20]), np.array([3, 3, 4, 1])).tolist() == [[0, 10], [20, 21]]
     assert sa.covered(np.array([]), np.array([])).shape == (0, 2)
+
+
+@pytest.mark.parametrize("width", [5, 8, 20, 200])
+def test_wanted_suffixes_are_in_order(width):
+    """Only windows are sorted to their end; the rounds leave out what none of them looks up."""
+    rng = np.random.default_rng(width)
+    parts = [rng.integers(97, 99, rng.integers(width, 3 * width), dtype=np.uint8) for _ in range(9)]
+    texts = [p.tobytes() for p in (*parts, np.concatenate(parts[2:5]), np.zeros(2 * width, dtype=np.uint8), parts[0])]
+    data = b"".join(texts)
+    ends = np.cumsum([len(t) for t in texts])
+    at = [i for e, t in zip(ends, texts, strict=True) for i in range(e - len(t), e - width + 1)]
+    wanted = np.zeros(len(data), dtype=bool)
+    wanted[at] = True
+    order, _ = sa.suffix_array(np.frombuffer(data, dtype=np.uint8), width, wanted)
+    strings = [data[i : i + width] for i in order[wanted[order]].tolist()]
+    assert sorted(order.tolist()) == list(range(len(data))) and strings == sorted(strings)
+    every = [data[i : i + width] for i in at]
+    got = [f for mask in sa.repeated_windows(texts, width) for f in mask.tolist()]
+    assert got == [every.count(w) > 1 for w in every]
+
+
+def test_a_shard_names_each_place_of_a_text_once(monkeypatch):
+    """Equal texts of several chunks, touching texts, and a text that occurs once inside another one."""
+    import pyarrow as pa
+
+    calls, unique = [], np.unique
+    monkeypatch.setattr(sa.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    place = lambda *p: np.array(p, dtype="<i8").tobytes()
+    texts = [bytes([65 + i, 66 + i]) * 3 for i in range(40)]
+    rows = [{"shard": 0, "key": i, "text": t, "places": place((i, i, 4)), "times": 1} for i, t in enumerate(texts) for _ in range(2)]
+    rows += [{"shard": 0, "key": 99, "text": b"wxyzwx", "places": place((70, 7, 0)), "times": 1}, {"shard": 0, "key": 99, "text": b"xyzwxy", "places": place((71, 7, 9)), "times": 1}]
+    rows += [{"shard": 0, "key": 98, "text": b"lonely", "places": place((72, 7, 0)), "times": 1}]
+    got = sa._in_shard(5)(pa.Table.from_pylist(rows, sa._schema("shard long, key long, text binary, places binary, times long")))
+    found = sorted(zip(*(got.column(c).to_pylist() for c in got.column_names), strict=True))
+    assert found == [(i, i, 4, 10) for i in range(40)] + [(70, 7, 1, 6), (71, 7, 9, 14)]
+    assert len(calls) <= 4  # not one a text
+
+
+@pytest.mark.parametrize("width", [1, 4, 30])
+def test_window_keys_by_blocks(monkeypatch, width):
+    """Blocks give the keys of one pass, and each string that comes up near itself once, also across their edges."""
+    rng = np.random.default_rng(width)
+    data = np.concatenate([np.tile(rng.integers(0, 4, k, dtype=np.uint8), 900 // k) for k in (7, 20, 33, 300)])
+    keys, more = sa.window_keys(data, width)
+    for size in (1, 17, 64):
+        monkeypatch.setattr(sa, "BLOCK_BYTES", size)
+        part_keys, part_more = sa.window_keys(data, width)
+        assert (part_keys == keys).all() and sorted(part_more) == sorted(more)
