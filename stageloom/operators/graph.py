@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stageloom.scratch import materialise
 
+HEAD_BITS = 1 << 24  # bit map of the nodes with links out; when full, all links are compared with them
+
 
 def _chains(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     """(node, head, far) of nodes inside chains, those with one link in and one out: the first node before that is not, and its distance.
@@ -36,17 +38,16 @@ def _chains(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     return done
 
 
-def topological_levels(links: DataFrame) -> DataFrame:
-    """(node, level): 0 without predecessor, else one more than the highest predecessor.
+def _inner_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level) of ``nodes``, by the different links (u, v) between them. Stored.
 
     Chains are first contracted to one weighted link. Then each round takes the nodes all of whose links have been
     followed, and adds to the counts and levels of the nodes they point to; links are stored once and never rewritten, and a
-    round writes what it touches. Nodes on or behind a cycle get no level. Rounds follow the depth without chains.
+    round writes what it touches. Rounds follow the depth without chains.
     """
-    edges = links.select(F.col("from_stage").alias("u"), F.col("to_stage").alias("v")).distinct()
-    edges = materialise(edges, "edges")
     ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))
     ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    ends = ends.unionByName(nodes.select("node", F.lit(0).alias("i"), F.lit(0).alias("o")))
     degrees = materialise(ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out")), "degrees")
     chains = materialise(_chains(edges, degrees), "chains")
     outer = degrees.where("n_in <> 1 OR n_out <> 1")
@@ -70,4 +71,29 @@ def topological_levels(links: DataFrame) -> DataFrame:
         done = done.unionByName(part)
     done = materialise(done, "levels")
     inside = chains.join(done.withColumnRenamed("node", "head"), "head").select("node", (F.col("level") + F.col("far")).alias("level"))
-    return done.unionByName(inside).withColumn("level", F.col("level").cast("int"))
+    return materialise(done.unionByName(inside), "inner-levels")
+
+
+def topological_levels(links: DataFrame) -> DataFrame:
+    """(node, level): 0 without predecessor, else one more than the highest predecessor.
+
+    Links into nodes without links out are followed once, when all other levels are known, and only rows that point
+    to a node with links out take part in the rounds before. A bit map tells most of the others apart without a shuffle. Nodes on or behind a cycle, or behind a NULL, get no level.
+    """
+    links = links.select(F.col("from_stage").alias("u"), F.col("to_stage").alias("v"))
+    links = materialise(links, "links")
+    heads = materialise(links.select(F.col("u").alias("node")).distinct(), "heads")
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(HEAD_BITS - 1))
+    words = heads.select(place("node").alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    words = materialise(words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits")), "head-bits")
+    placed = links.withColumn("place", place("v")).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"), "left")
+    hit = F.coalesce(F.expr("shiftright(bits, cast(place & 63 AS int)) & 1 = 1"), F.lit(False))
+    same = F.col("v").eqNullSafe(F.col("node"))
+    marked = placed.where(hit).select("u", "v").join(heads.withColumn("inner", F.lit(True)), same, "left")
+    marked = marked.select("u", "v", F.coalesce("inner", F.lit(False)).alias("inner"))
+    marked = materialise(marked, "marked-links")
+    levels = _inner_levels(materialise(marked.where("inner").select("u", "v").distinct(), "edges"), heads)
+    last = placed.where(~hit).select("u", "v").unionByName(marked.where("NOT inner").select("u", "v")).where("v IS NOT NULL")
+    last = last.join(levels.withColumnRenamed("node", "u"), "u", "left")
+    last = last.groupBy(F.col("v").alias("node")).agg((F.max("level") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("known"))
+    return levels.unionByName(last.where("known").drop("known")).withColumn("level", F.col("level").cast("int"))

@@ -298,6 +298,30 @@ def test_levels_of_random_graphs(spark):
         assert dict(rows(topological_levels(spark.createDataFrame(sorted(links), "from_stage string, to_stage string")))) == level
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_links_into_ends_take_no_part_in_the_rounds(spark, monkeypatch, bits):
+    """Rounds see only links between nodes with links out; also when the bit map is full. Cycles and NULLs give their ends no level."""
+    from stageloom.operators import graph
+
+    stored, materialise = {}, graph.materialise
+
+    def record(df, label):
+        out = materialise(df, label)
+        stored[label] = max(stored.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", record)
+    monkeypatch.setattr(graph, "HEAD_BITS", bits)
+    heads = [("r", "n0"), ("r", "n1"), ("n0", "c0"), ("n1", "c1"), ("r", "c1"), ("p", "q"), ("q", "p")]
+    ends = [(u, f"o{k}") for k in range(300) for u in ("n0", "c0", "c1", f"s{k % 3}")]
+    more = [("r", "o1"), ("r", "early"), ("n0", "early"), ("p", "lost"), ("r", "lost"), (None, "unknown"), ("r", "unknown"), ("r", None)]
+    links = spark.createDataFrame(heads + ends + ends[:50] + more, "from_stage string, to_stage string")
+    got = [tuple(r) for r in topological_levels(links).where("node IS NOT NULL").collect()]
+    want = {"r": 0, "n0": 1, "n1": 1, "c0": 2, "c1": 2, "s0": 0, "s1": 0, "s2": 0, "early": 2} | {f"o{k}": 3 for k in range(300)}
+    assert len(got) == len(want) and dict(got) == want
+    assert stored["edges"] <= len(heads) + 1 and stored["touched"] <= 4
+
+
 @pytest.mark.parametrize("seed,t", [(1, 0.85), (3, 0.7)])
 def test_similar_pairs_and_clusters_match_brute_force(spark, seed, t):
     seqs = random_sequences(seed)
