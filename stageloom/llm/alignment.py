@@ -2,13 +2,15 @@
 
 Tokens of both sides are intervals of byte offsets. Sorted by start, with the running maximum of their ends, they fall
 into groups: a new one begins where a start reaches the maximum of all ends before. Overlaps are expanded inside the
-groups. How many documents link a pair of ids is counted over the corpus; the most frequent pairs reach the tasks
+groups. Where neither tokenizer looks across a single blank between two words, both encode each different word once;
+ids of known words are gathered from a table of bounded size. How many documents link a pair of ids is counted over the corpus; the most frequent pairs reach the tasks
 as a table of fixed size, the others by a join.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,8 +28,15 @@ from stageloom.scratch import materialise
 
 KNOWN_PAIRS = 1 << 20  # pairs whose counts reach every task
 PAIRS_HELD = 1 << 21  # different pairs that a counting task holds
+WORDS_HELD = 1 << 18  # words whose ids a process keeps
+LONGEST_WORD = 64  # bytes of a word that is kept
+JOINED_BYTES = 1 << 14  # new words that are encoded as one text
 COMMA, BAR, SEMICOLON, NOTHING = range(4)
 
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+WIDE_BLANKS = np.array([int.from_bytes(c.encode()) for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
+
 
 def byte_level_alphabet() -> dict[str, int]:
     """Character to byte of byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
@@ -45,6 +54,12 @@ class ByteLevel:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        before = parts["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not parts["normalizer"]
+        whole = parts.get("truncation") or parts.get("padding") or parts["model"].get("dropout")
+        self.by_words = bool(plain and not whole and all(t["special"] for t in parts["added_tokens"]))
         alphabet, pieces = byte_level_alphabet(), self.tokenizer.get_vocab()
         self.pieces = [b""] * (max(pieces.values(), default=-1) + 1)
         for piece, i in pieces.items():
@@ -62,6 +77,17 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [self._bytes(i) for i in range(self.model.get_piece_size())]
+        self.by_words = self._by_words()
+
+    def _by_words(self) -> bool:
+        """Whether the model merges pieces, changes no characters, and has no piece with a blank behind other characters."""
+        from sentencepiece import sentencepiece_model_pb2 as model
+
+        parts = model.ModelProto.FromString(self.model.serialized_model_proto())
+        form, trained = parts.normalizer_spec, parts.trainer_spec
+        plain = not form.precompiled_charsmap and not form.remove_extra_whitespaces and form.add_dummy_prefix and form.escape_whitespaces
+        merges = trained.model_type == model.TrainerSpec.BPE and not trained.treat_whitespace_as_suffix
+        return plain and merges and not any("▁" in p.piece.lstrip("▁") or p.type == model.ModelProto.SentencePiece.USER_DEFINED for p in parts.pieces)
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
@@ -75,7 +101,7 @@ class Side:
     """Ids of one tokenizer with their bytes."""
 
     def __init__(self, tokenizer):
-        self.encode = tokenizer.encode
+        self.encode, self.by_words = tokenizer.encode, tokenizer.by_words
         self.bytes = pa.array(tokenizer.pieces, pa.binary())
         self.lengths = np.array([len(p) for p in tokenizer.pieces], dtype=np.int64)
 
@@ -92,6 +118,86 @@ class Side:
         return ids, counts, np.array(good, dtype=bool)
 
 
+    def joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words that begin with a blank and end without one, several encoded as one text."""
+        found, sizes = [], np.array([len(w) for w in words], dtype=np.int64)
+        for i, j in tx.runs(sizes, JOINED_BYTES):
+            some, whole = words[i:j], b"".join(words[i:j])
+            ids, _, good = self.tokens([whole[1:].decode()], [whole])
+            ends, stops = np.cumsum(self.lengths[ids]), np.cumsum(sizes[i:j])
+            last = np.searchsorted(ends, stops)
+            if good[0] and np.array_equal(ends[last], stops):
+                found.append((ids, np.diff(last, prepend=-1), np.ones(len(some), dtype=bool)))
+            else:
+                found.append(self.tokens([w[1:].decode() for w in some], some))
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(map(np.concatenate, zip((none, none, np.zeros(0, dtype=bool)), *found, strict=True)))
+
+
+def word_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where words begin: at every text, and at every blank between two characters that are none.
+
+    Neither tokenizer's result depends on what lies beyond such a place. ``edges`` are the texts' first bytes and the end.
+    """
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[edges] = True
+    at = np.flatnonzero(data == 0x20)
+    at = at[~first[at] & ~first[at + 1]]
+    at = at[~BLANK[data[at - 1]] & ~BLANK[data[at + 1]]]
+    wide = np.flatnonzero(data[at - 1] >= 0x80)
+    if len(wide):
+        one, two, three = (data[at[wide] - k].astype(np.int64) for k in (1, 2, 3))
+        blank = np.isin((two << 8) | one, WIDE_BLANKS) | np.isin((three << 16) | (two << 8) | one, WIDE_BLANKS)
+        at = np.delete(at, wide[blank])
+    first[at] = True
+    return np.flatnonzero(first[:-1])
+
+
+class Words:
+    """Ids of words by both tokenizers; up to WORDS_HELD words are kept from batch to batch."""
+
+    def __init__(self, *both: Side):
+        self.both, self.slots = both, {}
+        none = np.zeros(0, dtype=np.int64)
+        self.tables = [(none, none, np.zeros(0, dtype=bool)) for _ in both]
+
+    def tokens(self, wanted: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each side what ``Side.tokens`` gives for texts with a blank in front."""
+        data = np.frombuffer(b"".join(wanted), dtype=np.uint8)
+        edges = np.concatenate(([0], np.cumsum([len(w) for w in wanted])))
+        starts = word_starts(data, edges)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        encoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        words = encoded.dictionary.to_pylist()
+        slot = np.array([self.slots.get(w, -1) for w in words], dtype=np.int64)
+        new = np.flatnonzero(slot < 0)
+        plain = np.array([len(words[i]) <= LONGEST_WORD and not words[i].decode()[-1].isspace() for i in new.tolist()], dtype=bool)
+        new, n_plain = np.concatenate((new[plain], new[~plain])), int(plain.sum())
+        have = len(self.tables[0][1])
+        slot[new] = have + np.arange(len(new))
+        fresh = [words[i] for i in new.tolist()]
+        keep = n_plain if have + n_plain <= WORDS_HELD else 0
+        self.slots.update(zip(fresh[:keep], range(have, have + keep), strict=True))
+        text, word = np.searchsorted(starts, edges[:-1]), slot[encoded.indices.to_numpy()]
+        out = []
+        for k, side in enumerate(self.both):
+            others = side.tokens([w[1:].decode() for w in fresh[n_plain:]], fresh[n_plain:])
+            ids, counts, good = map(np.concatenate, zip(self.tables[k], side.joined(fresh[:n_plain]), others, strict=True))
+            first, n = np.cumsum(counts) - counts, counts[word]
+            at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append((ids[at], np.add.reduceat(n, text), np.logical_and.reduceat(good[word], text)))
+            if keep:
+                self.tables[k] = ids[: int(counts[: have + keep].sum())], counts[: have + keep], good[: have + keep]
+        return out
+
+
+@lru_cache(maxsize=2)
+def known_words(a_path: str, b_path: str) -> Words | None:
+    """The process's table of words, if both tokenizers allow it."""
+    a, b, _ = sides(a_path, b_path)
+    return Words(a, b) if a.by_words and b.by_words else None
+
+
 @lru_cache(maxsize=2)
 def sides(a_path: str, b_path: str) -> tuple[Side, Side, pa.Array]:
     """Both tokenizers, loaded once per Python process, and the decimal ids with each sign that may follow them."""
@@ -143,14 +249,15 @@ def _kind(largest: int) -> str:
 def _aligned(a_path: str, b_path: str, schema: T.StructType, keep_groups: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b, table = sides(a_path, b_path)
+        known = known_words(a_path, b_path)
         kinds = _kind(len(side_a.lengths)), _kind(len(side_b.lengths))
         for batch in tx.chunks(batches):
             n = len(batch)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             wanted = [(" " + t).encode() for t in texts]
-            a, a_counts, good = side_a.tokens(texts, wanted)
-            b, b_counts, also = side_b.tokens(texts, wanted)
-            good &= also & np.array([bool(t) for t in texts], dtype=bool)
+            both = known.tokens(wanted) if known else (side_a.tokens(texts, wanted), side_b.tokens(texts, wanted))
+            (a, a_counts, good), (b, b_counts, also) = both
+            good = good & also & np.array([bool(t) for t in texts], dtype=bool)
             a, b = a[np.repeat(good, a_counts)], b[np.repeat(good, b_counts)]
             a_counts, b_counts = a_counts * good, b_counts * good
             a_ends, b_ends = np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b])

@@ -106,3 +106,40 @@ def test_intervals():
         assert [g.tolist() for g in groups] == [[sum(s < e for s in shared) for e in ends] for ends in (a_end, b_end)]
         pairs = list(zip(*(x.tolist() for x in al.overlaps(a_start, a_end, b_start, b_end)), strict=True))
         assert pairs == [(i, j) for i in range(len(a_end)) for j in range(len(b_end)) if a_start[i] < b_end[j] and b_start[j] < a_end[i]]
+
+
+def test_words_give_the_ids_of_whole_texts(monkeypatch):
+    """Blanks of all kinds, contractions, signs of special tokens, a full table, long words, and words that do not come back."""
+    import random
+
+    monkeypatch.setattr(al, "WORDS_HELD", 300)
+    rng, (a, b, _) = random.Random(7), al.sides(A, B)
+    words = al.Words(a, b)
+    assert al.known_words(A, B) is not None
+    signs = [*"aé漢Ж1!🙂", " ", " ", " ", "\xa0", "　", " ", "​", "\x85", "\x1c", "\n", "\t", "'s", "▁", "́", "<s>", "<|endoftext|>", "y" * 70]
+    texts = [t for t in ("".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(3000))] + [t for t in TEXTS if t]
+    for start in range(0, len(texts), 400):
+        some = texts[start : start + 400]
+        wanted = [(" " + t).encode() for t in some]
+        for side, (ids, counts, good) in zip((a, b), words.tokens(wanted), strict=True):
+            want_ids, want_counts, want_good = side.tokens(some, wanted)
+            assert (good == want_good).all() and (counts[good] == want_counts[good]).all()
+            assert (ids[np.repeat(good, counts)] == want_ids[np.repeat(want_good, want_counts)]).all()
+    assert len(words.slots) <= 300
+
+
+def test_a_known_word_is_not_encoded_again(monkeypatch):
+    a, b, _ = al.sides(A, B)
+    words, seen = al.Words(a, b), []
+    for side in (a, b):
+        monkeypatch.setattr(side, "encode", lambda texts, encode=side.encode: seen.extend(texts) or encode(texts))
+    for _ in range(3):
+        words.tokens([b" one two three"] * 50)
+    assert sum(map(len, seen)) <= 2 * len(" one two three")
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}])
+def test_other_tokenizers_see_whole_texts(tmp_path, change):
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(json.load(open(A, encoding="utf-8")) | change), encoding="utf-8")
+    assert not al.ByteLevel(str(path)).by_words and al.known_words(str(path), B) is None
