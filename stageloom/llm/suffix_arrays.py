@@ -220,12 +220,23 @@ def _pieces(batches: Iterable[pa.RecordBatch], width: int, limit: int):
             yield lone, part, np.array([0, len(part)]), np.array([start], dtype=np.int64)
 
 
-def _window_starts(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes at which a window of one text starts, and the text of each."""
-    counts = np.maximum(np.diff(offsets) - width + 1, 0)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    return np.arange(len(doc)) - first[doc] + offsets[doc], doc
+def _key_runs(keys: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, text and number of windows of every run of neighbouring windows of one text with one key."""
+    first = np.zeros(len(keys) + 1, dtype=bool)
+    first[1:-1] = keys[1:] != keys[:-1]
+    last = np.maximum(offsets[1:] - width + 1, offsets[:-1])  # where a text's windows end
+    first[offsets[:-1][last > offsets[:-1]]] = True
+    # Windows across the end of a text are runs that no text owns.
+    first[last[last < len(keys)]] = True
+    edges = np.flatnonzero(first[:-1])
+    sizes = np.diff(edges, append=len(keys))
+    doc = np.searchsorted(offsets, edges, side="right") - 1
+    own = edges < last[doc]
+    edges, sizes, doc = edges[own], sizes[own], doc[own]
+    pieces = -(-sizes // LONGEST_RUN)
+    part = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = np.repeat(edges, pieces) + LONGEST_RUN * part
+    return at, np.repeat(doc, pieces), np.minimum(np.repeat(edges + sizes, pieces) - at, LONGEST_RUN)
 
 
 def _packed_rows(
@@ -263,20 +274,15 @@ def _pack_keys(width: int, bits: int, limit: int):
         task, serial = TaskContext.get().partitionId(), 0
         for batch, data, offsets, base in _pieces(batches, width, limit):
             serial += 1
-            starts, doc = _window_starts(offsets, width)
-            if not len(starts):
+            if np.diff(offsets).max(initial=0) < width:
                 continue
             keys, more = window_keys(data, width)
-            keys = keys[starts]
-            change = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))
-            run_at = np.maximum.accumulate(np.where(change, np.arange(len(keys)), 0))
-            edges = np.flatnonzero(change | ((np.arange(len(keys)) - run_at) % LONGEST_RUN == 0))
-            windows = np.diff(np.concatenate((edges, [len(keys)])))
+            at, own, windows = _key_runs(keys, offsets, width)
+            keys = keys[at]
             docs = np.column_stack([batch.column(c).to_numpy() for c in ("tag", "tag2")] + [base])
-            own, keys = doc[edges], keys[edges]
             more = np.concatenate((more, keys[windows > width - max(1, width // 4)]))
             # Least hashes are small numbers: mixed anew, they spread over all value ranges.
-            rows = _packed_rows((task << 32) | serial, docs, own, starts[edges] - offsets[own], windows, tx.mix(keys), tx.mix(more), bits)
+            rows = _packed_rows((task << 32) | serial, docs, own, at - offsets[own], windows, tx.mix(keys), tx.mix(more), bits)
             yield from _batched(rows, _schema(_PACKED))
 
     return run
