@@ -23,7 +23,7 @@ from stageloom.operators.sizing import broadcast_if_small
 from stageloom.scratch import materialise
 
 SCALE = 256
-SAMPLE_ROWS = 20_000  # rows that codebooks are fitted on, picked by hash
+SAMPLE_ROWS = 20_000  # rows that codebooks are fitted on, about, picked by hash
 ROWS_PER_CELL = 1024
 MOST_CODEWORDS = 256  # a half; cells are at most its square
 BLOCK_ROWS = 4096
@@ -71,8 +71,10 @@ def _fit(sample: np.ndarray, k: int) -> np.ndarray:
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codeword of each row and the distance to it."""
-    squares = (x * x).sum(axis=1)[:, None] - 2 * x @ words.T + (words * words).sum(axis=1)[None, :]
-    at = squares.argmin(axis=1)
+    at, own = np.zeros(len(x), dtype=np.int64), (words * words).sum(axis=1)[None, :]
+    for i in range(0, len(x), BLOCK_ROWS):
+        part = x[i : i + BLOCK_ROWS]
+        at[i : i + BLOCK_ROWS] = ((part * part).sum(axis=1)[:, None] - 2 * part @ words.T + own).argmin(axis=1)
     return at, np.sqrt(((x - words[at]) ** 2).sum(axis=1))
 
 
@@ -87,16 +89,29 @@ def _padded(values: Iterable[np.ndarray], dims: int) -> np.ndarray:
     return out
 
 
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """The vectors of about SAMPLE_ROWS of ``n`` different rows, those of the lowest hashes. A sorted limit would bring as
+    many rows of every partition to the driver."""
+    if n > SAMPLE_ROWS:
+        rows = rows.where(F.xxhash64("id", "label", "v") < LOW + (HIGH - LOW) * SAMPLE_ROWS // n)
+    return rows.select("v")
+
+
+def _shuffled(side: DataFrame) -> DataFrame:
+    """Joined by shuffle: Catalyst takes the size of a stored table from its files and leaves out what vectors unpack to and what
+    an explode adds, so it would broadcast hundreds of MB through the driver."""
+    return side.hint("merge")
+
+
 def build_index(rows: DataFrame) -> Index | None:
-    """Index of every row of ``rows`` (id, label, v); codebooks come from SAMPLE_ROWS rows. None without rows."""
+    """Index of every row of ``rows`` (id, label, v); codebooks come from about SAMPLE_ROWS rows. None without rows."""
     largest = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))
     n, dims, most = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), largest).first()
     if not n:
         return None
     dims = max(2, dims)
     half = dims // 2
-    sample = rows.orderBy(F.xxhash64("id", "label"), "id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    sample = _padded(sample, dims)
+    sample = _padded(_sample(rows, n).toArrow()["v"].to_pandas(), dims)
     k = int(min(MOST_CODEWORDS, max(2, np.ceil(np.sqrt(n / ROWS_PER_CELL)))))
     books = _fit(sample[:, :half], k), _fit(sample[:, half:], k)
 
@@ -241,12 +256,12 @@ def search(index: Index, anchors: DataFrame, same: bool, k: int) -> DataFrame:
         # Anchors meet a block of rows in blocks themselves, so that no list grows with their number.
         slices = max(1, -(-n // ANCHORS_PER_BLOCK))
         asked = asked.groupBy("cell", "block", F.pmod(F.xxhash64("q.anchor"), F.lit(slices)).alias("slice"))
-        pairs = asked.agg(F.collect_list("q").alias("asked")).join(index.blocks, ["cell", "block"]).select("rows", "asked")
+        pairs = asked.agg(F.collect_list("q").alias("asked")).join(_shuffled(index.blocks), ["cell", "block"]).select("rows", "asked")
         found = pairs.mapInArrow(_scan(same, k, dims, index.exact), "anchor long, w int, score long, id long")
         best = materialise(_ranked(best.unionByName(found), k).drop("rank"), "search-best")
         kth = best.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
         kth = kth.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("w", "least"))).alias("kth"))
-        state = planned.where(F.size("cells") > 0).join(kth, "anchor", "left")
+        state = planned.where(F.size("cells") > 0).join(_shuffled(kth), "anchor", "left")
         least = F.expr(f"transform(low, (x, w) -> coalesce(kth[w], {LOW + 1}L - 1L))")
         state = materialise(state.withColumn("least", least).select([c.split()[0] for c in _STATE.split(", ")]), "search-state")
         rows *= 2
@@ -300,10 +315,11 @@ def mine(
     # Windows in the order of the positives' ranks; at most ``positives`` of them.
     windows = near.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("p"))
     low, high = F.transform("p", lambda p: p["score"] * percent[0]), F.transform("p", lambda p: p["score"] * percent[1])
-    windows = materialise(anchors.join(windows.withColumnRenamed("anchor", "own"), F.col("anchor") == F.col("own")), "windows")
+    windows = _shuffled(windows.withColumnRenamed("anchor", "own"))
+    windows = materialise(anchors.join(windows, F.col("anchor") == F.col("own")), "windows")
     found = search(index, windows.select("anchor", "label", "v", low.alias("low"), high.alias("high")), False, negatives)
     near = near.select(F.col("anchor").alias("of"), (F.col("rank") - 1).alias("nth"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    joined = found.join(near, (F.col("anchor") == F.col("of")) & (F.col("w") == F.col("nth")))
+    joined = found.join(_shuffled(near), (F.col("anchor") == F.col("of")) & (F.col("w") == F.col("nth")))
     return joined.select(
         F.col("anchor").alias("anchor_id"), "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )

@@ -92,3 +92,28 @@ def test_large_components_score_exactly(spark):
     assert found(hn.mine(spark.createDataFrame(rows, DDL))) == plain(rows)
     with pytest.raises(Exception, match="OverflowError|too large"):
         hn.mine(spark.createDataFrame([(0, [1e30, 1.0], 1, "c"), (1, [1e30, 1.0], 1, "c")], DDL)).collect()
+
+
+def test_the_driver_gets_neither_a_table_nor_a_sample_of_every_partition(spark, monkeypatch, plan_of, vectors):
+    """What it gets must not grow with rows or partitions: no broadcast but that of a row per cell, and no sorted limit."""
+    stored, collected, frame, materialise, fit = {}, [], type(spark.range(1)), hn.materialise, hn._fit
+    sizes = []
+
+    def record(df, label):
+        stored.setdefault(label, []).append(plan_of(df))
+        return materialise(df, label)
+
+    for name in ("toPandas", "toArrow"):
+        def collect(df, run=getattr(frame, name)):
+            collected.append(plan_of(df))
+            return run(df)
+
+        monkeypatch.setattr(frame, name, collect)
+    monkeypatch.setattr(hn, "materialise", record)
+    monkeypatch.setattr(hn, "_fit", lambda sample, k: sizes.append(len(sample)) or fit(sample, k))
+    monkeypatch.setattr(hn, "SAMPLE_ROWS", 100)
+    out = hn.mine(spark.createDataFrame(vectors, DDL).repartition(6))
+    stored["out"] = [plan_of(out)]
+    assert found(out) == plain(vectors)
+    assert not any("TakeOrdered" in plan for plan in collected) and all(50 <= n <= 150 for n in sizes) and len(sizes) == 2
+    assert [label for label, plans in stored.items() if any("Broadcast" in plan for plan in plans)] == ["vector-blocks"]
