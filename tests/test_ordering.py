@@ -119,3 +119,17 @@ def test_budget_alerts_with_carried_totals(spark):
     assert rows(out, "k", "t", "running_total", "alert") == [
         ("p", 1, 30.0, "ok"), ("p", 2, 70.0, "ok"), ("p", 3, 110.0, "over"), ("q", 1, 100.5, "over")
     ]
+
+
+def test_keys_are_counted_only_in_heavy_slots(spark, monkeypatch, plan_of):
+    """A table without hot groups is not shuffled by its keys; NULL keys count as a group."""
+    from stageloom.operators import ordering
+
+    plans, materialise = [], ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda df, label: plans.append(plan_of(df)) or materialise(df, label))
+    df = spark.createDataFrame([(k, v) for v in range(4) for k in [None, *range(50)]], "k int, v int")
+    assert ordering.hot_groups(df, ["k"], 4) is None and not plans
+    more = df.unionByName(spark.createDataFrame([(None, 9), (7, 9)], "k int, v int"))
+    assert sorted((r.k is None, r.k, r._n) for r in ordering.hot_groups(more, ["k"], 4).collect()) == [(False, 7, 5), (True, None, 5)]
+    monkeypatch.setattr(ordering, "SLOTS", 1)
+    assert ordering.hot_groups(df, ["k"], 4) is None and len(plans) == 2

@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import struct
+import time
 
 import numpy as np
 import pandas as pd
@@ -508,3 +510,31 @@ def test_pairs_read_stored_lists(spark, plan_of):
     """Steps are numbered and grouped once, not once for each side of a pair."""
     plan = plan_of(sequences.paired(spark, "/root/testdata/sf0.001"))
     assert "Window" not in plan and "lineitem" not in plan
+
+
+def test_patterns_shuffle_steps_once_and_leave_no_shuffled_files(spark, monkeypatch, plan_of):
+    """Steps are shuffled by entity, then sequences by fingerprint; what was shuffled goes when its table is stored."""
+    stored, materialise = {}, S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, label: stored.update({label: plan_of(df)}) or materialise(df, label))
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length()
+    steps = materialise(table(spark, random_sequences(2)).withColumnRenamed("pos", "step_no"), "steps")
+    before = files()
+    patterns, members = S.sequence_patterns(steps, "id", "step")
+    assert set(stored) == {"profiles", "patterns"} and all(plan.count("Exchange") == 1 for plan in stored.values())
+    deadline = time.time() + 20
+    while files() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert files() <= before
+    bags = {r.id: (r.fingerprint, r.n_steps, [s.step for s in r.bag], [s.n for s in r.bag]) for r in Q.bag_profiles(steps, "id", "step").collect()}
+    assert dict(rows(members)) == {k: b[0] for k, b in bags.items()}
+    assert all((r.fingerprint, r.n_steps, r.steps, r.counts) == bags[r.id] and len(r.seq) == r.n_steps for r in patterns.collect())
+
+
+def test_steps_are_those_of_the_stages(spark):
+    """Fewer columns are shuffled, in the same order of lines."""
+    from stageloom.plans import fleet
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("test tables are not here")
+    assert sorted(rows(fleet.steps(spark, d))) == sorted(rows(fleet.stages(spark, d).select("job_id", "position", "type")))
