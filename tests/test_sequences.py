@@ -538,3 +538,38 @@ def test_steps_are_those_of_the_stages(spark):
     if not os.path.isdir(d):
         pytest.skip("test tables are not here")
     assert sorted(rows(fleet.steps(spark, d))) == sorted(rows(fleet.stages(spark, d).select("job_id", "position", "type")))
+
+
+@pytest.mark.parametrize("carried, t, seed", [(0, 0.85, 5), (4, 0.85, 5), (5, 0.65, 6), (32, 0.65, 6)])
+def test_pairs_scored_where_they_meet_are_those_of_the_steps(spark, monkeypatch, carried, t, seed):
+    """Sequences may be short, long or of both kinds; short ones leave no candidates to be shuffled."""
+    monkeypatch.setattr(S, "CARRIED_STEPS", carried)
+    seqs = random_sequences(seed) + [list(p) for p in ("aabbab", "aabbba", "abcdeaf", "abcdefa", "abcdefb", "abcdef")]
+    stored, materialise = {}, S.materialise
+
+    def record(df, label):
+        out = materialise(df, label)
+        stored[label] = out
+        return out
+
+    patterns, _ = S.sequence_patterns(table(spark, seqs).withColumn("step_no", F.col("pos") + 1), "id", "step")
+    monkeypatch.setattr(S, "materialise", record)
+    want = brute_pairs(seqs, t)
+    got = S.similar_pairs(patterns, t).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want.keys()
+    assert all(r.similarity == pytest.approx(want[r.a, r.b], abs=1e-12) for r in got)
+    if carried == 32:
+        few, kept = patterns.where("size(steps) < 7 AND n_steps < 20"), [len(set(s)) < 7 and len(s) < 20 for s in seqs]
+        assert S.similar_pairs(few, t).count() == sum(kept[x] and kept[y] for x, y in want) > 5
+        assert stored["candidates"].count() == 0
+
+
+def test_steps_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Pairs are scored by the steps themselves if hashes do not tell all of them apart."""
+    seqs = [list("abcdef"), list("abcdfe"), list("aabcde"), list("abxdef"), list("abydef"), list("abcdeff")]
+    patterns, _ = S.sequence_patterns(table(spark, seqs).withColumn("step_no", F.col("pos") + 1), "id", "step")
+    want, xxhash64 = brute_pairs(seqs, 0.65), F.xxhash64
+    one = lambda c: F.when(c == "y", F.lit("x")).otherwise(c)
+    monkeypatch.setattr(S, "_code", lambda c: xxhash64(one(c)))
+    got = {(r.a, r.b): r.similarity for r in S.similar_pairs(patterns, 0.65).collect()}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got) and (0, 1) in got and got[3, 4] < 0.95
